@@ -135,3 +135,107 @@ wm_total AS (
   WHERE query_pos IS NOT NULL AND query IS NOT NULL AND span_id IS NOT NULL AND doc_ix IS NOT NULL
     AND hit_no IS NOT NULL AND word IS NOT NULL AND word_offset IS NOT NULL AND sentence IS NOT NULL
 )"""
+
+
+# --- lexicons and the funnel ------------------------------------------------
+
+TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+def _azwords(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z]+'), lambda w: w <> '')"
+
+
+def lexicon_ctes() -> str:
+    """wm_wordlist(word), wm_convwords(word), wm_titles(title), wm_titlewords(word), wm_dict(word, source)."""
+    return f"""
+wm_wordlist AS (SELECT DISTINCT unnest({_azwords('text')}) AS word FROM benchmark),
+wm_convwords AS (SELECT DISTINCT unnest({_azwords('text')}) AS word FROM conversations),
+wm_titles AS (
+  SELECT DISTINCT title FROM (
+    SELECT regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages) WHERE title <> ''),
+wm_titlewords AS (SELECT DISTINCT unnest({_azwords('title')}) AS word FROM wm_titles),
+wm_dict AS (
+  SELECT DISTINCT unnest({_azwords('text')}) AS word,
+         CASE role WHEN 'assistant' THEN 'collegiate' WHEN 'user' THEN 'medical' END AS source
+  FROM conversations WHERE role IN ('assistant', 'user'))"""
+
+
+def normalise_sql(c: str) -> str:
+    lw = f"lower({c})"
+    return (f"CASE WHEN length({lw}) - length(replace({lw}, '-', '')) <= 1 "
+            f"AND regexp_full_match(replace({lw}, '-', ''), '[a-z]+') THEN replace({lw}, '-', '') END")
+
+
+def shape_sql(c: str) -> str:
+    return f"(length({c}) BETWEEN 4 AND 22 AND NOT regexp_matches({c}, '{TRIPLES}'))"
+
+
+def bases_sql(c: str) -> str:
+    cands = [c]
+    for suffix, repl in MORPHY_RULES:
+        cands.append(f"CASE WHEN ends_with({c}, {q(suffix)}) AND length({c}) > {len(suffix)} "
+                     f"THEN left({c}, length({c}) - {len(suffix)}) || {q(repl)} END")
+    return "[" + ", ".join(cands) + "]"
+
+
+def near_sql(c: str, table: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {table} l WHERE levenshtein({c}, l.word) <= 1)"
+
+
+def funnel_ctes(phrases: list[str] = STANDIN_PHRASES, older: bool = False) -> str:
+    """After extraction + lexicons: wm_pre, wm_w, wm_v1..wm_v4, wm_verdict, wm_audit, wm_final."""
+    word = ("CASE WHEN regexp_full_match(word, '[a-zA-Z]+') THEN lower(word) END" if older
+            else normalise_sql("word"))
+    enc = ("EXISTS (SELECT 1 FROM wm_titles t WHERE contains(lower(t.title), v.word))" if older
+           else near_sql("v.word", "wm_titlewords"))
+    return extraction_ctes(phrases) + "," + lexicon_ctes() + f""",
+wm_pre AS (SELECT *, word AS org, {word} AS nword FROM wm_total),
+wm_w AS (SELECT DISTINCT nword AS word FROM wm_pre WHERE nword IS NOT NULL AND {shape_sql('nword')}),
+wm_v1 AS (
+  SELECT word, (word IN (SELECT word FROM wm_wordlist)
+                OR EXISTS (SELECT 1 FROM wm_wordlist l WHERE list_contains({bases_sql('w.word')}, l.word))) AS f_words
+  FROM wm_w w),
+wm_v2 AS (SELECT word, {near_sql('v.word', 'wm_wordlist')} AS f_spell FROM wm_v1 v WHERE NOT f_words),
+wm_v3 AS (SELECT word, {enc} AS f_enc FROM wm_v2 v WHERE NOT f_spell),
+wm_v4 AS (
+  SELECT word, (SELECT d.source FROM wm_dict d WHERE d.word = v.word
+                ORDER BY CASE d.source WHEN 'collegiate' THEN 1 ELSE 2 END LIMIT 1) AS dsrc
+  FROM wm_v3 v WHERE NOT f_enc),
+wm_verdict AS (
+  SELECT word, 'words' AS v FROM wm_v1 WHERE f_words
+  UNION ALL SELECT word, 'spell:benchmark' FROM wm_v2 WHERE f_spell
+  UNION ALL SELECT word, 'encyclopedia' FROM wm_v3 WHERE f_enc
+  UNION ALL SELECT word, 'dictionary:' || dsrc FROM wm_v4 WHERE dsrc IS NOT NULL),
+wm_audit AS (
+  SELECT p.query_pos, p.query, p.idx, p.span_id, p.doc_ix, p.hit_no, p.word_offset, p.sentence, p.org,
+         p.nword AS word,
+         CASE WHEN p.nword IS NULL THEN 'normalise'
+              WHEN NOT {shape_sql('p.nword')} THEN 'words'
+              ELSE v.v END AS removed_by
+  FROM wm_pre p LEFT JOIN wm_verdict v ON p.nword = v.word),
+wm_final AS (SELECT * FROM wm_audit WHERE removed_by IS NULL)"""
+
+
+def frequency_ctes(phrases: list[str] = STANDIN_PHRASES) -> str:
+    """After the funnel: wm_collected, wm_forms, wm_tokcounts, wm_corpusfreq."""
+    return funnel_ctes(phrases) + f""",
+wm_collected AS (
+  SELECT word, count(*)::BIGINT AS count,
+         arg_min(query_pos, (query_pos, idx)) AS query_pos, arg_min(idx, (query_pos, idx)) AS idx,
+         arg_min(span_id, (query_pos, idx)) AS span_id, arg_min(doc_ix, (query_pos, idx)) AS doc_ix,
+         arg_min(org, (query_pos, idx)) AS org
+  FROM wm_final GROUP BY word),
+wm_forms AS (
+  SELECT DISTINCT word, query_pos, idx, span_id, doc_ix, unnest(list_distinct(list_filter(
+    [word, upper(left(word, 1)) || lower(substr(word, 2)), org], lambda f: f IS NOT NULL))) AS form
+  FROM wm_collected),
+wm_tokcounts AS (
+  SELECT form, count(*)::BIGINT AS cnt FROM (
+    SELECT regexp_replace(t, {q(RX_EDGE)}, '', 'g') AS form
+    FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS t FROM documents))
+  WHERE form IN (SELECT form FROM wm_forms) GROUP BY form),
+wm_corpusfreq AS (
+  SELECT f.word, f.query_pos, f.idx, f.span_id, f.doc_ix, sum(coalesce(c.cnt, 0))::BIGINT AS count
+  FROM wm_forms f LEFT JOIN wm_tokcounts c ON f.form = c.form
+  GROUP BY f.word, f.query_pos, f.idx, f.span_id, f.doc_ix)"""

@@ -57,3 +57,217 @@ def phrase_search(spark, sf_dir):
 SELECT query_pos, query, idx, span_id, doc_ix, hit_no, word, word_offset, sentence FROM wm_total""")
 def extraction_table(spark, sf_dir):
     return total(spark, sf_dir)
+
+
+# --- C: normalisation and the funnel -----------------------------------------
+
+from ..functions.text import clean_text as _clean_text  # noqa: E402
+from ..functions.text import edge_strip, normalise_word  # noqa: E402
+from ..operators import audit as AU  # noqa: E402
+from ..operators import frequency as FQ  # noqa: E402
+from ..operators import fuzzy, lexicon  # noqa: E402
+from ..operators.arcs import arc_pattern  # noqa: E402
+from ..operators.normalize import preprocess, shape_ok  # noqa: E402
+from . import funnel  # noqa: E402
+
+
+def lexicons(spark: SparkSession, sf_dir: str, variant: str = "current") -> funnel.Lexicons:
+    wl = tables.word_list(spark, sf_dir)
+    titles = tables.title_list(spark, sf_dir) if variant == "older" else tables.title_words(spark, sf_dir)
+    return funnel.Lexicons(word_list=wl, base_list=wl, checkers=[("benchmark", wl)], titles=titles,
+                           dictionary=tables.dictionary_entries(spark, sf_dir), variant=variant)
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.audit_rows(total(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES)
+
+
+def stage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct normalised words of the right shape (input of the word-level stages)."""
+    pre = preprocess(total(spark, sf_dir))
+    return pre.where(F.col("word").isNotNull() & shape_ok("word")).select("word").distinct()
+
+
+def after_words_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wl = tables.word_list(spark, sf_dir)
+    v = lexicon.base_in_lexicon(lexicon.in_lexicon(stage_words(spark, sf_dir), wl, "f_list"), wl, "f_base")
+    return v.where(~(F.col("f_list") | F.col("f_base"))).select("word")
+
+
+def after_spell_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wl = tables.word_list(spark, sf_dir)
+    s = fuzzy.near_flag(after_words_stage(spark, sf_dir), wl, "f_spell")
+    return s.where(~F.col("f_spell")).select("word")
+
+
+_EX = "WITH " + O.extraction_ctes() + "\n"
+_FN = "WITH " + O.funnel_ctes() + "\n"
+_FQ = "WITH " + O.frequency_ctes() + "\n"
+
+
+@register("normalise_words", _EX + f"""
+SELECT query_pos, query, idx, word AS org, {O.normalise_sql('word')} AS word FROM wm_total""")
+def normalise_words(spark, sf_dir):
+    return preprocess(total(spark, sf_dir)).select("query_pos", "query", "idx", "org", "word")
+
+
+@register("shape_filter", f"""
+SELECT word, count(*)::BIGINT AS n, (length(word) BETWEEN 4 AND 22) AS length_ok,
+       (NOT regexp_matches(word, '{O.TRIPLES}')) AS no_run, {O.shape_sql('word')} AS keep
+FROM (SELECT {O.normalise_sql('t')} AS word FROM (
+        SELECT regexp_replace(unnest(regexp_split_to_array(text, '\\s+')), '{O.RX_EDGE}', '', 'g') AS t
+        FROM documents) WHERE t <> '')
+WHERE word IS NOT NULL GROUP BY word""")
+def shape_filter_all_tokens(spark, sf_dir):
+    """C2 + C5/C6 over every token of the corpus (the extracted words hold no triple runs)."""
+    from ..functions.text import length_ok, no_triple_run
+    toks = FQ.corpus_tokens(tables.documents_corpus(spark, sf_dir))
+    w = toks.select(normalise_word("form").alias("word")).where(F.col("word").isNotNull())
+    return (w.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+            .select("word", "n", length_ok("word").alias("length_ok"), no_triple_run("word").alias("no_run"),
+                    shape_ok("word").alias("keep")))
+
+
+@register("clean_text", """
+SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn,
+       coalesce(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS cleaned
+FROM conversations""")
+def clean_text_turns(spark, sf_dir):
+    c = tables.read_table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+                    _clean_text("text").alias("cleaned"))
+
+
+@register("lexicon_exclude", _FN + """
+SELECT p.query_pos, p.query, p.idx, p.nword AS word, v.f_words AS listed
+FROM wm_pre p JOIN wm_v1 v ON p.nword = v.word""")
+def lexicon_exclude(spark, sf_dir):
+    """C7/C8 on the rows: is the word (or a base form of it) in the word list."""
+    wl = tables.word_list(spark, sf_dir)
+    v = lexicon.base_in_lexicon(lexicon.in_lexicon(stage_words(spark, sf_dir), wl, "f_list"), wl, "f_base")
+    v = v.select(F.col("word").alias("_w"), (F.col("f_list") | F.col("f_base")).alias("listed"))
+    pre = preprocess(total(spark, sf_dir))
+    return (pre.join(v, F.col("word") == F.col("_w"))
+            .select("query_pos", "query", "idx", "word", "listed"))
+
+
+@register("typo_exclude", _FN + "SELECT word, f_spell FROM wm_v2")
+def typo_exclude(spark, sf_dir):
+    wl = tables.word_list(spark, sf_dir)
+    return fuzzy.near_flag(after_words_stage(spark, sf_dir), wl, "f_spell")
+
+
+@register("checker_cascade", _FN + """
+SELECT v.word, CASE WHEN EXISTS (SELECT 1 FROM wm_wordlist l WHERE levenshtein(v.word, l.word) <= 1) THEN 'benchmark'
+                    WHEN EXISTS (SELECT 1 FROM wm_convwords l WHERE levenshtein(v.word, l.word) <= 1) THEN 'conversations'
+               END AS spell_checker
+FROM (SELECT word FROM wm_v1 WHERE NOT f_words) v""")
+def checker_cascade(spark, sf_dir):
+    wl = tables.word_list(spark, sf_dir)
+    conv = tables.read_table(spark, sf_dir, "conversations").select(
+        F.explode(tables.lexicon_words("text")).alias("word")).distinct()
+    return fuzzy.checker_cascade(after_words_stage(spark, sf_dir), [("benchmark", wl), ("conversations", conv)])
+
+
+@register("title_exclude", _FN + "SELECT word, f_enc FROM wm_v3")
+def title_exclude(spark, sf_dir):
+    return fuzzy.near_flag(after_spell_stage(spark, sf_dir), tables.title_words(spark, sf_dir), "f_enc")
+
+
+@register("title_contains", _FN + """
+SELECT w.word, EXISTS (SELECT 1 FROM wm_titles t WHERE contains(lower(t.title), w.word)) AS f_contains
+FROM wm_w w""")
+def title_contains(spark, sf_dir):
+    return fuzzy.title_contains_flag(stage_words(spark, sf_dir), tables.title_list(spark, sf_dir), "f_contains")
+
+
+@register("dictionary_exclude", _FN + "SELECT word, dsrc AS dict_source FROM wm_v4")
+def dictionary_exclude(spark, sf_dir):
+    w = fuzzy.near_flag(after_spell_stage(spark, sf_dir), tables.title_words(spark, sf_dir), "f_enc")
+    w4 = w.where(~F.col("f_enc")).select("word")
+    return lexicon.dictionary_reason(w4, tables.dictionary_entries(spark, sf_dir))
+
+
+@register("kept_removed", _FN + """
+SELECT query_pos, query, idx, span_id, doc_ix, org, word, removed_by FROM wm_audit""")
+def kept_removed(spark, sf_dir):
+    return audited(spark, sf_dir).select("query_pos", "query", "idx", "span_id", "doc_ix", "org", "word",
+                                         "removed_by")
+
+
+_STAGE_VALUES = ", ".join(f"({i}, {O.q(s)})" for i, s in enumerate(AU.STAGES))
+
+
+@register("stage_audit", _FN + f""",
+wm_st AS (SELECT * FROM (VALUES {_STAGE_VALUES}) s(stage_pos, stage)),
+wm_rm AS (
+  SELECT s.stage_pos, s.stage,
+         (SELECT count(*) FROM wm_audit a WHERE split_part(a.removed_by, ':', 1) = s.stage) AS n_removed
+  FROM wm_st s)
+SELECT stage_pos::BIGINT AS stage_pos, stage,
+       ((SELECT count(*) FROM wm_audit) - coalesce(sum(n_removed) OVER (ORDER BY stage_pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS n_in,
+       n_removed::BIGINT AS n_removed,
+       ((SELECT count(*) FROM wm_audit) - sum(n_removed) OVER (ORDER BY stage_pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS n_kept
+FROM wm_rm""".replace(_FN + ",", _FN.rstrip() + ","))
+def stage_audit(spark, sf_dir):
+    return AU.stage_audit(audited(spark, sf_dir))
+
+
+@register("final_dedup", _FN + """
+SELECT word, arg_min(sentence, (query_pos, idx)) AS sentence, min((query_pos, idx)).query_pos AS query_pos,
+       arg_min(idx, (query_pos, idx)) AS idx
+FROM wm_final GROUP BY word""")
+def final_dedup(spark, sf_dir):
+    return funnel.dedup_words(funnel.final_words(audited(spark, sf_dir)))
+
+
+# --- D: frequency --------------------------------------------------------------
+
+def collected(spark, sf_dir):
+    return FQ.collected_frequency(funnel.final_words(audited(spark, sf_dir)))
+
+
+def corpus_freq(spark, sf_dir):
+    return FQ.corpus_frequency(collected(spark, sf_dir), tables.documents_corpus(spark, sf_dir))
+
+
+@register("collected_frequency", _FQ + "SELECT * FROM wm_collected")
+def collected_frequency(spark, sf_dir):
+    return collected(spark, sf_dir)
+
+
+@register("corpus_frequency", _FQ + "SELECT * FROM wm_corpusfreq")
+def corpus_frequency(spark, sf_dir):
+    return FQ.sort_by_count(corpus_freq(spark, sf_dir))
+
+
+@register("top_words", _FQ + "SELECT word, count FROM wm_corpusfreq ORDER BY count DESC, word LIMIT 25")
+def top_words(spark, sf_dir):
+    return FQ.top_words(corpus_freq(spark, sf_dir), 25).select("word", "count")
+
+
+@register("cardinality_report", _FQ + """
+SELECT (SELECT count(*) FROM wm_final)::BIGINT AS n_rows, (SELECT count(*) FROM wm_collected)::BIGINT AS n_words,
+       (SELECT count(*) FROM wm_corpusfreq)::BIGINT AS n_counted,
+       (SELECT count(*) FROM wm_corpusfreq WHERE count > 0)::BIGINT AS n_nonzero""")
+def cardinality_report(spark, sf_dir):
+    fin = funnel.final_words(audited(spark, sf_dir))
+    col = FQ.collected_frequency(fin)
+    return FQ.cardinality_report(fin, col, FQ.corpus_frequency(col, tables.documents_corpus(spark, sf_dir)))
+
+
+@register("mine_coined_words", _FQ + """,
+wm_dedup AS (SELECT word, arg_min(sentence, (query_pos, idx)) AS sentence FROM wm_final GROUP BY word)
+SELECT c.word, c.count AS n_collected, f.count AS n_corpus, d.sentence, c.org, c.doc_ix
+FROM wm_collected c JOIN wm_corpusfreq f ON c.word = f.word JOIN wm_dedup d ON c.word = d.word""")
+def mine_coined_words(spark, sf_dir):
+    """Flagship: every surviving coined word with its collected and corpus counts and first sentence."""
+    fin = funnel.final_words(audited(spark, sf_dir))
+    col = FQ.collected_frequency(fin)
+    cf = FQ.corpus_frequency(col, tables.documents_corpus(spark, sf_dir)).select(
+        F.col("word").alias("_cw"), F.col("count").alias("n_corpus"))
+    dd = funnel.dedup_words(fin).select(F.col("word").alias("_dw"), "sentence")
+    return (col.join(cf, F.col("word") == F.col("_cw")).join(dd, F.col("word") == F.col("_dw"))
+            .select("word", F.col("count").alias("n_collected"), "n_corpus", "sentence", "org", "doc_ix"))
