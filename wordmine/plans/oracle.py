@@ -214,18 +214,19 @@ wm_audit AS (
               WHEN NOT {shape_sql('p.nword')} THEN 'words'
               ELSE v.v END AS removed_by
   FROM wm_pre p LEFT JOIN wm_verdict v ON p.nword = v.word),
-wm_final AS (SELECT * FROM wm_audit WHERE removed_by IS NULL)"""
+wm_final AS (SELECT * FROM wm_audit WHERE removed_by IS NULL),
+wm_first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY query_pos, idx) AS rn FROM wm_final)
+  WHERE rn = 1)"""
 
 
 def frequency_ctes(phrases: list[str] = STANDIN_PHRASES) -> str:
     """After the funnel: wm_collected, wm_forms, wm_tokcounts, wm_corpusfreq."""
     return funnel_ctes(phrases) + f""",
 wm_collected AS (
-  SELECT word, count(*)::BIGINT AS count,
-         arg_min(query_pos, (query_pos, idx)) AS query_pos, arg_min(idx, (query_pos, idx)) AS idx,
-         arg_min(span_id, (query_pos, idx)) AS span_id, arg_min(doc_ix, (query_pos, idx)) AS doc_ix,
-         arg_min(org, (query_pos, idx)) AS org
-  FROM wm_final GROUP BY word),
+  SELECT f.word, n.count, f.query_pos, f.idx, f.span_id, f.doc_ix, f.org
+  FROM wm_first f JOIN (SELECT word, count(*)::BIGINT AS count FROM wm_final GROUP BY word) n
+    ON f.word = n.word),
 wm_forms AS (
   SELECT DISTINCT word, query_pos, idx, span_id, doc_ix, unnest(list_distinct(list_filter(
     [word, upper(left(word, 1)) || lower(substr(word, 2)), org], lambda f: f IS NOT NULL))) AS form

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STANDIN_PHRASES
 from ..operators import extract, search
+from ..session import materialise
 from ..sources import tables
 from . import oracle as O
 
@@ -37,6 +38,11 @@ def total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.spans_to_words(landed(spark, sf_dir))
 
 
+def total_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction table, written once to the shared folder (the funnel reads it many times)."""
+    return materialise(total(spark, sf_dir))
+
+
 # --- A1-A4 ------------------------------------------------------------------
 
 @register("phrase_search", "WITH " + O.corpus_ctes() + """
@@ -79,12 +85,12 @@ def lexicons(spark: SparkSession, sf_dir: str, variant: str = "current") -> funn
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.audit_rows(total(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES)
+    return funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES)
 
 
 def stage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct normalised words of the right shape (input of the word-level stages)."""
-    pre = preprocess(total(spark, sf_dir))
+    pre = preprocess(total_m(spark, sf_dir))
     return pre.where(F.col("word").isNotNull() & shape_ok("word")).select("word").distinct()
 
 
@@ -144,9 +150,10 @@ FROM wm_pre p JOIN wm_v1 v ON p.nword = v.word""")
 def lexicon_exclude(spark, sf_dir):
     """C7/C8 on the rows: is the word (or a base form of it) in the word list."""
     wl = tables.word_list(spark, sf_dir)
-    v = lexicon.base_in_lexicon(lexicon.in_lexicon(stage_words(spark, sf_dir), wl, "f_list"), wl, "f_base")
+    pre = preprocess(total_m(spark, sf_dir))
+    words = pre.where(F.col("word").isNotNull() & shape_ok("word")).select("word").distinct()
+    v = lexicon.base_in_lexicon(lexicon.in_lexicon(words, wl, "f_list"), wl, "f_base")
     v = v.select(F.col("word").alias("_w"), (F.col("f_list") | F.col("f_base")).alias("listed"))
-    pre = preprocess(total(spark, sf_dir))
     return (pre.join(v, F.col("word") == F.col("_w"))
             .select("query_pos", "query", "idx", "word", "listed"))
 
@@ -216,9 +223,7 @@ def stage_audit(spark, sf_dir):
 
 
 @register("final_dedup", _FN + """
-SELECT word, arg_min(sentence, (query_pos, idx)) AS sentence, min((query_pos, idx)).query_pos AS query_pos,
-       arg_min(idx, (query_pos, idx)) AS idx
-FROM wm_final GROUP BY word""")
+SELECT word, sentence, query_pos, idx FROM wm_first""")
 def final_dedup(spark, sf_dir):
     return funnel.dedup_words(funnel.final_words(audited(spark, sf_dir)))
 
@@ -259,7 +264,7 @@ def cardinality_report(spark, sf_dir):
 
 
 @register("mine_coined_words", _FQ + """,
-wm_dedup AS (SELECT word, arg_min(sentence, (query_pos, idx)) AS sentence FROM wm_final GROUP BY word)
+wm_dedup AS (SELECT word, sentence FROM wm_first)
 SELECT c.word, c.count AS n_collected, f.count AS n_corpus, d.sentence, c.org, c.doc_ix
 FROM wm_collected c JOIN wm_corpusfreq f ON c.word = f.word JOIN wm_dedup d ON c.word = d.word""")
 def mine_coined_words(spark, sf_dir):

@@ -67,3 +67,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialise(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used at the boundary where the mined rows are complete (the extraction
+    table): everything after it reads the written table instead of re-running
+    the corpus scan, and a lost executor re-reads files instead of recomputing.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
