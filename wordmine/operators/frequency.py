@@ -26,10 +26,19 @@ def collected_frequency(final: DataFrame) -> DataFrame:
                     F.col("_f.org").alias("org")))
 
 
+# A whitespace token, captured from its first to its last ASCII letter: the
+# same string as splitting on blanks and stripping non-letters at both edges.
+RX_STRIPPED_TOKEN = r"(?:^|(?<=\s))[^a-zA-Z\s]*([a-zA-Z](?:\S*[a-zA-Z])?)[^a-zA-Z\s]*(?=\s|$)"
+
+
 def corpus_tokens(corpus: DataFrame) -> DataFrame:
-    """Edge-stripped whitespace tokens of the corpus, case kept: ``(form)``."""
-    toks = corpus.select(F.explode(F.split(F.col("text"), r"\s+")).alias("_t"))
-    return toks.select(F.regexp_replace("_t", RX_EDGE, "").alias("form")).where(F.col("form") != "")
+    """Edge-stripped whitespace tokens of the corpus, case kept: ``(form)``.
+
+    One regular-expression pass per document yields the stripped tokens, so
+    no per-token expression runs on the exploded rows.
+    """
+    toks = F.regexp_extract_all(F.col("text"), F.lit(RX_STRIPPED_TOKEN), 1)
+    return corpus.select(F.explode(toks).alias("form"))
 
 
 def form_counts(corpus: DataFrame, forms: DataFrame) -> DataFrame:

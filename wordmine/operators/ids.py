@@ -15,6 +15,7 @@ under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The range partitioner samples its input in a separate job and the count
+    # branch re-reads it; persisting computes the input once (blocks lost with
+    # an executor are recomputed from lineage, deterministically).
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     numbered = (df.repartitionByRange(n, *keys)
                   .sortWithinPartitions(*keys)
