@@ -110,6 +110,25 @@ def extract_hits(docs: DataFrame) -> DataFrame:
                        sent.alias("sentence"))
 
 
+def hit_words(docs: DataFrame) -> DataFrame:
+    """Every hit's preceding word, raw and edge-stripped, with its offset (before B9's drop)."""
+    df = docs.withColumn("_offs", F.expr(_span_offsets())).withColumn("_hw", F.expr(_hit_words()))
+    rows = df.select("query_pos", "query", "span_id", "doc_ix", F.posexplode("_hw").alias("hit_no", "_h"))
+    return rows.select("query_pos", "query", "span_id", "doc_ix", F.col("hit_no").cast("bigint").alias("hit_no"),
+                       F.col("_h.raw").alias("raw"), F.regexp_replace(F.col("_h.raw"), RX_EDGE, "").alias("word"),
+                       F.col("_h.offset").cast("bigint").alias("word_offset"))
+
+
+def sentence_table(docs: DataFrame) -> DataFrame:
+    """One row per sentence piece with its [start, start + len) offsets."""
+    df = (docs.withColumn("_pieces", F.regexp_extract_all("texts", F.lit(RX_SENT), 0))
+              .withColumn("_sents", F.expr(_sentences())))
+    return (df.select("query_pos", "query", "span_id", F.explode("_sents").alias("_s"))
+            .select("query_pos", "query", "span_id", F.col("_s.k").cast("bigint").alias("k"),
+                    F.col("_s.start").cast("bigint").alias("start"), F.col("_s.len").cast("bigint").alias("len"),
+                    F.col("_s.s").alias("piece")))
+
+
 def extraction_table(docs: DataFrame) -> DataFrame:
     """The "total" table; idx = dense 0-based row index per query.
 
@@ -145,6 +164,6 @@ def first_span_rows(landed: DataFrame) -> DataFrame:
     df = with_texts(landed)
     word = F.expr("lower(try_element_at(filter(split(element_at(spans, 1).text, '\\\\s+'), t -> t != ''), -1))")
     sent = F.expr(f"{strip.format(f'try_element_at(filter(regexp_extract_all(texts, {rx}, 0), s -> contains(s, query)), 1)')}")
-    out = (df.select("query_pos", "query", "doc_ix", word.alias("word"), sent.alias("sentence"))
-             .where(F.col("texts") != ""))
+    out = (df.where(F.col("texts") != "")
+             .select("query_pos", "query", "doc_ix", word.alias("word"), sent.alias("sentence")))
     return out.na.drop("any").distinct()

@@ -276,3 +276,165 @@ def mine_coined_words(spark, sf_dir):
     dd = funnel.dedup_words(fin).select(F.col("word").alias("_dw"), "sentence")
     return (col.join(cf, F.col("word") == F.col("_cw")).join(dd, F.col("word") == F.col("_dw"))
             .select("word", F.col("count").alias("n_collected"), "n_corpus", "sentence", "org", "doc_ix"))
+
+
+# --- A: acquisition bookkeeping -------------------------------------------------
+
+from ..constants import RX_EDGE, RX_SENT  # noqa: E402
+from ..operators import collect as CO  # noqa: E402
+from ..operators.arcs import arc_regex  # noqa: E402
+
+_CO = "WITH " + O.corpus_ctes() + "\n"
+_UNIQUE = """,
+wm_unique AS (
+  SELECT query_pos, query, doc_ix, shard, rank, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY query, doc_ix ORDER BY shard, rank) AS rn FROM wm_landed)
+  WHERE rn = 1)
+"""
+CAP = 100          # A6 stand-in target per phrase
+PART_SIZE = 25     # A9 part size
+DONE_AT = 100      # A12 stand-in: a phrase with this many documents counts as done
+_PHRASE_VALUES = ", ".join(f"({i}, {O.q(p)})" for i, p in enumerate(STANDIN_PHRASES))
+
+
+def labelled(spark, sf_dir):
+    """Documents present in ``labels``: the stand-in for 'retrieved before'."""
+    return tables.read_table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("doc_ix")).distinct()
+
+
+def unique_docs(spark, sf_dir):
+    return CO.unique_collect(landed(spark, sf_dir))
+
+
+@register("shard_counts", _CO + """
+SELECT query, shard, sum(len(hits))::BIGINT AS occurrences, count(*)::BIGINT AS documents,
+       CASE WHEN query IS NULL THEN 'all' WHEN shard IS NULL THEN 'phrase' ELSE 'shard' END AS level
+FROM wm_hits WHERE len(hits) > 0 GROUP BY ROLLUP (query, shard)""")
+def shard_counts(spark, sf_dir):
+    return search.shard_counts(tables.documents_corpus(spark, sf_dir), STANDIN_PHRASES)
+
+
+@register("unique_collect", _CO + _UNIQUE + "SELECT * FROM wm_unique")
+def unique_collect(spark, sf_dir):
+    return unique_docs(spark, sf_dir)
+
+
+@register("target_cap", _CO + _UNIQUE + f"""
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query ORDER BY shard, rank) - 1)::BIGINT AS n FROM wm_unique)
+WHERE n < {CAP}""")
+def target_cap(spark, sf_dir):
+    return CO.target_cap(unique_docs(spark, sf_dir), {p: CAP for p in STANDIN_PHRASES})
+
+
+@register("resume_union", _CO + _UNIQUE + """
+SELECT *, true AS prior FROM wm_unique u WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = u.doc_ix)
+UNION ALL
+SELECT *, false AS prior FROM wm_unique u WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = u.doc_ix)""")
+def resume_union(spark, sf_dir):
+    u = unique_docs(spark, sf_dir)
+    before = u.join(labelled(spark, sf_dir), "doc_ix", "left_semi").withColumn("prior", F.lit(True))
+    return CO.resume_union(u.withColumn("prior", F.lit(False)), before)
+
+
+@register("split_manifest", _CO + _UNIQUE + f"""
+SELECT query, floor(n / {PART_SIZE})::BIGINT AS part, min(n) AS start, max(n) AS "end", count(*)::BIGINT AS n
+FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY shard, rank) - 1)::BIGINT AS n FROM wm_unique)
+GROUP BY query, floor(n / {PART_SIZE})""")
+def split_manifest(spark, sf_dir):
+    return CO.split_manifest(unique_docs(spark, sf_dir), PART_SIZE)
+
+
+@register("missing_ranks", _CO + """
+SELECT query, shard, rank FROM wm_landed w
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_ix)""")
+def missing_ranks(spark, sf_dir):
+    req = landed(spark, sf_dir)
+    got = req.join(labelled(spark, sf_dir), "doc_ix", "left_semi")
+    return search.missing_ranks(req, got)
+
+
+@register("landed_counts", _CO + f"""
+SELECT p.query_pos::BIGINT AS query_pos, p.query, coalesce(c.n_landed, 0)::BIGINT AS n_landed,
+       coalesce(c.n_docs, 0)::BIGINT AS n_docs
+FROM (VALUES {_PHRASE_VALUES}) p(query_pos, query)
+LEFT JOIN (SELECT query, count(*) AS n_landed, count(DISTINCT doc_ix) AS n_docs FROM wm_landed GROUP BY query) c
+  ON p.query = c.query""")
+def landed_counts(spark, sf_dir):
+    return search.landed_counts(landed(spark, sf_dir), STANDIN_PHRASES)
+
+
+@register("pending_worklist", _CO + f"""
+SELECT expression, status FROM (
+  SELECT p.query AS expression,
+         CASE WHEN coalesce(c.n_docs, 0) >= {DONE_AT} THEN 'o' WHEN coalesce(c.n_docs, 0) > 0 THEN 'x' END AS status
+  FROM (VALUES {_PHRASE_VALUES}) p(query_pos, query)
+  LEFT JOIN (SELECT query, count(DISTINCT doc_ix) AS n_docs FROM wm_landed GROUP BY query) c ON p.query = c.query)
+WHERE status IS DISTINCT FROM 'o'""")
+def pending_worklist(spark, sf_dir):
+    counts = search.landed_counts(landed(spark, sf_dir), STANDIN_PHRASES)
+    status = F.when(F.col("n_docs") >= DONE_AT, "o").when(F.col("n_docs") > 0, "x")
+    work = counts.select(F.col("query").alias("expression"), status.alias("status"))
+    return CO.pending_worklist(work)
+
+
+# --- B: spans, words, sentences ------------------------------------------------
+
+def span_docs(spark, sf_dir):
+    return extract.assign_span_ids(extract.dedup_documents(landed(spark, sf_dir)))
+
+
+@register("span_ids", _EX + "SELECT query_pos, query, span_id, doc_ix, shard, rank, pos FROM wm_udocs")
+def span_ids(spark, sf_dir):
+    return span_docs(spark, sf_dir).select("query_pos", "query", "span_id", "doc_ix", "shard", "rank", "pos")
+
+
+@register("preceding_words", _EX + "SELECT query_pos, query, span_id, doc_ix, hit_no, raw, word, word_offset::BIGINT AS word_offset FROM wm_hit4")
+def preceding_words(spark, sf_dir):
+    return extract.hit_words(span_docs(spark, sf_dir))
+
+
+@register("sentence_split", _EX + f"""
+SELECT query_pos, query, span_id, (k - 1)::BIGINT AS k,
+       coalesce(list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))), 0)::BIGINT AS start,
+       length(regexp_replace(pieces[k], '\\s+$', ''))::BIGINT AS len, pieces[k] AS piece
+FROM (SELECT query_pos, query, span_id, pieces, unnest(generate_series(1, len(pieces))) AS k
+      FROM (SELECT query_pos, query, span_id, regexp_extract_all(texts, {O.q(RX_SENT)}) AS pieces FROM wm_udocs))""")
+def sentence_split(spark, sf_dir):
+    return extract.sentence_table(span_docs(spark, sf_dir))
+
+
+@register("expression_counts", _EX + """
+SELECT a.query, a.n_landed, coalesce(b.n_unique, 0)::BIGINT AS n_unique, coalesce(c.n_rows, 0)::BIGINT AS n_rows
+FROM (SELECT query, count(*)::BIGINT AS n_landed FROM wm_landed GROUP BY query) a
+LEFT JOIN (SELECT query, count(*)::BIGINT AS n_unique FROM wm_udocs GROUP BY query) b ON a.query = b.query
+LEFT JOIN (SELECT query, count(*)::BIGINT AS n_rows FROM wm_total GROUP BY query) c ON a.query = c.query""")
+def expression_counts(spark, sf_dir):
+    ld = landed(spark, sf_dir)
+    return extract.expression_counts(ld, extract.spans_to_words(ld))
+
+
+@register("first_span_variant", _CO + f"""
+SELECT DISTINCT * FROM (
+  SELECT query_pos, query, doc_ix,
+         lower(list_filter(regexp_split_to_array(spans[1].text, '\\s+'), lambda t: t <> '')[-1]) AS word,
+         regexp_replace(list_filter(regexp_extract_all(texts, {O.q(RX_SENT)}), lambda s: contains(s, query))[1],
+                        '^\\s+|\\s+$', '', 'g') AS sentence
+  FROM wm_landed WHERE texts <> '')
+WHERE word IS NOT NULL AND sentence IS NOT NULL""")
+def first_span_variant(spark, sf_dir):
+    return extract.first_span_rows(landed(spark, sf_dir))
+
+
+# --- C9: grammatical arcs (pattern approximation; the driver has no parser output) ---
+
+def _arc_case_sql() -> str:
+    parts = " ".join(f"WHEN {O.q(p)} THEN regexp_matches(sentence, {O.q(arc_regex(p.split()[-1]))})"
+                     for p in STANDIN_PHRASES)
+    return f"CASE query {parts} ELSE false END"
+
+
+@register("arc_filter", _EX + f"SELECT query_pos, query, idx, word, {_arc_case_sql()} AS arc_ok FROM wm_total")
+def arc_filter(spark, sf_dir):
+    t = total(spark, sf_dir)
+    return t.select("query_pos", "query", "idx", "word", arc_pattern(STANDIN_PHRASES).alias("arc_ok"))
