@@ -67,6 +67,11 @@ STANDIN_PHRASES = [
     "is the", "of the", "is a", "is of", "was the", "is that", "to the", "is in",
 ]
 
+# Stand-in morphology table built from the word list: (suffix, features).
+STANDIN_INFLECTIONS = [
+    ("", "V;NFIN"), ("s", "V;3;SG;PRS"), ("ed", "V;PST"), ("ing", "V;V.PTCP;PRS"),
+]
+
 # Upper bound on phrases matched inline inside the scan; longer lists go
 # through an n-gram equi-join instead.
 MAX_INLINE_PHRASES = 256

@@ -438,3 +438,84 @@ def _arc_case_sql() -> str:
 def arc_filter(spark, sf_dir):
     t = total(spark, sf_dir)
     return t.select("query_pos", "query", "idx", "word", arc_pattern(STANDIN_PHRASES).alias("arc_ok"))
+
+
+# --- A13-A19: file sources and sinks; C24 lemma lexicon --------------------------
+
+from ..constants import STANDIN_INFLECTIONS  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+def _read_back_landed(spark, path):
+    back = FS.read_landed_json(spark, path, multi_line=False)
+    phrases = F.array(*[F.lit(p) for p in STANDIN_PHRASES])
+    query = F.regexp_replace("query_slug", "_", " ")
+    return back.select((F.array_position(phrases, query) - 1).cast("bigint").alias("query_pos"),
+                       query.alias("query"), "doc_ix", "shard", "rank", "pos", "metadata", "spans")
+
+
+@register("json_csv_roundtrip", _EX + "SELECT idx, span_id, doc_ix, word, sentence, query FROM wm_total")
+def json_csv_roundtrip(spark, sf_dir):
+    """Landed documents -> JSON (one folder per expression) -> read back -> extraction
+    table -> CSV -> read back with an explicit schema."""
+    jpath = FS.scratch(spark, "landed-json")
+    FS.write_landed_json(landed(spark, sf_dir), jpath)
+    tot = extract.spans_to_words(_read_back_landed(spark, jpath))
+    cpath = FS.scratch(spark, "total-csv")
+    FS.write_csv(tot.select("idx", "span_id", "doc_ix", "word", "sentence", "query"), cpath)
+    return FS.read_total_csv(spark, cpath)
+
+
+@register("partitioned_reuse", _CO + _UNIQUE + "SELECT * FROM wm_unique")
+def partitioned_reuse(spark, sf_dir):
+    """The unique collection written once, partitioned by expression, then reused."""
+    path = FS.scratch(spark, "unique-by-query")
+
+    def build():
+        return unique_docs(spark, sf_dir).withColumn("query_slug", FS.query_slug())
+
+    FS.materialise_once(spark, path, build, partition_by=["query_slug"])
+    back = FS.materialise_once(spark, path, build, partition_by=["query_slug"])  # second call reuses
+    return back.select("query_pos", "query", "doc_ix", "shard", "rank", "pos")
+
+
+def _inflection_sql() -> str:
+    return " UNION ALL ".join(f"SELECT word || {O.q(suf)} AS form, word AS lemma FROM wm_wordlist"
+                              for suf, _ in STANDIN_INFLECTIONS)
+
+
+@register("lemma_exclude", _FN + f""",
+wm_morph AS ({_inflection_sql()}),
+wm_listed AS (SELECT form AS w FROM wm_morph UNION SELECT lemma FROM wm_morph)
+SELECT query_pos, query, idx, nword AS word FROM wm_pre p
+WHERE nword IS NOT NULL AND {O.shape_sql('nword')}
+  AND NOT EXISTS (SELECT 1 FROM wm_listed l WHERE l.w = p.nword)""")
+def lemma_exclude(spark, sf_dir):
+    """A15 TSV sink + A16 reader + C23 cleaning + C24 exclusion on the extracted rows."""
+    wl = tables.word_list(spark, sf_dir)
+    rows = F.array(*[F.struct(F.concat(F.col("word"), F.lit(suf)).alias("word"), F.col("word").alias("lemma"),
+                              F.lit(feat).alias("features")) for suf, feat in STANDIN_INFLECTIONS])
+    morph = wl.select(F.explode(rows).alias("_m")).select("_m.*")
+    path = FS.scratch(spark, "lemmas-tsv")
+    FS.write_tsv(morph, path)
+    lem = lexicon.read_lemma_lexicon(FS.read_lemma_tsv(spark, path))
+    pre = preprocess(total_m(spark, sf_dir))
+    cand = pre.where(F.col("word").isNotNull() & shape_ok("word"))
+    return lexicon.lemma_exclude(cand, lem).select("query_pos", "query", "idx", "word")
+
+
+# --- A8: streaming unique collection --------------------------------------------
+
+from ..streaming import collect as ST  # noqa: E402
+
+
+@register("stream_collect", _CO + "SELECT DISTINCT query, doc_ix FROM wm_landed")
+def stream_collect(spark, sf_dir):
+    """Every landed occurrence written as files (several polls' worth), then deduplicated
+    by a Structured Streaming query; equals the batch unique collection's keys."""
+    src, sink, ckpt = (FS.scratch(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    ev = landed(spark, sf_dir).select("query", "doc_ix", "shard", "rank", "pos")
+    ev.repartition(4, "shard").write.mode("overwrite").json(src)
+    ST.use_rocksdb_state(spark)
+    out = ST.unique_stream(spark, src, sink, ckpt)
+    return out.select("query", "doc_ix")
