@@ -519,3 +519,47 @@ def stream_collect(spark, sf_dir):
     ST.use_rocksdb_state(spark)
     out = ST.unique_stream(spark, src, sink, ckpt)
     return out.select("query", "doc_ix")
+
+
+# --- E: subword segmentation -------------------------------------------------------
+
+from ..operators import segment as SG  # noqa: E402
+
+_SEGW = """,
+wm_segw AS (SELECT lower(word) AS word, count(*)::BIGINT AS n FROM wm_total
+            WHERE regexp_full_match(word, '[a-zA-Z]+') GROUP BY lower(word)),
+wm_p AS (
+  SELECT word, n, s, l, substr(word, s, l) AS piece FROM (
+    SELECT word, n, s, unnest(generate_series(1, 6)) AS l FROM (
+      SELECT word, n, unnest(generate_series(1, length(word))) AS s FROM wm_segw))
+  WHERE s + l - 1 <= length(word))
+"""
+
+
+def seg_words(spark, sf_dir):
+    """Letters-only extracted words, lower-cased, weighted by their row count."""
+    t = total(spark, sf_dir)
+    return (t.where(F.col("word").rlike(r"^[a-zA-Z]+\z")).groupBy(F.lower("word").alias("word"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
+@register("piece_stats", _EX + _SEGW + "SELECT piece, sum(n)::BIGINT AS n FROM wm_p GROUP BY piece")
+def piece_stats(spark, sf_dir):
+    return SG.unigram_stats(seg_words(spark, sf_dir))
+
+
+@register("bigram_stats", _EX + _SEGW + """
+SELECT prev, piece, sum(n)::BIGINT AS n FROM (
+  SELECT a.n, a.piece AS prev, b.piece FROM wm_p a JOIN wm_p b ON a.word = b.word AND b.s = a.s + a.l
+  UNION ALL SELECT n, '<s>' AS prev, piece FROM wm_p WHERE s = 1)
+GROUP BY prev, piece""")
+def bigram_stats(spark, sf_dir):
+    return SG.bigram_stats(seg_words(spark, sf_dir))
+
+
+@register("beam_segment")
+def beam_segment(spark, sf_dir):
+    """E2 (rows-only check): best segmentation of every distinct extracted word."""
+    w = materialise(seg_words(spark, sf_dir))
+    seg = SG.beam_segment(w, SG.unigram_stats(w), SG.bigram_stats(w))
+    return seg.select("word", F.array_join("pieces", " ").alias("pieces"), F.round("score", 6).alias("score"))
