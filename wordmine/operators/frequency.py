@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_BROADCAST_ROWS, RX_EDGE
 from ..functions.text import surface_forms
+from ..session import materialise
 
 
 def collected_frequency(final: DataFrame) -> DataFrame:
@@ -55,8 +56,10 @@ def form_counts(corpus: DataFrame, forms: DataFrame) -> DataFrame:
 
 def corpus_frequency(collected: DataFrame, corpus: DataFrame) -> DataFrame:
     """Per word, the summed corpus count of its distinct surface forms (absent = 0)."""
-    forms = collected.select("word", "query_pos", "idx", "span_id", "doc_ix",
-                             F.explode(surface_forms("word", "org")).alias("form"))
+    # the asked forms are few (3 per surviving word): write them once so the
+    # size check and the corpus join do not each re-run the funnel upstream
+    forms = materialise(collected.select("word", "query_pos", "idx", "span_id", "doc_ix",
+                                         F.explode(surface_forms("word", "org")).alias("form")))
     counts = form_counts(corpus, forms)
     joined = forms.join(counts, "form", "left")
     return (joined.groupBy("word", "query_pos", "idx", "span_id", "doc_ix")

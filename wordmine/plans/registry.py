@@ -85,7 +85,9 @@ def lexicons(spark: SparkSession, sf_dir: str, variant: str = "current") -> funn
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES)
+    """Every extracted row with the stage that removed it, written once (the
+    per-stage kept/removed output) so audit, final table and frequencies read it."""
+    return materialise(funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES))
 
 
 def stage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
