@@ -33,15 +33,29 @@ def dedup_documents(landed: DataFrame) -> DataFrame:
     before the shuffle) instead of a window sort of whole rows.
     """
     df = with_texts(landed)
-    keys = ["query_pos", "query", "doc_ix", "metadata", "texts"]
-    first = F.min(F.struct("shard", "rank", "pos", "spans")).alias("_f")
+    # shard is a function of doc_ix; keeping it in the key lets a landed table
+    # range-partitioned on (query, shard, doc_ix) be grouped without a shuffle
+    keys = ["query_pos", "query", "shard", "doc_ix", "metadata", "texts"]
+    first = F.min(F.struct("rank", "pos", "spans")).alias("_f")
     return (df.groupBy(*keys).agg(first)
-            .select(*keys, "_f.shard", "_f.rank", "_f.pos", "_f.spans"))
+            .select(*keys, "_f.rank", "_f.pos", "_f.spans"))
 
 
-def assign_span_ids(docs: DataFrame) -> DataFrame:
-    """Dense 0-based span_id per query, in (shard, rank) order."""
-    return dense_index(docs, ["query"], ["shard", "rank"], "span_id")
+def drop_repeated_windows(landed: DataFrame) -> DataFrame:
+    """B3 for rows from ``landed_documents``: drop the windows flagged ``repeat``
+    (same text as an earlier window of the same phrase and document). A filter,
+    so the landed table's range partitioning is kept for the ids below."""
+    return (with_texts(landed).where(~F.col("repeat"))
+            .select("query_pos", "query", "shard", "doc_ix", "metadata", "texts", "rank", "pos", "spans"))
+
+
+def assign_span_ids(docs: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Dense 0-based span_id per query, in (shard, rank) order.
+
+    ``partitioned``: ``docs`` still carries the (query, shard, doc_ix) range
+    partitioning of the landed rows (rank follows doc_ix inside a shard).
+    """
+    return dense_index(docs, ["query"], ["shard", "rank"], "span_id", partitioned=partitioned)
 
 
 # --- per-row expressions --------------------------------------------------
@@ -129,18 +143,30 @@ def sentence_table(docs: DataFrame) -> DataFrame:
                     F.col("_s.s").alias("piece")))
 
 
-def extraction_table(docs: DataFrame) -> DataFrame:
+def extraction_table(docs: DataFrame, partitioned: bool = False) -> DataFrame:
     """The "total" table; idx = dense 0-based row index per query.
 
     Columns: query_pos, query, idx, span_id, doc_ix, hit_no, word, word_offset, sentence.
     """
     hits = extract_hits(docs).na.drop("any")
-    return dense_index(hits, ["query"], ["span_id", "hit_no"], "idx")
+    return dense_index(hits, ["query"], ["span_id", "hit_no"], "idx", partitioned=partitioned)
+
+
+def spans_to_words(landed: DataFrame, partitioned: bool = False) -> DataFrame:
+    """B1-B15 end to end: landed documents -> extraction table.
+
+    With ``partitioned`` (landed rows from ``landed_documents``) the whole
+    chain runs on the landed table's single range shuffle.
+    """
+    return extraction_table(unique_windows(landed, partitioned), partitioned=partitioned)
 
 
-def spans_to_words(landed: DataFrame) -> DataFrame:
-    """B1-B15 end to end: landed documents -> extraction table."""
-    return extraction_table(assign_span_ids(dedup_documents(landed)))
+def unique_windows(landed: DataFrame, partitioned: bool = False) -> DataFrame:
+    """B3 + B4. ``partitioned``: ``landed`` comes straight from ``landed_documents``
+    (range-partitioned, repeat-flagged); nothing in between re-partitions it."""
+    if partitioned:
+        return assign_span_ids(drop_repeated_windows(landed), partitioned=True)
+    return assign_span_ids(dedup_documents(landed))
 
 
 def expression_counts(landed: DataFrame, total: DataFrame) -> DataFrame:

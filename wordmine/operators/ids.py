@@ -23,11 +23,17 @@ _POS_BITS = 33
 
 
 def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: str,
-                num_partitions: int | None = None, bounded_groups: bool = True) -> DataFrame:
+                num_partitions: int | None = None, bounded_groups: bool = True,
+                partitioned: bool = False) -> DataFrame:
     """Add ``name`` = 0-based position of the row inside its group, in ``order_cols`` order.
 
     ``group_cols + order_cols`` must be a total order (unique per row), which
     makes the numbering deterministic, also when a lost partition is recomputed.
+
+    ``partitioned=True`` promises that ``df`` is already range-partitioned on a
+    prefix of ``group_cols + order_cols`` (or on keys whose order implies it),
+    so partition i holds only keys before those of partition i+1: the rows are
+    then numbered where they are, without another shuffle.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -36,8 +42,8 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     # an executor are recomputed from lineage, deterministically).
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    numbered = (df.repartitionByRange(n, *keys)
-                  .sortWithinPartitions(*keys)
+    ranged = df if partitioned else df.repartitionByRange(n, *keys)
+    numbered = (ranged.sortWithinPartitions(*keys)
                   .withColumn("_mid", F.monotonically_increasing_id())
                   .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
                   .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))

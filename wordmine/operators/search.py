@@ -120,11 +120,19 @@ def occurrence_windows(hits: DataFrame, max_disp_len: int = MAX_DISP_LEN) -> Dat
                f"'wh', filter(hits, h -> h >= o.lo AND h + n_tok - 1 <= o.hi)))")
     occ = (f"transform({windows}, o -> named_struct('pos', o.p, 'spans', "
            f"concat(array({first_ctx}), flatten(transform(o.wh, (h, j) -> array({hit_sp}, {next_ctx}))))))")
+    # B3 inside the row: every window of one (phrase, document) comes from this
+    # row, so "first window with this text" (by pos) needs no shuffle
+    with_text = f"transform({occ}, o -> named_struct('pos', o.pos, 'spans', o.spans, " \
+                f"'texts', array_join(transform(o.spans, s -> s.text), ' ')))"
+    flagged = (f"element_at(transform(array({with_text}), occs -> transform(occs, (o, i) -> "
+               f"named_struct('pos', o.pos, 'spans', o.spans, "
+               f"'repeat', exists(slice(occs, 1, i), q -> q.texts = o.texts)))), 1)")
     return (hits.select("query_pos", "query", "doc_ix", "shard", "metadata",
-                        F.explode(F.expr(occ)).alias("_o"))
+                        F.explode(F.expr(flagged)).alias("_o"))
             .select("query_pos", "query", "doc_ix", "shard", "metadata",
                     F.col("_o.pos").cast("bigint").alias("pos"),
-                    F.col("_o.spans").cast(SPAN_TYPE).alias("spans")))
+                    F.col("_o.spans").cast(SPAN_TYPE).alias("spans"),
+                    F.col("_o.repeat").alias("repeat")))
 
 
 def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int = MAX_DISP_LEN) -> DataFrame:
@@ -133,12 +141,23 @@ def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int =
     Columns: query_pos, query, shard, rank, doc_ix, pos, metadata, spans.
     """
     occ = occurrence_windows(phrase_hits(corpus, phrases), max_disp_len)
-    return rank_occurrences(occ)
+    return rank_occurrences(range_by_document(occ), partitioned=True)
 
 
-def rank_occurrences(occ: DataFrame) -> DataFrame:
+def range_by_document(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """The one shuffle of the landed rows: range-partitioned on (query, shard, doc_ix).
+
+    Rank (A3), document dedup (B3, whose key contains these columns), span ids
+    (B4) and row ids (B13) all follow this order, so they run partition-locally.
+    A document never straddles two partitions.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, "query", "shard", "doc_ix")
+
+
+def rank_occurrences(occ: DataFrame, partitioned: bool = False) -> DataFrame:
     """A3: rank = 0-based position of the occurrence in its (phrase, shard), by (doc_ix, pos)."""
-    return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
+    return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", partitioned=partitioned)
 
 
 def shard_counts(corpus: DataFrame, phrases: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.spans_to_words(landed(spark, sf_dir))
+    return extract.spans_to_words(landed(spark, sf_dir), partitioned=True)
 
 
 def total_m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +383,7 @@ def pending_worklist(spark, sf_dir):
 # --- B: spans, words, sentences ------------------------------------------------
 
 def span_docs(spark, sf_dir):
-    return extract.assign_span_ids(extract.dedup_documents(landed(spark, sf_dir)))
+    return extract.unique_windows(landed(spark, sf_dir), partitioned=True)
 
 
 @register("span_ids", _EX + "SELECT query_pos, query, span_id, doc_ix, shard, rank, pos FROM wm_udocs")
@@ -413,7 +413,7 @@ LEFT JOIN (SELECT query, count(*)::BIGINT AS n_unique FROM wm_udocs GROUP BY que
 LEFT JOIN (SELECT query, count(*)::BIGINT AS n_rows FROM wm_total GROUP BY query) c ON a.query = c.query""")
 def expression_counts(spark, sf_dir):
     ld = landed(spark, sf_dir)
-    return extract.expression_counts(ld, extract.spans_to_words(ld))
+    return extract.expression_counts(ld, extract.spans_to_words(ld, partitioned=True))
 
 
 @register("first_span_variant", _CO + f"""
