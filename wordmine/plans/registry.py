@@ -565,3 +565,12 @@ def beam_segment(spark, sf_dir):
     w = materialise(seg_words(spark, sf_dir))
     seg = SG.beam_segment(w, SG.unigram_stats(w), SG.bigram_stats(w))
     return seg.select("word", F.array_join("pieces", " ").alias("pieces"), F.round("score", 6).alias("score"))
+
+
+# --- older pipeline variant: letters-only words (C4), title-contains stage (C15) ---
+
+@register("older_kept_removed", "WITH " + O.funnel_ctes(older=True) + """
+SELECT query_pos, query, idx, org, word, removed_by FROM wm_audit""")
+def older_kept_removed(spark, sf_dir):
+    rows = funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir, variant="older"), STANDIN_PHRASES)
+    return rows.select("query_pos", "query", "idx", "org", "word", "removed_by")
