@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import RX_ALNUM, RX_EDGE, RX_SENT, RX_TOKEN_WS
 from ..functions.text import sql_str
-from .ids import dense_index
+from .ids import dense_index, dense_index_bucketed
 
 
 def span_text(spans: str = "spans") -> str:
@@ -44,18 +44,22 @@ def dedup_documents(landed: DataFrame) -> DataFrame:
 def drop_repeated_windows(landed: DataFrame) -> DataFrame:
     """B3 for rows from ``landed_documents``: drop the windows flagged ``repeat``
     (same text as an earlier window of the same phrase and document). A filter,
-    so the landed table's range partitioning is kept for the ids below."""
+    so the landed rows stay where the bucket shuffle put them."""
     return (with_texts(landed).where(~F.col("repeat"))
-            .select("query_pos", "query", "shard", "doc_ix", "metadata", "texts", "rank", "pos", "spans"))
+            .select("query_pos", "query", "shard", "doc_ix", "metadata", "texts", "rank", "pos", "spans",
+                    "bucket"))
 
 
 def assign_span_ids(docs: DataFrame, partitioned: bool = False) -> DataFrame:
     """Dense 0-based span_id per query, in (shard, rank) order.
 
-    ``partitioned``: ``docs`` still carries the (query, shard, doc_ix) range
-    partitioning of the landed rows (rank follows doc_ix inside a shard).
+    ``partitioned``: ``docs`` carries the landed rows' order-preserving
+    ``bucket`` (rank follows doc_ix inside a shard), so numbering stays inside
+    buckets.
     """
-    return dense_index(docs, ["query"], ["shard", "rank"], "span_id", partitioned=partitioned)
+    if partitioned:
+        return dense_index_bucketed(docs, ["query"], ["shard", "rank"], "span_id")
+    return dense_index(docs, ["query"], ["shard", "rank"], "span_id")
 
 
 # --- per-row expressions --------------------------------------------------
@@ -105,10 +109,11 @@ def extract_hits(docs: DataFrame) -> DataFrame:
               .withColumn("_hw", F.expr(_hit_words()))
               .withColumn("_pieces", F.regexp_extract_all("texts", F.lit(RX_SENT), 0))
               .withColumn("_sents", F.expr(_sentences())))
-    rows = df.select("query_pos", "query", "span_id", "doc_ix", "texts", "_sents",
+    extra = ["bucket"] if "bucket" in docs.columns else []
+    rows = df.select("query_pos", "query", "span_id", "doc_ix", *extra, "texts", "_sents",
                      F.posexplode("_hw").alias("hit_no", "_h"))
     word = F.regexp_replace(F.col("_h.raw"), RX_EDGE, "")
-    rows = (rows.select("query_pos", "query", "span_id", "doc_ix", "_sents",
+    rows = (rows.select("query_pos", "query", "span_id", "doc_ix", *extra, "_sents",
                         F.col("hit_no").cast("bigint").alias("hit_no"),
                         word.alias("word"), F.col("_h.offset").cast("bigint").alias("word_offset"))
                 .where(F.col("word") != ""))
@@ -121,7 +126,7 @@ def extract_hits(docs: DataFrame) -> DataFrame:
         f"{strip.format('element_at(_sents, _s.k + 2).s')}) "
         f"ELSE {strip.format('_s.s')} END")
     return rows.select("query_pos", "query", "span_id", "doc_ix", "hit_no", "word", "word_offset",
-                       sent.alias("sentence"))
+                       sent.alias("sentence"), *extra)
 
 
 def hit_words(docs: DataFrame) -> DataFrame:
@@ -149,21 +154,24 @@ def extraction_table(docs: DataFrame, partitioned: bool = False) -> DataFrame:
     Columns: query_pos, query, idx, span_id, doc_ix, hit_no, word, word_offset, sentence.
     """
     hits = extract_hits(docs).na.drop("any")
-    return dense_index(hits, ["query"], ["span_id", "hit_no"], "idx", partitioned=partitioned)
+    if partitioned:
+        return dense_index_bucketed(hits, ["query"], ["span_id", "hit_no"], "idx").drop("bucket")
+    return dense_index(hits, ["query"], ["span_id", "hit_no"], "idx")
 
 
 def spans_to_words(landed: DataFrame, partitioned: bool = False) -> DataFrame:
     """B1-B15 end to end: landed documents -> extraction table.
 
-    With ``partitioned`` (landed rows from ``landed_documents``) the whole
-    chain runs on the landed table's single range shuffle.
+    With ``partitioned`` (landed rows from ``landed_documents``, carrying their
+    order-preserving ``bucket``) the whole chain runs on the landed table's
+    single shuffle by bucket.
     """
     return extraction_table(unique_windows(landed, partitioned), partitioned=partitioned)
 
 
 def unique_windows(landed: DataFrame, partitioned: bool = False) -> DataFrame:
-    """B3 + B4. ``partitioned``: ``landed`` comes straight from ``landed_documents``
-    (range-partitioned, repeat-flagged); nothing in between re-partitions it."""
+    """B3 + B4. ``partitioned``: ``landed`` comes from ``landed_documents``
+    (bucketed, repeat-flagged): dedup is a filter and ids number inside buckets."""
     if partitioned:
         return assign_span_ids(drop_repeated_windows(landed), partitioned=True)
     return assign_span_ids(dedup_documents(landed))

@@ -16,24 +16,18 @@ under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _POS_BITS = 33
 
 
 def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: str,
-                num_partitions: int | None = None, bounded_groups: bool = True,
-                partitioned: bool = False) -> DataFrame:
+                num_partitions: int | None = None, bounded_groups: bool = True) -> DataFrame:
     """Add ``name`` = 0-based position of the row inside its group, in ``order_cols`` order.
 
     ``group_cols + order_cols`` must be a total order (unique per row), which
     makes the numbering deterministic, also when a lost partition is recomputed.
-
-    ``partitioned=True`` promises that ``df`` is already range-partitioned on a
-    prefix of ``group_cols + order_cols`` (or on keys whose order implies it),
-    so partition i holds only keys before those of partition i+1: the rows are
-    then numbered where they are, without another shuffle.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,8 +36,7 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     # an executor are recomputed from lineage, deterministically).
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = df if partitioned else df.repartitionByRange(n, *keys)
-    numbered = (ranged.sortWithinPartitions(*keys)
+    numbered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                   .withColumn("_mid", F.monotonically_increasing_id())
                   .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
                   .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
@@ -62,3 +55,62 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: st
                    .cast("bigint").alias(name))
            .drop("_mid", "_pid", "_pos"))
     return out
+
+
+def key_boundaries(keys: DataFrame, cols: list[str], buckets: int, per_bucket_sample: int = 64,
+                   seed: int = 17) -> list[tuple]:
+    """Split points of ``cols`` (lexicographic) into ``buckets`` ranges of similar size.
+
+    Reads only the key columns and brings a bounded sample to the driver
+    (at most about ``buckets * per_bucket_sample`` keys, whatever the data size).
+    """
+    n = keys.count()
+    if n == 0 or buckets <= 1:
+        return []
+    frac = min(1.0, buckets * per_bucket_sample / n)
+    sample = (keys.select(*cols).sample(False, frac, seed=seed)
+              .orderBy(*cols).collect())
+    if not sample:
+        return []
+    step = len(sample) / buckets
+    cuts = []
+    for i in range(1, buckets):
+        k = tuple(sample[min(len(sample) - 1, int(i * step))])
+        if not cuts or k > cuts[-1]:
+            cuts.append(k)
+    return cuts
+
+
+def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
+    """Bucket number = count of split points <= the row's key (order preserving)."""
+    if not cuts:
+        return F.lit(0)
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    lits = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)]) for cut in cuts])
+    return F.size(F.filter(lits, lambda b: b <= key))
+
+
+def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
+                         bucket: str = "bucket") -> DataFrame:
+    """Dense 0-based row number per group, for rows carrying an order-preserving ``bucket``.
+
+    ``bucket`` must never decrease along ``order_cols`` inside a group. Rows
+    are numbered inside (bucket, group) by a window (a bucket is one slice of
+    the key range, so no group lands whole in one task), and a small table of
+    per-(bucket, group) counts gives the offsets. It has at most
+    #buckets x #groups-per-bucket rows and is broadcast. If ``df`` is already
+    hash-partitioned by ``bucket`` the window needs no shuffle; if not, Spark
+    adds one, and the numbering is still right: it depends on the bucket
+    values only, never on physical partitions.
+    """
+    w = Window.partitionBy(bucket, *group_cols).orderBy(*order_cols)
+    local = df.withColumn("_local", F.row_number().over(w) - 1)
+    counts = df.groupBy(bucket, *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy(bucket)
+                                .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(bucket, *group_cols, F.coalesce(before, F.lit(0)).alias("_before"))
+    a, b = local.alias("_a"), F.broadcast(offsets).alias("_b")
+    cond = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [bucket, *group_cols]]
+    return (a.join(b, on=cond, how="inner")
+            .select("_a.*", (F.col("_b._before") + F.col("_a._local")).cast("bigint").alias(name))
+            .drop("_local"))

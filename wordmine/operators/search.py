@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_DISP_LEN, MAX_INLINE_PHRASES
 from ..functions.text import sql_str
-from .ids import dense_index
+from .ids import bucket_of, dense_index, dense_index_bucketed, key_boundaries
 
 SPAN_TYPE = "array<struct<text:string,label:string>>"
 
@@ -127,37 +127,40 @@ def occurrence_windows(hits: DataFrame, max_disp_len: int = MAX_DISP_LEN) -> Dat
     flagged = (f"element_at(transform(array({with_text}), occs -> transform(occs, (o, i) -> "
                f"named_struct('pos', o.pos, 'spans', o.spans, "
                f"'repeat', exists(slice(occs, 1, i), q -> q.texts = o.texts)))), 1)")
-    return (hits.select("query_pos", "query", "doc_ix", "shard", "metadata",
+    extra = ["bucket"] if "bucket" in hits.columns else []
+    return (hits.select("query_pos", "query", "doc_ix", "shard", "metadata", *extra,
                         F.explode(F.expr(flagged)).alias("_o"))
-            .select("query_pos", "query", "doc_ix", "shard", "metadata",
+            .select("query_pos", "query", "doc_ix", "shard", "metadata", *extra,
                     F.col("_o.pos").cast("bigint").alias("pos"),
                     F.col("_o.spans").cast(SPAN_TYPE).alias("spans"),
                     F.col("_o.repeat").alias("repeat")))
 
 
-def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int = MAX_DISP_LEN) -> DataFrame:
+def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int = MAX_DISP_LEN,
+                     buckets: int | None = None) -> DataFrame:
     """A1-A4 + A3: every occurrence as a landed document with its (shard, rank).
 
-    Columns: query_pos, query, shard, rank, doc_ix, pos, metadata, spans.
+    Columns: query_pos, query, doc_ix, shard, metadata, bucket, pos, spans,
+    repeat, rank. ``bucket`` is an order-preserving slice of (shard, doc_ix)
+    fixed from a bounded sample of the corpus keys (no sampling pass over the
+    computed windows); the landed rows are shuffled once, by bucket, and the
+    rank, document dedup, span ids and row ids downstream all number inside
+    buckets. ``repeat`` flags a window whose text an earlier window of the same
+    phrase and document already has (B3).
     """
-    occ = occurrence_windows(phrase_hits(corpus, phrases), max_disp_len)
-    return rank_occurrences(range_by_document(occ), partitioned=True)
-
-
-def range_by_document(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """The one shuffle of the landed rows: range-partitioned on (query, shard, doc_ix).
-
-    Rank (A3), document dedup (B3, whose key contains these columns), span ids
-    (B4) and row ids (B13) all follow this order, so they run partition-locally.
-    A document never straddles two partitions.
-    """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, "query", "shard", "doc_ix")
+    spark = corpus.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = key_boundaries(corpus.select("shard", "doc_ix"), ["shard", "doc_ix"], n)
+    hits = phrase_hits(corpus, phrases).withColumn("bucket", bucket_of(["shard", "doc_ix"], cuts))
+    occ = occurrence_windows(hits, max_disp_len).repartition(n, "bucket")
+    return rank_occurrences(occ)
 
 
-def rank_occurrences(occ: DataFrame, partitioned: bool = False) -> DataFrame:
+def rank_occurrences(occ: DataFrame) -> DataFrame:
     """A3: rank = 0-based position of the occurrence in its (phrase, shard), by (doc_ix, pos)."""
-    return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", partitioned=partitioned)
+    if "bucket" in occ.columns:
+        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
+    return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
 
 
 def shard_counts(corpus: DataFrame, phrases: list[str]) -> DataFrame:
