@@ -103,6 +103,8 @@ def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[
     adds one, and the numbering is still right: it depends on the bucket
     values only, never on physical partitions.
     """
+    # the count branch and the numbering branch both read df: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(bucket, *group_cols).orderBy(*order_cols)
     local = df.withColumn("_local", F.row_number().over(w) - 1)
     counts = df.groupBy(bucket, *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -40,7 +40,7 @@ def total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def total_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extraction table, written once to the shared folder (the funnel reads it many times)."""
-    return materialise(total(spark, sf_dir))
+    return materialise(total(spark, sf_dir), "extraction")
 
 
 # --- A1-A4 ------------------------------------------------------------------
@@ -78,16 +78,21 @@ from . import funnel  # noqa: E402
 
 
 def lexicons(spark: SparkSession, sf_dir: str, variant: str = "current") -> funnel.Lexicons:
-    wl = tables.word_list(spark, sf_dir)
+    """The funnel's lexicons, each derived once and written (they are read by several
+    stages and their size checks)."""
+    wl = materialise(tables.word_list(spark, sf_dir), "word-list")
     titles = tables.title_list(spark, sf_dir) if variant == "older" else tables.title_words(spark, sf_dir)
-    return funnel.Lexicons(word_list=wl, base_list=wl, checkers=[("benchmark", wl)], titles=titles,
-                           dictionary=tables.dictionary_entries(spark, sf_dir), variant=variant)
+    return funnel.Lexicons(word_list=wl, base_list=wl, checkers=[("benchmark", wl)],
+                           titles=materialise(titles, "titles"),
+                           dictionary=materialise(tables.dictionary_entries(spark, sf_dir), "dictionary"),
+                           variant=variant)
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every extracted row with the stage that removed it, written once (the
     per-stage kept/removed output) so audit, final table and frequencies read it."""
-    return materialise(funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES))
+    return materialise(funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES),
+                       "audited")
 
 
 def stage_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,12 +69,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialise(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def materialise(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared folder and read it back.
 
-    Used at the boundary where the mined rows are complete (the extraction
-    table): everything after it reads the written table instead of re-running
-    the corpus scan, and a lost executor re-reads files instead of recomputing.
+    Used where a table is complete and read several times (the extraction
+    table, the audited rows, lexicons): everything after it reads the written
+    files instead of re-running the upstream plan, the lineage is cut, and a
+    lost executor re-reads files instead of recomputing. One job computes
+    ``df`` (an eager ``checkpoint()`` would compute it twice unless cached).
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
