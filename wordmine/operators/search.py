@@ -5,10 +5,11 @@ metadata string)``. A phrase matches a run of whitespace tokens whose
 lower-cased forms equal the phrase tokens; the last token may carry trailing
 punctuation (``word.`` ends ``is not a word``).
 
-Short phrase lists are matched inside the scan: every document row computes
-the hit positions of every phrase with array expressions, after a cheap
-``instr`` pre-test on the lower-cased text. No join, no shuffle; the text is
-read once for all phrases. Lists longer than ``MAX_INLINE_PHRASES`` go
+Short phrase lists are matched inside the scan: a substring test of the
+phrase against the lower-cased, blank-collapsed text (a necessary condition,
+one pass shared by all phrases) selects the documents for which the hit
+positions are computed with array expressions. No join, no shuffle; the text
+is read once for all phrases. Lists longer than ``MAX_INLINE_PHRASES`` go
 through an equi-join of document n-grams against the phrase table instead.
 """
 
@@ -38,7 +39,8 @@ def _hits_sql(tokens: list[str]) -> str:
     n = len(tokens)
     conds = [f"element_at(_lk, p + {j}) = {sql_str(t)}" for j, t in enumerate(tokens[:-1])]
     conds.append(f"regexp_replace(element_at(_lk, p + {n - 1}), '[^a-z]+$', '') = {sql_str(tokens[-1])}")
-    pretest = " AND ".join(f"instr(_lt, {sql_str(t)}) > 0" for t in dict.fromkeys(tokens))
+    # necessary condition, one substring test on the blank-normalised text
+    pretest = f"instr(_ln, {sql_str(' '.join(tokens))}) > 0"
     hits = (f"IF(size(_lk) >= {n} AND {pretest}, "
             f"filter(sequence(1, size(_lk) - {n - 1}), p -> {' AND '.join(conds)}), array())")
     if _self_overlapping(tokens):
@@ -58,7 +60,10 @@ def phrase_hits(corpus: DataFrame, phrases: list[str]) -> DataFrame:
     docs = corpus.select("doc_ix", "shard", "metadata",
                          F.filter(F.split(F.col("text"), r"\s+"), lambda t: t != "").alias("tokens"),
                          F.lower("text").alias("_lt"))
-    docs = docs.withColumn("_lk", F.transform("tokens", lambda t: F.lower(t)))
+    # lower-cased tokens: split the lower-cased text (same boundaries, no per-token lambda)
+    docs = docs.withColumn("_lk", F.filter(F.split(F.col("_lt"), r"\s+"), lambda t: t != ""))
+    # blanks collapsed: a phrase hit implies its tokens joined by one blank occur here
+    docs = docs.withColumn("_ln", F.regexp_replace(F.col("_lt"), r"\s+", " "))
     structs = []
     for i, ph in enumerate(phrases):
         tk = phrase_tokens(ph)
