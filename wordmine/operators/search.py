@@ -34,15 +34,36 @@ def _self_overlapping(tokens: list[str]) -> bool:
     return any(tokens[:k] == tokens[n - k:] for k in range(1, n))
 
 
+def _pretest_sql(tokens: list[str]) -> str:
+    """Necessary condition for a hit: the tokens joined by one blank occur in the
+    blank-collapsed lower-cased text ``_ln``."""
+    return f"instr(_ln, {sql_str(' '.join(tokens))}) > 0"
+
+
+def _candidates_sql(token_lists: list[list[str]]) -> str:
+    """1-based positions in ``_lk`` whose token can start one of the phrases: one
+    pass over the tokens for all phrases (instead of one pass per phrase)."""
+    firsts = sorted({tk[0] for tk in token_lists if len(tk) > 1})
+    singles = sorted({tk[0] for tk in token_lists if len(tk) == 1})
+    conds = []
+    if firsts:
+        conds.append(f"element_at(_lk, p) IN ({', '.join(sql_str(t) for t in firsts)})")
+    if singles:
+        conds.append(f"regexp_replace(element_at(_lk, p), '[^a-z]+$', '') IN "
+                     f"({', '.join(sql_str(t) for t in singles)})")
+    any_pre = " OR ".join(_pretest_sql(tk) for tk in token_lists)
+    return (f"IF(size(_lk) > 0 AND ({any_pre}), "
+            f"filter(sequence(1, size(_lk)), p -> {' OR '.join(conds)}), array())")
+
+
 def _hits_sql(tokens: list[str]) -> str:
-    """SQL for the 1-based start positions of a phrase in ``_lk`` (lower-cased tokens)."""
+    """SQL for the 1-based start positions of a phrase in ``_lk`` (lower-cased tokens),
+    checked only at the candidate positions ``_cand``."""
     n = len(tokens)
     conds = [f"element_at(_lk, p + {j}) = {sql_str(t)}" for j, t in enumerate(tokens[:-1])]
     conds.append(f"regexp_replace(element_at(_lk, p + {n - 1}), '[^a-z]+$', '') = {sql_str(tokens[-1])}")
-    # necessary condition, one substring test on the blank-normalised text
-    pretest = f"instr(_ln, {sql_str(' '.join(tokens))}) > 0"
-    hits = (f"IF(size(_lk) >= {n} AND {pretest}, "
-            f"filter(sequence(1, size(_lk) - {n - 1}), p -> {' AND '.join(conds)}), array())")
+    hits = (f"IF({_pretest_sql(tokens)}, "
+            f"filter(_cand, p -> p + {n - 1} <= size(_lk) AND {' AND '.join(conds)}), array())")
     if _self_overlapping(tokens):
         # keep a hit only if it starts after the previous raw hit ends
         hits = (f"element_at(transform(array({hits}), r -> "
@@ -64,6 +85,7 @@ def phrase_hits(corpus: DataFrame, phrases: list[str]) -> DataFrame:
     docs = docs.withColumn("_lk", F.filter(F.split(F.col("_lt"), r"\s+"), lambda t: t != ""))
     # blanks collapsed: a phrase hit implies its tokens joined by one blank occur here
     docs = docs.withColumn("_ln", F.regexp_replace(F.col("_lt"), r"\s+", " "))
+    docs = docs.withColumn("_cand", F.expr(_candidates_sql([phrase_tokens(p) for p in phrases])))
     structs = []
     for i, ph in enumerate(phrases):
         tk = phrase_tokens(ph)
