@@ -98,3 +98,21 @@ def test_entry_contract(spark):
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"beam_segment"}
+
+
+def test_bucketed_index_with_a_hot_group(spark):
+    """One group holds ~90% of the rows and buckets are uneven: ids equal a plain
+    row_number, whatever the physical partitioning."""
+    from pyspark.sql import Window
+    from wordmine.operators.ids import bucket_of, dense_index_bucketed, key_boundaries
+    df = spark.range(0, 2000).select(
+        F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"),
+        (F.col("id") * 37 % 2000).alias("k"))
+    cuts = key_boundaries(df, ["k"], 7)
+    b = df.withColumn("bucket", bucket_of(["k"], cuts))
+    expect = sorted(tuple(r) for r in df.select(
+        "g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("rn")).collect())
+    for parts in (1, 5):
+        got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn").select("g", "k", "rn")
+        assert sorted(tuple(r) for r in got.collect()) == expect
+    assert b.select("bucket").distinct().count() > 3

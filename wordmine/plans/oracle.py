@@ -31,15 +31,25 @@ def _phrase_hits_sql(phrases: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def corpus_ctes(phrases: list[str] = STANDIN_PHRASES, max_disp_len: int = MAX_DISP_LEN) -> str:
+_CORPUS_SQL = {
+    "documents": """SELECT doc_id::BIGINT AS doc_ix, source AS shard,
+         '{"lang":"' || lang || '","source":"' || source || '"}' AS metadata, text FROM documents""",
+    "conversations": """SELECT (conv_id * 1000 + turn)::BIGINT AS doc_ix, role AS shard,
+         '{"conv_id":' || conv_id::VARCHAR || ',"turn":' || turn::VARCHAR || '}' AS metadata, text
+         FROM conversations""",
+}
+
+
+def corpus_ctes(phrases: list[str] = STANDIN_PHRASES, max_disp_len: int = MAX_DISP_LEN,
+                source: str = "documents") -> str:
     """CTEs: wm_docs, wm_hits, wm_landed (one row per occurrence, with rank)."""
     half = max_disp_len // 2
     return f"""
+wm_corpus AS ({_CORPUS_SQL[source]}),
 wm_docs0 AS (
-  SELECT doc_id::BIGINT AS doc_ix, source AS shard,
-         '{{"lang":"' || lang || '","source":"' || source || '"}}' AS metadata,
+  SELECT doc_ix, shard, metadata,
          list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS tokens
-  FROM documents
+  FROM wm_corpus
 ),
 wm_docs AS (SELECT *, list_transform(tokens, lambda t: lower(t)) AS lk FROM wm_docs0),
 wm_hits AS (

@@ -579,3 +579,18 @@ SELECT query_pos, query, idx, org, word, removed_by FROM wm_audit""")
 def older_kept_removed(spark, sf_dir):
     rows = funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir, variant="older"), STANDIN_PHRASES)
     return rows.select("query_pos", "query", "idx", "org", "word", "removed_by")
+
+
+# --- the second corpus: conversation turns -------------------------------------
+
+@register("conversation_search", "WITH " + O.corpus_ctes(source="conversations") + """
+SELECT query_pos, query, shard, rank, doc_ix, pos, len(spans)::BIGINT AS n_spans,
+       len(list_filter(spans, lambda s: s.label = '0'))::BIGINT AS n_hits, texts
+FROM wm_landed""")
+def conversation_search(spark, sf_dir):
+    """A1-A4 over the conversations corpus (one document per turn, the role as shard)."""
+    d = search.landed_documents(tables.conversations_corpus(spark, sf_dir), STANDIN_PHRASES)
+    return d.select("query_pos", "query", "shard", "rank", "doc_ix", "pos",
+                    F.size("spans").cast("bigint").alias("n_spans"),
+                    F.size(F.filter("spans", lambda s: s.label == "0")).cast("bigint").alias("n_hits"),
+                    F.expr(extract.span_text()).alias("texts"))
