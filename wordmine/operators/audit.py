@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Stage order of the funnel (first failing stage wins).
@@ -27,21 +27,22 @@ def removed(rows: DataFrame, stage: str) -> DataFrame:
 def stage_audit(rows: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """C20: per stage, rows in, removed, kept; kept + removed = in.
 
-    One aggregation pass (a conditional count per stage) yields a single row,
-    exploded into one row per stage; the running survivor count is a window
-    over those few rows.
+    One aggregation pass (a conditional count per stage) yields a single row;
+    the running survivor counts are sums of those counts, so the per-stage
+    rows come from one explode, with no window and no join.
     """
     st = stage_of()
     agg = rows.agg(F.count(F.lit(1)).alias("n_total"),
                    *[F.count(F.when(st == s, 1)).alias(f"_n{i}") for i, s in enumerate(stages)])
-    per_stage = F.array(*[F.struct(F.lit(i).cast("bigint").alias("stage_pos"), F.lit(s).alias("stage"),
-                                   F.col(f"_n{i}").alias("n_removed")) for i, s in enumerate(stages)])
-    t = agg.select("n_total", F.explode(per_stage).alias("_s")).select("n_total", "_s.*")
-    before = F.sum("n_removed").over(Window.orderBy("stage_pos").rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("n_in", F.col("n_total") - F.coalesce(before, F.lit(0)))
-    return t.select("stage_pos", "stage", F.col("n_in").cast("bigint").alias("n_in"),
-                    F.col("n_removed").cast("bigint").alias("n_removed"),
-                    (F.col("n_in") - F.col("n_removed")).cast("bigint").alias("n_kept"))
+    per_stage = []
+    for i, s in enumerate(stages):
+        before = sum((F.col(f"_n{j}") for j in range(i)), F.lit(0))
+        n_in = F.col("n_total") - before
+        per_stage.append(F.struct(F.lit(i).cast("bigint").alias("stage_pos"), F.lit(s).alias("stage"),
+                                  n_in.cast("bigint").alias("n_in"),
+                                  F.col(f"_n{i}").cast("bigint").alias("n_removed"),
+                                  (n_in - F.col(f"_n{i}")).cast("bigint").alias("n_kept")))
+    return agg.select(F.explode(F.array(*per_stage)).alias("_s")).select("_s.*")
 
 
 def keep_first(rows: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:

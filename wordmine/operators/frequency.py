@@ -77,10 +77,13 @@ def top_words(freq: DataFrame, k: int) -> DataFrame:
 
 
 def cardinality_report(final: DataFrame, collected: DataFrame, counted: DataFrame) -> DataFrame:
-    """Rows of the final table, distinct words, words with a corpus count."""
-    a = final.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-    b = collected.agg(F.count(F.lit(1)).cast("bigint").alias("n_words"))
-    c = counted.agg(F.count(F.lit(1)).cast("bigint").alias("n_counted"),
-                    F.count(F.when(F.col("count") > 0, 1)).cast("bigint").alias("n_nonzero"))
-    return (a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k")
-            .join(c.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    """Rows of the final table, distinct words, words with a corpus count (and
+    with a non-zero one), in one aggregation over the three tables tagged and unioned."""
+    tagged = (final.select(F.lit(0).alias("_t"), F.lit(0).cast("bigint").alias("_c"))
+              .unionByName(collected.select(F.lit(1).alias("_t"), F.lit(0).cast("bigint").alias("_c")))
+              .unionByName(counted.select(F.lit(2).alias("_t"), F.col("count").cast("bigint").alias("_c"))))
+    return tagged.agg(
+        F.count(F.when(F.col("_t") == 0, 1)).cast("bigint").alias("n_rows"),
+        F.count(F.when(F.col("_t") == 1, 1)).cast("bigint").alias("n_words"),
+        F.count(F.when(F.col("_t") == 2, 1)).cast("bigint").alias("n_counted"),
+        F.count(F.when((F.col("_t") == 2) & (F.col("_c") > 0), 1)).cast("bigint").alias("n_nonzero"))
