@@ -116,3 +116,16 @@ def test_bucketed_index_with_a_hot_group(spark):
         got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn").select("g", "k", "rn")
         assert sorted(tuple(r) for r in got.collect()) == expect
     assert b.select("bucket").distinct().count() > 3
+
+
+def test_long_list_path_equals_inline_on_corpus(spark):
+    from conftest import SF_SMALL
+    from wordmine.constants import STANDIN_PHRASES, TRIGGER_PHRASES
+    from wordmine.sources.tables import documents_corpus
+    c = documents_corpus(spark, SF_SMALL)
+    ph = STANDIN_PHRASES + TRIGGER_PHRASES + ["the the", "a"]
+
+    def rows(df):
+        return sorted((r.query, r.doc_ix, tuple(r.hits)) for r in df.select("query", "doc_ix", "hits").collect())
+
+    assert rows(search.phrase_hits(c, ph)) == rows(search._phrase_hits_join(c, ph))

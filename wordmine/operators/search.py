@@ -100,30 +100,47 @@ def phrase_hits(corpus: DataFrame, phrases: list[str]) -> DataFrame:
 
 
 def _phrase_hits_join(corpus: DataFrame, phrases: list[str]) -> DataFrame:
-    """A1 for long phrase lists: document n-grams equi-joined with the phrase table."""
-    spark = corpus.sparkSession
-    rows = [(i, ph, " ".join(phrase_tokens(ph)), len(phrase_tokens(ph))) for i, ph in enumerate(phrases)]
-    table = spark.createDataFrame(rows, "query_pos bigint, query string, key string, n_tok int")
-    lengths = sorted({r[3] for r in rows})
+    """A1 for long phrase lists, still inside the document row.
+
+    The phrase list (bounded by the parameter) becomes a ``map`` literal from
+    the phrase key (its tokens joined by a blank) to its position. For every
+    phrase length, each token position builds its n-gram key (the last token
+    with trailing non-letters stripped, as in the short-list match) and probes
+    the map. The hits are then grouped per phrase inside the row. No join, no
+    shuffle, and nothing quadratic in the document length.
+    """
+    toks = [phrase_tokens(p) for p in phrases]
+    first: dict[str, int] = {}
+    for i, tk in enumerate(toks):
+        first.setdefault(" ".join(tk), i)
+    pmap = F.create_map(*[x for k, i in first.items() for x in (F.lit(k), F.lit(i))])
+    lengths = sorted({len(tk) for tk in toks})
     docs = corpus.select("doc_ix", "shard", "metadata",
-                         F.filter(F.split(F.col("text"), r"\s+"), lambda t: t != "").alias("tokens"))
-    docs = docs.withColumn("_lk", F.transform("tokens", lambda t: F.lower(t)))
-    grams = []
+                         F.filter(F.split(F.col("text"), r"\s+"), lambda t: t != "").alias("tokens"),
+                         F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("_lk"))
+    docs = docs.withColumn("_pmap", pmap)
+    per_len = []
     for n in lengths:
-        g = (docs.select("doc_ix", F.posexplode("_lk").alias("_i", "_t"), "_lk")
-             .where(F.col("_i") + n <= F.size("_lk"))
-             .select("doc_ix", (F.col("_i") + 1).alias("p"), F.lit(n).alias("n_tok"),
-                     F.expr(f"concat_ws(' ', slice(_lk, _i + 1, {n - 1}), "
-                            f"regexp_replace(element_at(_lk, _i + {n}), '[^a-z]+$', ''))").alias("key")))
-        grams.append(g)
-    allg = grams[0]
-    for g in grams[1:]:
-        allg = allg.unionByName(g)
-    hits = (allg.join(table, ["key", "n_tok"])
-            .groupBy("query_pos", "query", "n_tok", "doc_ix")
-            .agg(F.array_sort(F.collect_list("p")).alias("hits")))
-    return (hits.join(docs.drop("_lk"), "doc_ix")
-            .select("query_pos", "query", "n_tok", "doc_ix", "shard", "metadata", "tokens", "hits"))
+        key = (f"concat_ws(' ', slice(_lk, p, {n - 1}), "
+               f"regexp_replace(element_at(_lk, p + {n - 1}), '[^a-z]+$', ''))")
+        per_len.append(f"IF(size(_lk) >= {n}, filter(transform(sequence(1, size(_lk) - {n - 1}), "
+                       f"p -> named_struct('p', p, 'q', element_at(_pmap, {key}))), x -> x.q IS NOT NULL), array())")
+    found = f"concat({', '.join(per_len)})" if len(per_len) > 1 else per_len[0]
+    phrase_arr = F.array(*[F.lit(p) for p in phrases])
+    ntok_arr = F.array(*[F.lit(len(tk)) for tk in toks])
+    docs = (docs.withColumn("_f", F.expr(found))
+                .withColumn("_qs", F.expr("array_sort(array_distinct(transform(_f, x -> x.q)))"))
+                .withColumn("_ph", phrase_arr).withColumn("_nt", ntok_arr))
+    grouped = F.expr(
+        "transform(_qs, q -> named_struct('query_pos', q, 'query', element_at(_ph, q + 1), "
+        "'n_tok', element_at(_nt, q + 1), "
+        "'hits', array_sort(transform(filter(_f, x -> x.q = q), x -> x.p))))")
+    out = (docs.select("doc_ix", "shard", "metadata", "tokens", F.explode(grouped).alias("_m"))
+           .select(F.col("_m.query_pos").cast("bigint").alias("query_pos"), "_m.query",
+                   F.col("_m.n_tok").cast("int").alias("n_tok"), "doc_ix", "shard", "metadata", "tokens",
+                   F.expr("filter(_m.hits, (h, i) -> i = 0 OR h >= element_at(_m.hits, i) + _m.n_tok)")
+                   .alias("hits")))
+    return out
 
 
 def occurrence_windows(hits: DataFrame, max_disp_len: int = MAX_DISP_LEN) -> DataFrame:
