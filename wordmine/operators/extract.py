@@ -64,10 +64,21 @@ def assign_span_ids(docs: DataFrame, partitioned: bool = False) -> DataFrame:
 
 # --- per-row expressions --------------------------------------------------
 
+def _bind(value: str, var: str, body: str) -> str:
+    """``body`` with ``var`` bound to ``value``, evaluated once per row.
+
+    Chained ``withColumn``s that refer to an earlier column inside a lambda may
+    be collapsed by the optimiser, which then re-evaluates the earlier
+    expression at every lambda call; binding it as a lambda variable cannot be
+    inlined.
+    """
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+
+
 def _span_offsets() -> str:
     """Character offset of every span in the joined text (+1 per separator)."""
-    return ("transform(spans, (s, i) -> aggregate(slice(transform(spans, x -> length(x.text)), 1, i), "
-            "0, (a, l) -> a + l + 1))")
+    return _bind("transform(spans, x -> length(x.text))", "lens",
+                 "transform(lens, (l0, i) -> aggregate(slice(lens, 1, i), 0, (a, l) -> a + l + 1))")
 
 
 def _hit_words() -> str:
@@ -87,16 +98,19 @@ def _hit_words() -> str:
     step3 = (f"transform(filter({step2}, x -> x.p >= 0), x -> named_struct("
              f"'span_ix', x.i, "
              f"'raw', array_join(slice(x.core, x.p + 1, size(x.core) - x.p), ' '), "
-             f"'offset', element_at(_offs, x.i) + length(array_join(slice(x.tk, 1, x.p), '')) "
+             f"'offset', element_at(ofs, x.i) + length(array_join(slice(x.tk, 1, x.p), '')) "
              f"+ length(element_at(x.tk, x.p + 1)) - length(element_at(x.core, x.p + 1))))")
-    return step3
+    return _bind(_span_offsets(), "ofs", step3)
 
 
 def _sentences() -> str:
-    """Sentence pieces with [start, end) offsets; trailing blanks are outside."""
-    return ("transform(_pieces, (s, k) -> named_struct('k', k, 's', s, "
-            "'start', aggregate(slice(transform(_pieces, x -> length(x)), 1, k), 0, (a, l) -> a + l), "
+    """Sentence pieces of ``texts`` with [start, start + len) offsets; trailing
+    blanks are outside."""
+    pieces = f"regexp_extract_all(texts, {sql_str(RX_SENT)}, 0)"
+    body = ("transform(pcs, (s, k) -> named_struct('k', k, 's', s, "
+            "'start', aggregate(slice(transform(pcs, x -> length(x)), 1, k), 0, (a, l) -> a + l), "
             "'len', length(regexp_replace(s, '\\\\s+$', ''))))")
+    return _bind(pieces, "pcs", body)
 
 
 def extract_hits(docs: DataFrame) -> DataFrame:
@@ -105,34 +119,36 @@ def extract_hits(docs: DataFrame) -> DataFrame:
     Columns: query_pos, query, span_id, doc_ix, hit_no, word, word_offset, sentence.
     """
     strip = "regexp_replace({0}, '^\\\\s+|\\\\s+$', '')"
-    df = (docs.withColumn("_offs", F.expr(_span_offsets()))
-              .withColumn("_hw", F.expr(_hit_words()))
-              .withColumn("_pieces", F.regexp_extract_all("texts", F.lit(RX_SENT), 0))
-              .withColumn("_sents", F.expr(_sentences())))
+    df = docs.withColumn("_hw", F.expr(_hit_words())).withColumn("_sents", F.expr(_sentences()))
     extra = ["bucket"] if "bucket" in docs.columns else []
-    rows = df.select("query_pos", "query", "span_id", "doc_ix", *extra, "texts", "_sents",
-                     F.posexplode("_hw").alias("hit_no", "_h"))
+    # *_outer: no filter is inferred from the generator, which would copy the
+    # whole hit-word expression into a pushed-down Filter; empty rows go below
+    rows = (df.select("query_pos", "query", "span_id", "doc_ix", *extra, "_sents",
+                      F.posexplode_outer("_hw").alias("hit_no", "_h"))
+            .where(F.col("_h").isNotNull()))
     word = F.regexp_replace(F.col("_h.raw"), RX_EDGE, "")
     rows = (rows.select("query_pos", "query", "span_id", "doc_ix", *extra, "_sents",
                         F.col("hit_no").cast("bigint").alias("hit_no"),
                         word.alias("word"), F.col("_h.offset").cast("bigint").alias("word_offset"))
                 .where(F.col("word") != ""))
-    pick = F.expr("try_element_at(filter(_sents, x -> x.start <= word_offset AND word_offset < x.start + x.len), 1)")
-    rows = rows.withColumn("_s", pick).where(F.col("_s").isNotNull())
-    sent = F.expr(
-        f"CASE WHEN contains(lower(_s.s), query) AND contains(lower(_s.s), lower(word)) "
-        f"THEN {strip.format('_s.s')} "
-        f"WHEN _s.k + 1 < size(_sents) THEN concat({strip.format('_s.s')}, ' ', "
-        f"{strip.format('element_at(_sents, _s.k + 2).s')}) "
-        f"ELSE {strip.format('_s.s')} END")
-    return rows.select("query_pos", "query", "span_id", "doc_ix", "hit_no", "word", "word_offset",
-                       sent.alias("sentence"), *extra)
+    pick = "try_element_at(filter(_sents, x -> x.start <= word_offset AND word_offset < x.start + x.len), 1)"
+    choose = (f"CASE WHEN sk IS NULL THEN NULL "
+              f"WHEN contains(lower(sk.s), query) AND contains(lower(sk.s), lower(word)) "
+              f"THEN {strip.format('sk.s')} "
+              f"WHEN sk.k + 1 < size(_sents) THEN concat({strip.format('sk.s')}, ' ', "
+              f"{strip.format('element_at(_sents, sk.k + 2).s')}) "
+              f"ELSE {strip.format('sk.s')} END")
+    sent = F.expr(_bind(pick, "sk", choose))
+    return (rows.select("query_pos", "query", "span_id", "doc_ix", "hit_no", "word", "word_offset",
+                        sent.alias("sentence"), *extra)
+            .where(F.col("sentence").isNotNull()))
 
 
 def hit_words(docs: DataFrame) -> DataFrame:
     """Every hit's preceding word, raw and edge-stripped, with its offset (before B9's drop)."""
-    df = docs.withColumn("_offs", F.expr(_span_offsets())).withColumn("_hw", F.expr(_hit_words()))
-    rows = df.select("query_pos", "query", "span_id", "doc_ix", F.posexplode("_hw").alias("hit_no", "_h"))
+    df = docs.withColumn("_hw", F.expr(_hit_words()))
+    rows = (df.select("query_pos", "query", "span_id", "doc_ix", F.posexplode_outer("_hw").alias("hit_no", "_h"))
+            .where(F.col("_h").isNotNull()))
     return rows.select("query_pos", "query", "span_id", "doc_ix", F.col("hit_no").cast("bigint").alias("hit_no"),
                        F.col("_h.raw").alias("raw"), F.regexp_replace(F.col("_h.raw"), RX_EDGE, "").alias("word"),
                        F.col("_h.offset").cast("bigint").alias("word_offset"))
@@ -140,9 +156,9 @@ def hit_words(docs: DataFrame) -> DataFrame:
 
 def sentence_table(docs: DataFrame) -> DataFrame:
     """One row per sentence piece with its [start, start + len) offsets."""
-    df = (docs.withColumn("_pieces", F.regexp_extract_all("texts", F.lit(RX_SENT), 0))
-              .withColumn("_sents", F.expr(_sentences())))
-    return (df.select("query_pos", "query", "span_id", F.explode("_sents").alias("_s"))
+    df = docs.withColumn("_sents", F.expr(_sentences()))
+    return (df.select("query_pos", "query", "span_id", F.explode_outer("_sents").alias("_s"))
+            .where(F.col("_s").isNotNull())
             .select("query_pos", "query", "span_id", F.col("_s.k").cast("bigint").alias("k"),
                     F.col("_s.start").cast("bigint").alias("start"), F.col("_s.len").cast("bigint").alias("len"),
                     F.col("_s.s").alias("piece")))
