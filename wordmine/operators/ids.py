@@ -91,7 +91,7 @@ def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
 
 
 def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
-                         bucket: str = "bucket") -> DataFrame:
+                         bucket: str = "bucket", persist: bool = True) -> DataFrame:
     """Dense 0-based row number per group, for rows carrying an order-preserving ``bucket``.
 
     ``bucket`` must never decrease along ``order_cols`` inside a group. Rows
@@ -104,7 +104,9 @@ def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[
     values only, never on physical partitions.
     """
     # the count branch and the numbering branch both read df: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # (``persist=False`` when df is a shuffle output both branches re-read anyway)
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(bucket, *group_cols).orderBy(*order_cols)
     local = df.withColumn("_local", F.row_number().over(w) - 1)
     counts = df.groupBy(bucket, *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -197,13 +197,14 @@ def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int =
     cuts = key_boundaries(corpus.select("shard", "doc_ix"), ["shard", "doc_ix"], n)
     hits = phrase_hits(corpus, phrases).withColumn("bucket", bucket_of(["shard", "doc_ix"], cuts))
     occ = occurrence_windows(hits, max_disp_len).repartition(n, "bucket")
-    return rank_occurrences(occ)
+    # both branches of the numbering re-read the bucket shuffle: no cache needed
+    return rank_occurrences(occ, persist=False)
 
 
-def rank_occurrences(occ: DataFrame) -> DataFrame:
+def rank_occurrences(occ: DataFrame, persist: bool = True) -> DataFrame:
     """A3: rank = 0-based position of the occurrence in its (phrase, shard), by (doc_ix, pos)."""
     if "bucket" in occ.columns:
-        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
+        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", persist=persist)
     return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
 
 
