@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_BROADCAST_ROWS, RX_EDGE
+from ..constants import MAX_BROADCAST_ROWS
 from ..functions.text import surface_forms
 from ..session import materialise
 

@@ -68,7 +68,7 @@ def extraction_table(spark, sf_dir):
 # --- C: normalisation and the funnel -----------------------------------------
 
 from ..functions.text import clean_text as _clean_text  # noqa: E402
-from ..functions.text import edge_strip, normalise_word  # noqa: E402
+from ..functions.text import normalise_word  # noqa: E402
 from ..operators import audit as AU  # noqa: E402
 from ..operators import frequency as FQ  # noqa: E402
 from ..operators import fuzzy, lexicon  # noqa: E402
@@ -287,7 +287,7 @@ def mine_coined_words(spark, sf_dir):
 
 # --- A: acquisition bookkeeping -------------------------------------------------
 
-from ..constants import RX_EDGE, RX_SENT  # noqa: E402
+from ..constants import RX_SENT  # noqa: E402
 from ..operators import collect as CO  # noqa: E402
 from ..operators.arcs import arc_regex  # noqa: E402
 
