@@ -29,3 +29,17 @@ def test_corpus_scan_prunes_columns(spark):
 def test_phrase_search_has_no_join_against_phrases(spark):
     plan = _plan(R.search.phrase_hits(R.tables.documents_corpus(spark, SF_SMALL), R.STANDIN_PHRASES))
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "Exchange" not in plan
+
+
+def test_extraction_independent_of_partition_count(spark):
+    """Ranks, span ids and row ids number inside buckets whose count follows the
+    shuffle partitions; the extraction table must not depend on it."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(tuple(r) for r in R.total(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] and len(results[0]) > 0
