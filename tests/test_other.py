@@ -112,8 +112,9 @@ def test_bucketed_index_with_a_hot_group(spark):
     b = df.withColumn("bucket", bucket_of(["k"], cuts))
     expect = sorted(tuple(r) for r in df.select(
         "g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("rn")).collect())
-    for parts in (1, 5):
-        got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn").select("g", "k", "rn")
+    for parts, bc in ((1, True), (5, True), (5, False)):
+        got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn",
+                                   broadcast_offsets=bc).select("g", "k", "rn")
         assert sorted(tuple(r) for r in got.collect()) == expect
     assert b.select("bucket").distinct().count() > 3
 

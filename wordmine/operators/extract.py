@@ -58,6 +58,7 @@ def assign_span_ids(docs: DataFrame, partitioned: bool = False) -> DataFrame:
     buckets.
     """
     if partitioned:
+        # offsets: at most buckets x phrases rows (both parameters): broadcast
         return dense_index_bucketed(docs, ["query"], ["shard", "rank"], "span_id")
     return dense_index(docs, ["query"], ["shard", "rank"], "span_id")
 

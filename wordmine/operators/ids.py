@@ -91,14 +91,17 @@ def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
 
 
 def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
-                         bucket: str = "bucket", persist: bool = True) -> DataFrame:
+                         bucket: str = "bucket", persist: bool = True,
+                         broadcast_offsets: bool = True) -> DataFrame:
     """Dense 0-based row number per group, for rows carrying an order-preserving ``bucket``.
 
     ``bucket`` must never decrease along ``order_cols`` inside a group. Rows
     are numbered inside (bucket, group) by a window (a bucket is one slice of
     the key range, so no group lands whole in one task), and a small table of
-    per-(bucket, group) counts gives the offsets. It has at most
-    #buckets x #groups-per-bucket rows and is broadcast. If ``df`` is already
+    per-(bucket, group) counts gives the offsets. A bucket is one slice of the
+    key order, so the table has at most (#buckets + #groups) rows for the
+    groups that follow the key order; it is broadcast when the caller has
+    checked that bound (``broadcast_offsets``), else joined by a shuffle. If ``df`` is already
     hash-partitioned by ``bucket`` the window needs no shuffle; if not, Spark
     adds one, and the numbering is still right: it depends on the bucket
     values only, never on physical partitions.
@@ -113,7 +116,7 @@ def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[
     before = F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy(bucket)
                                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(bucket, *group_cols, F.coalesce(before, F.lit(0)).alias("_before"))
-    a, b = local.alias("_a"), F.broadcast(offsets).alias("_b")
+    a, b = local.alias("_a"), (F.broadcast(offsets) if broadcast_offsets else offsets).alias("_b")
     cond = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [bucket, *group_cols]]
     return (a.join(b, on=cond, how="inner")
             .select("_a.*", (F.col("_b._before") + F.col("_a._local")).cast("bigint").alias(name))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_DISP_LEN, MAX_INLINE_PHRASES
+from ..constants import MAX_BROADCAST_ROWS, MAX_DISP_LEN, MAX_INLINE_PHRASES
 from ..functions.text import sql_str
 from .ids import bucket_of, dense_index, dense_index_bucketed, key_boundaries
 
@@ -197,14 +197,19 @@ def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int =
     cuts = key_boundaries(corpus.select("shard", "doc_ix"), ["shard", "doc_ix"], n)
     hits = phrase_hits(corpus, phrases).withColumn("bucket", bucket_of(["shard", "doc_ix"], cuts))
     occ = occurrence_windows(hits, max_disp_len).repartition(n, "bucket")
+    # rank offsets: one row per (bucket, phrase, shard) present, at most
+    # (buckets + shards) x phrases; count the shards (one pruned column) to check
+    shards = corpus.select("shard").distinct().count()
+    small = (n + shards) * len(phrases) <= MAX_BROADCAST_ROWS
     # both branches of the numbering re-read the bucket shuffle: no cache needed
-    return rank_occurrences(occ, persist=False)
+    return rank_occurrences(occ, persist=False, broadcast_offsets=small)
 
 
-def rank_occurrences(occ: DataFrame, persist: bool = True) -> DataFrame:
+def rank_occurrences(occ: DataFrame, persist: bool = True, broadcast_offsets: bool = True) -> DataFrame:
     """A3: rank = 0-based position of the occurrence in its (phrase, shard), by (doc_ix, pos)."""
     if "bucket" in occ.columns:
-        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", persist=persist)
+        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", persist=persist,
+                                    broadcast_offsets=broadcast_offsets)
     return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
 
 
