@@ -130,3 +130,16 @@ def test_long_list_path_equals_inline_on_corpus(spark):
         return sorted((r.query, r.doc_ix, tuple(r.hits)) for r in df.select("query", "doc_ix", "hits").collect())
 
     assert rows(search.phrase_hits(c, ph)) == rows(search._phrase_hits_join(c, ph))
+
+
+def test_bucket_binary_search_equals_bisect(spark):
+    import bisect
+    import random
+    from wordmine.operators.ids import bucket_of
+    rnd = random.Random(3)
+    for ncuts in (1, 2, 7, 100):
+        cuts = sorted({(rnd.choice("abcd"), rnd.randint(0, 1000)) for _ in range(ncuts * 2)})[:ncuts]
+        keys = [(rnd.choice("abcde"), rnd.randint(-5, 1005)) for _ in range(200)] + cuts
+        df = spark.createDataFrame(keys, "shard string, doc_ix bigint")
+        for r in df.select("shard", "doc_ix", bucket_of(["shard", "doc_ix"], cuts).alias("b")).collect():
+            assert r.b == bisect.bisect_right(cuts, (r.shard, r.doc_ix))

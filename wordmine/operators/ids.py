@@ -57,17 +57,22 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     return out
 
 
+MAX_KEY_SAMPLE = 200_000
+
+
 def key_boundaries(keys: DataFrame, cols: list[str], buckets: int, per_bucket_sample: int = 64,
                    seed: int = 17) -> list[tuple]:
     """Split points of ``cols`` (lexicographic) into ``buckets`` ranges of similar size.
 
-    Reads only the key columns and brings a bounded sample to the driver
-    (at most about ``buckets * per_bucket_sample`` keys, whatever the data size).
+    Reads only the key columns and brings a bounded sample to the driver:
+    about ``buckets * per_bucket_sample`` keys, never more than
+    ``MAX_KEY_SAMPLE``, whatever the data size.
     """
     n = keys.count()
     if n == 0 or buckets <= 1:
         return []
-    frac = min(1.0, buckets * per_bucket_sample / n)
+    target = min(buckets * per_bucket_sample, MAX_KEY_SAMPLE)
+    frac = min(1.0, target / n)
     sample = (keys.select(*cols).sample(False, frac, seed=seed)
               .orderBy(*cols).collect())
     if not sample:
@@ -82,12 +87,29 @@ def key_boundaries(keys: DataFrame, cols: list[str], buckets: int, per_bucket_sa
 
 
 def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
-    """Bucket number = count of split points <= the row's key (order preserving)."""
+    """Bucket number = count of split points <= the row's key (order preserving).
+
+    A binary search inside the expression: ceil(log2(#cuts + 1)) halving steps
+    of an ``aggregate``, so the cost per row grows with the log of the bucket
+    count, not with the count.
+    """
     if not cuts:
         return F.lit(0)
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
     lits = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)]) for cut in cuts])
-    return F.size(F.filter(lits, lambda b: b <= key))
+    steps = max(1, (len(cuts)).bit_length())
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        go_right = F.element_at(lits, mid + 1) <= key
+        moving = acc["lo"] < acc["hi"]
+        lo = F.when(moving & go_right, mid + 1).otherwise(acc["lo"])
+        hi = F.when(moving & ~go_right, mid).otherwise(acc["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return found["lo"]
 
 
 def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
