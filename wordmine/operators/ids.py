@@ -15,6 +15,8 @@ under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,7 +98,13 @@ def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
     if not cuts:
         return F.lit(0)
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-    lits = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)]) for cut in cuts])
+    # one JSON literal for all split points (folded once by the optimiser), not
+    # one expression per point: the plan stays small for tens of thousands
+    def sql_type(v):
+        return "string" if isinstance(v, str) else "double" if isinstance(v, float) else "bigint"
+    schema = "array<struct<" + ",".join(f"k{i}:{sql_type(v)}" for i, v in enumerate(cuts[0])) + ">>"
+    payload = json.dumps([{f"k{i}": v for i, v in enumerate(cut)} for cut in cuts])
+    lits = F.from_json(F.lit(payload), schema)
     steps = max(1, (len(cuts)).bit_length())
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
