@@ -9,8 +9,8 @@ Short phrase lists are matched inside the scan: a substring test of the
 phrase against the lower-cased, blank-collapsed text (a necessary condition,
 one pass shared by all phrases) selects the documents for which the hit
 positions are computed with array expressions. No join, no shuffle; the text
-is read once for all phrases. Lists longer than ``MAX_INLINE_PHRASES`` go
-through an equi-join of document n-grams against the phrase table instead.
+is read once for all phrases. Lists longer than ``MAX_INLINE_PHRASES`` probe
+a map literal of phrase keys with every position's n-gram, also in the row.
 """
 
 from __future__ import annotations
