@@ -143,3 +143,20 @@ def test_bucket_binary_search_equals_bisect(spark):
         df = spark.createDataFrame(keys, "shard string, doc_ix bigint")
         for r in df.select("shard", "doc_ix", bucket_of(["shard", "doc_ix"], cuts).alias("b")).collect():
             assert r.b == bisect.bisect_right(cuts, (r.shard, r.doc_ix))
+
+
+def test_mine_end_to_end_on_driver_tables(spark):
+    from conftest import SF_SMALL
+    from wordmine import Lexicons, mine
+    from wordmine.constants import STANDIN_PHRASES
+    from wordmine.sources import tables
+    wl = tables.word_list(spark, SF_SMALL)
+    lx = Lexicons(word_list=wl, base_list=wl, checkers=[("benchmark", wl)],
+                  titles=tables.title_words(spark, SF_SMALL), dictionary=tables.dictionary_entries(spark, SF_SMALL))
+    out = mine(tables.documents_corpus(spark, SF_SMALL), lx, phrases=STANDIN_PHRASES)
+    audit = sorted(out["stage_audit"].collect(), key=lambda r: r.stage_pos)
+    n_total = out["total"].count()
+    assert audit[0].n_in == n_total > 0
+    assert audit[-1].n_kept == out["final"].count()
+    card = out["cardinality"].first()
+    assert card.n_words == out["final_dedup"].count() == out["collected_frequency"].count()
