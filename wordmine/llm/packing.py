@@ -101,7 +101,7 @@ class _Stream:
         pos = np.unique(np.concatenate([ends, doc_ends]))
         gaps = np.diff(pos, prepend=0)
         step = self.size // 64
-        wide = np.flatnonzero(gaps > 2 * step)
+        wide = np.flatnonzero(gaps > step)
         inner = [np.arange(pos[k] - gaps[k] + step, pos[k], step) for k in wide.tolist()]
         if inner:
             pos = np.unique(np.concatenate([pos, *inner]))
