@@ -33,13 +33,14 @@ from wordmine.llm.common import id_and_text
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def choose_cuts(pos: list[int], penalty: list[float], size: int) -> list[int]:
+def choose_cuts(pos: list[int], penalty: list[float], size: int, last_cost=None) -> list[int]:
     """Indexes into ``pos`` of the cheapest cuts of the stream 0..pos[-1].
 
     ``pos`` ascends strictly and starts after 0; no gap may exceed ``size``.
-    The last place is always a cut.
+    The last place is always a cut; ``last_cost(n)`` is what a last sequence of
+    n tokens costs (its padding, if not given).
     """
-    back = [0] * len(pos)
+    back, cost = [0] * len(pos), [0.0] * (len(pos) + 1)  # cost[j] = f(j); cost[-1] = f(start)
     queue_pos, queue_key, queue_at = [0], [0.0], [-1]
     head = 0
     for j, p in enumerate(pos):
@@ -47,6 +48,7 @@ def choose_cuts(pos: list[int], penalty: list[float], size: int) -> list[int]:
             head += 1
         back[j] = queue_at[head]
         key = queue_key[head] + size + penalty[j]  # = f(j) + pos[j]
+        cost[j] = key - p
         while len(queue_key) > head and queue_key[-1] >= key:
             queue_key.pop()
             queue_pos.pop()
@@ -57,6 +59,9 @@ def choose_cuts(pos: list[int], penalty: list[float], size: int) -> list[int]:
         queue_pos.append(p)
         queue_at.append(j)
     cuts, j = [], len(pos) - 1
+    if last_cost:
+        begins = [*(k for k in range(len(pos) - 1) if pos[k] >= pos[j] - size), *([-1] if pos[j] <= size else [])]
+        back[j] = min(begins, key=lambda k: (cost[k] + last_cost(pos[j] - (pos[k] if k >= 0 else 0)), k))
     while j >= 0:
         cuts.append(j)
         j = back[j]
@@ -65,7 +70,7 @@ def choose_cuts(pos: list[int], penalty: list[float], size: int) -> list[int]:
 
 def tail_lengths(n: int, size: int, cut: float) -> list[int]:
     """Lengths for the last ``n <= size`` tokens: powers of two need no padding, each further cut costs ``cut``."""
-    out = []
+    out: list[int] = []
     while n & (n - 1):
         part = 1 << (n.bit_length() - 1)
         further = bin(n).count("1") - 1
@@ -76,6 +81,11 @@ def tail_lengths(n: int, size: int, cut: float) -> list[int]:
     return [*out, n] if n else out
 
 
+def tail_cost(n: int, size: int, cut: float) -> float:
+    lengths = tail_lengths(n, size, cut)
+    return cut * (len(lengths) - 1) + (0 if lengths[-1] & (lengths[-1] - 1) == 0 else size - lengths[-1])
+
+
 class _Stream:
     """Token ids of documents in order, planned piece by piece."""
 
@@ -108,7 +118,8 @@ class _Stream:
         penalty = np.full(len(pos), float(self.truncation))
         penalty[np.searchsorted(pos, ends)] = self.sentence
         penalty[np.searchsorted(pos, doc_ends)] = 0.0
-        cuts = pos[choose_cuts(pos.tolist(), penalty.tolist(), self.size)]
+        end = (lambda n: tail_cost(n, self.size, self.truncation)) if last else None
+        cuts = pos[choose_cuts(pos.tolist(), penalty.tolist(), self.size, end)]
         if last:
             begin = int(cuts[-2]) if len(cuts) > 1 else 0
             tail = begin + np.cumsum(tail_lengths(total - begin, self.size, self.truncation))
