@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import packing
+from wordmine.llm import bpe, neardup_vectors, packing, tokenfiles, topk
 from wordmine.llm.common import table, vocabulary
+from wordmine.llm.vectors import usable_vectors
+from wordmine.session import fresh_path
 
 
 def _pattern() -> str:
@@ -15,13 +17,69 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _shared_uri(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a URI if it has no scheme."""
+    path = fresh_path(spark, name)
+    return path if "://" in path else f"file://{path}"
+
+
+def byte_bpe_digests(docs: DataFrame, folder: str) -> DataFrame:
+    ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), _pattern()
+    encoded = bpe.encode_documents(docs, folder, ranks, pattern)
+    decoded = bpe.decode_documents(bpe.decimal_digest(encoded, ranks, pattern, "ids_sha256"), ranks, pattern)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(table(spark, sf_dir, "documents"), _shared_uri(spark, "bpe-blocks"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_inner_products(vectors, "vec_id % 50 = 0", k=5, scale=256.0)
+
+
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _shared_uri(spark, "token-files")
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), _pattern())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_top_k": op4_top_k,
+    "op5_token_files": op5_token_files,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLES: dict[str, str] = {
+    "op4_top_k": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op7_embedding_neardup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+      WHERE {_USABLE} AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN l ON r.j = l.i),
+c AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+d AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT c.i AS vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.i = c.component_id AS kept
+FROM c LEFT JOIN d ON c.i = d.i""",
+}
