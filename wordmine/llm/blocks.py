@@ -3,8 +3,8 @@
 An operator that looks every word of a corpus up in a table that grows with the
 corpus would have to shuffle every occurrence. Instead the documents of a task
 are cut into blocks of bounded size, and each block's distinct words get numbers
-(most frequent first). Only the dictionaries travel: a word is a row for each
-block that holds it. The occurrences stay, as numbers, in a Parquet folder per
+(most frequent first). Only the dictionaries travel, dealt out by a hash of the
+word: a row packs the words that a block sends to one part. The occurrences stay, as numbers, in a Parquet folder per
 block below the cluster's shared folder; the task that gathers what the table
 says about a block's words reads the block's documents there.
 
@@ -25,9 +25,25 @@ from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
 
-SCHEMA = ("block bigint, doc_id bigint, train boolean, index binary, "
-          "first bigint, words array<string>, counts array<bigint>")
-_DOC_ROWS, _WORD_ROWS = 1000, 20_000
+SCHEMA = "block bigint, doc_id bigint, train boolean, index binary, part int, n bigint, numbers binary, sizes binary, words binary, counts binary"
+_DOC_ROWS = 1000
+
+
+def compressed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(np.asarray(values, "<i8").view(np.uint8).reshape(-1, 8).T)
+    return compressed(planes.tobytes())
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8")[:, 0]
 
 
 class _Block:
@@ -48,13 +64,14 @@ class _Block:
         self.train += train
         self.held += len(index)
 
-    def rows(self, block: int, count_train: bool) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, parts: int, count_train: bool) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         index, sizes = np.concatenate(self.index), np.concatenate(self.sizes)
         of_train = index[np.repeat(np.array(self.train, bool), sizes)] if count_train else index
         order = np.argsort(-np.bincount(index, minlength=len(self.numbers)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        words = np.array(list(self.numbers), object)[order]
         counts = np.bincount(of_train, minlength=len(order))[order]
         data, ends = rank[index].astype("<i4").tobytes(), np.cumsum(sizes) * 4
         begins = ends - sizes * 4
@@ -63,51 +80,85 @@ class _Block:
             n = len(self.doc_ids[part])
             yield _batch(block, n, doc_id=self.doc_ids[part], train=self.train[part],
                          index=[data[a:b] for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)])
-        for at in range(0, len(words), _WORD_ROWS):
-            yield _batch(block, 1, first=[at], words=[words[at:at + _WORD_ROWS].tolist()], counts=[counts[at:at + _WORD_ROWS].tolist()])
+        known = list(self.numbers)
+        words = [known[k].encode() for k in order.tolist()]
+        part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+        by_part = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by_part], prepend=-1))
+        out: dict[str, list] = {c: [] for c in ("part", "n", "numbers", "sizes", "words", "counts")}
+        for of in np.split(by_part, cuts[1:]):
+            mine = [words[k] for k in of.tolist()]
+            for column, value in zip(out.values(), (int(part[of[0]]), len(of), pack(of), pack(np.fromiter(map(len, mine), np.int64, len(mine))),
+                                                    compressed(b"".join(mine)), pack(counts[of]) if count_train else None), strict=True):
+                column.append(value)
+        yield _batch(block, len(out["part"]), **out)
 
 
-_TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "index": pa.binary(), "first": pa.int64(),
-          "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+_TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "index": pa.binary(), "part": pa.int32(), "n": pa.int64(),
+          "numbers": pa.binary(), "sizes": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
 
 
-def _batch(block: int, n: int, **columns) -> pa.RecordBatch:
-    columns["block"] = [block] * n
-    return pa.record_batch([pa.array(columns.get(c, [None] * n), t) for c, t in _TYPES.items()], names=list(_TYPES))
+def _batch(block: int, rows: int, **columns) -> pa.RecordBatch:
+    columns["block"] = [block] * rows
+    return pa.record_batch([pa.array(columns.get(c, [None] * rows), t) for c, t in _TYPES.items()], names=list(_TYPES))
 
 
-def _cutter(split, words_per_block: int, count_train: bool):
+def _cutter(split, words_per_block: int, parts: int, count_train: bool):
     def run(batches):
         part, number, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
             for rows, texts in T.text_slices(batch):
                 block.add(*split(texts), rows.column(0).to_pylist(), rows.column(2).to_pylist())
                 if block.held >= words_per_block:
-                    yield from block.rows((part << 24) + number, count_train)
+                    yield from block.rows((part << 24) + number, parts, count_train)
                     number, block = number + 1, _Block()
         if block.doc_ids:
-            yield from block.rows((part << 24) + number, count_train)
+            yield from block.rows((part << 24) + number, parts, count_train)
 
     return run
 
 
-def write_blocks(docs: DataFrame, split, folder: str, words_per_block: int = 1 << 22, count_train: bool = False) -> None:
+def write_blocks(docs: DataFrame, split, folder: str, parts: int, words_per_block: int = 1 << 22, count_train: bool = False) -> None:
     """Write ``docs`` (doc_id, text, train) as blocks below ``folder``, a Parquet folder per block.
 
     ``split(texts)`` gives (offsets, index, words) of an array of texts. A block
-    closes at ``words_per_block`` words; a document is never cut.
+    closes at ``words_per_block`` words; a document is never cut. ``parts`` is
+    the number of parts that the words are dealt to; a part meets in one task.
     """
-    rows = docs.select("doc_id", "text", "train").mapInArrow(_cutter(split, words_per_block, count_train), SCHEMA)
-    (rows.withColumn("kind", F.when(F.col("words").isNull(), "docs").otherwise("words"))
+    rows = docs.select("doc_id", "text", "train").mapInArrow(_cutter(split, words_per_block, parts, count_train), SCHEMA)
+    (rows.withColumn("kind", F.when(F.col("part").isNull(), "docs").otherwise("words"))
      .write.partitionBy("kind", "block").option("compression", "zstd").parquet(folder))
 
 
+def default_parts(spark) -> int:
+    """Three times the session's shuffle partitions, so that parts spread evenly over tasks."""
+    return 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def block_words(spark, folder: str) -> DataFrame:
-    """(block, number, word, n) of every block's dictionary; n: its training occurrences there."""
+    """Packed rows (block, part, n, numbers, sizes, words, counts) of the blocks' dictionaries."""
     rows = spark.read.schema(SCHEMA + ", kind string").parquet(folder).filter("kind = 'words'")
-    return (rows.select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-            .select("block", (F.col("first") + F.col("at")).cast("int").alias("number"),
-                    F.col("w.words").alias("word"), F.col("w.counts").alias("n")))
+    return rows.select("block", "part", "n", "numbers", "sizes", "words", "counts")
+
+
+class PartWords:
+    """The words of a part: distinct ones, and for each packed row its block, numbers and places among them."""
+
+    def __init__(self, table: pa.Table):
+        blocks, sizes, data, numbers, counts = [], [], [], [], []
+        for block, n, number, size, words, count in zip(*(table.column(c).to_pylist() for c in ("block", "n", "numbers", "sizes", "words", "counts")), strict=True):
+            blocks.append(block)
+            numbers.append(unpack(number, n))
+            sizes.append(unpack(size, n))
+            data.append(pa.decompress(words, decompressed_size=int(sizes[-1].sum()), codec="zstd", asbytes=True))
+            counts.append(unpack(count, n) if count is not None else None)
+        offsets = np.concatenate([[0], *sizes]).cumsum().astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(data))])
+        coded = words.dictionary_encode()
+        self.words = coded.dictionary.cast(pa.large_string())
+        cuts = np.cumsum([len(n) for n in numbers])[:-1]
+        places = np.split(coded.indices.to_numpy(), cuts)
+        self.rows = list(zip(blocks, numbers, places, counts, strict=True))
 
 
 def read_documents(folder: str, block: int, rows: int = _DOC_ROWS) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,60 +23,38 @@ from wordmine.llm import blocks
 from wordmine.llm import textcells as T
 from wordmine.llm.common import id_and_text
 
-ENCODED = "block bigint, numbers binary, lengths binary, ids binary"
+ENCODED = "block bigint, n bigint, n_ids bigint, numbers binary, lengths binary, ids binary"
 ROWS = "doc_id bigint, n_tokens bigint, ids binary"
 
 
-def _encode_words(path: str, pattern: str, rows: int = 500_000):
-    """Rows (block, number, word) to packed rows (block, numbers, lengths, ids), a few for each block."""
+def _encode_words(path: str, pattern: str):
+    """The words of one part to packed rows for the blocks; each distinct word is encoded once."""
 
-    def packed(held):
-        block, number, (flat, starts, lengths) = held
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-        out: list[list] = [[], [], [], []]
-        for of in np.split(order, cuts[1:]):
-            ids, _ = T.gather_ragged(flat, starts, lengths, of)
-            for column, value in zip(out, (int(block[of[0]]), number[of].astype("<i4").tobytes(),
-                                           lengths[of].astype("<i4").tobytes(), ids.astype("<u4").tobytes()), strict=True):
+    def run(table: pa.Table) -> pa.Table:
+        part = blocks.PartWords(table)
+        flat, starts, lengths = T.once(T.ByteBpe, path, pattern).encode_chunks(T.strings(part.words))
+        out: dict[str, list] = {c.split()[0]: [] for c in ENCODED.split(", ")}
+        for block, numbers, places, _ in part.rows:
+            ids, _ = T.gather_ragged(flat, starts, lengths, places)
+            row = (block, len(numbers), len(ids), blocks.pack(numbers), blocks.pack(lengths[places]), blocks.pack(ids))
+            for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
-        return pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
-                               names=["block", "numbers", "lengths", "ids"])
-
-    def run(batches):
-        bpe, held, n = T.once(T.ByteBpe, path, pattern), [], 0
-        for batch in batches:
-            coded = pc.dictionary_encode(T.as_array(batch.column(2)))
-            flat, starts, lengths = bpe.encode_chunks(T.strings(coded.dictionary))
-            at = coded.indices.to_numpy()
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat, starts[at], lengths[at]))
-            n += batch.num_rows
-            if n >= rows:
-                yield packed(_merged(held))
-                held, n = [], 0
-        if held:
-            yield packed(_merged(held))
+        types = [pa.int64()] * 3 + [pa.binary()] * 3
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
 
 
-def _merged(held):
-    before = np.cumsum([0, *(len(x[2]) for x in held[:-1])])
-    return (np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]),
-            (np.concatenate([x[2] for x in held]), np.concatenate([x[3] + b for x, b in zip(held, before, strict=True)]),
-             np.concatenate([x[4] for x in held])))
-
-
 def _reassemble(folder: str):
     """The packed words of one block to the rows of its documents."""
 
-    def column(table, name, kind):
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    def column(table, name, size):
+        return np.concatenate([blocks.unpack(v, n) for v, n in zip(table.column(name).to_pylist(), table.column(size).to_pylist(), strict=True)])
 
     def run(table: pa.Table):
         block = table.column("block")[0].as_py()
-        number, length = column(table, "numbers", "<i4"), column(table, "lengths", "<i4").astype(np.int64)
-        flat = column(table, "ids", "<u4")
+        number, length, flat = column(table, "numbers", "n"), column(table, "lengths", "n"), column(table, "ids", "n_ids")
+        flat = flat.astype("<u4")
         starts, lengths = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         starts[number], lengths[number] = np.cumsum(length) - length, length
         for doc_ids, _, offsets, index in blocks.read_documents(folder, block):
@@ -104,10 +81,9 @@ def encode_documents(docs: DataFrame, folder: str, vocabulary: str, pattern: str
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("train", F.lit(True))
-    blocks.write_blocks(texts, T.space_chunks, folder)
-    words = blocks.block_words(spark, folder).select("block", "number", "word")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartition(n, "word").mapInArrow(_encode_words(vocabulary, pattern), ENCODED)
+    blocks.write_blocks(texts, T.space_chunks, folder, blocks.default_parts(spark))
+    words = blocks.block_words(spark, folder).select("block", "part", "n", "numbers", "sizes", "words", "counts")
+    encoded = words.groupBy("part").applyInArrow(_encode_words(vocabulary, pattern), ENCODED)
     return encoded.groupBy("block").applyInArrow(_reassemble(folder), ROWS)
 
 

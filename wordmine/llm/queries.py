@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import bpe, neardup_vectors, packing, tokenfiles, topk
-from wordmine.llm.common import table, vocabulary
+from wordmine.llm import bpe, jaccard, katz, langid, neardup_vectors, packing, quality, tokenfiles, topk
+from wordmine.llm.common import held_out, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
 from wordmine.session import fresh_path
 
@@ -23,6 +23,10 @@ def _shared_uri(spark: SparkSession, name: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"), p=9, q=10, words_each=3)
+
+
 def byte_bpe_digests(docs: DataFrame, folder: str) -> DataFrame:
     ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), _pattern()
     encoded = bpe.encode_documents(docs, folder, ranks, pattern)
@@ -34,11 +38,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"), _shared_uri(spark, "bpe-blocks"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_inner_products(vectors, "vec_id % 50 = 0", k=5, scale=256.0)
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score_documents(table(spark, sf_dir, "documents"), ~held_out(fold=1), _shared_uri(spark, "lm"))
+    return scored.select("doc_id", held_out(fold=1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -54,18 +69,42 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language": op3_language,
     "op4_top_k": op4_top_k,
     "op5_token_files": op5_token_files,
+    "op6_katz": op6_katz,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
 
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 3
+        THEN list_transform(range(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])
+        WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM b JOIN n p ON p.doc_id = i JOIN n q ON q.doc_id = j WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, l.j FROM reach r JOIN l ON r.j = l.i),
+m AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d JOIN m ON m.i = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op4_top_k": f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE {_USABLE}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score

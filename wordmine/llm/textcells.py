@@ -94,6 +94,8 @@ def ascii_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, p
         kept = index != empty
         before = np.concatenate([[0], np.cumsum(kept)])
         offsets, index = before[offsets], index[kept]
+        index -= index > empty
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
     return offsets, index, words
 
 
