@@ -13,7 +13,7 @@ smallest class of the other size.
 Heavy: pairs with a larger set meet in inverted lists. A set is listed under
 its first shingles in an order that puts rare ones first, so many that a linked
 set must share one (prefix filter). Document frequencies are counted for the
-``COUNTED`` part of all shingles with the smallest hashes, which come first in
+``counted_part`` of all shingles with the smallest hashes, which come first in
 the order; a set whose part of them is too small also lists its next smallest
 hashes. Lists are scanned in rounds: the member with the fewest rarer shingles
 leads its list and is compared with the others, and members that are in one
@@ -45,7 +45,6 @@ from wordmine.llm.common import id_and_text
 from wordmine.llm.components import connected_components
 from wordmine.session import materialise
 
-COUNTED = 0.15     # part of all shingles, by hash, whose document frequency is counted
 LIGHT_MOST = 48    # sets above this size are never light
 SETS = "doc_id bigint, n bigint, sig binary, low int, kept binary"
 
@@ -87,6 +86,11 @@ def overlap(a: int, b: int, p: int, q: int) -> int:
     return -(-p * (a + b) // (p + q))
 
 
+def counted_part(p: int, q: int) -> float:
+    """Part of all shingles, by hash, whose document frequency is counted: half as much again as a prefix takes."""
+    return min(1.0, 1.5 * (q - p) / q)
+
+
 def partners(n: int, p: int, q: int) -> range:
     """Sizes of sets that a set of n may link with."""
     return range(-(-n * p // q), n * q // p + 1)
@@ -105,7 +109,7 @@ def boundary(sizes: dict[int, int], p: int, q: int) -> int:
     the scan of a list, taken as 8 rows.
     """
     def heavy(n):
-        return 3 * max(COUNTED * n, prefix_length(n, p, q)) + 8 * prefix_length(n, p, q)
+        return 3 * max(counted_part(p, q) * n, prefix_length(n, p, q)) + 8 * prefix_length(n, p, q)
 
     def cost(x):
         return (sum(c * 2 * light_rows(n, x, p, q) for n, c in sizes.items() if n <= x)
@@ -115,7 +119,7 @@ def boundary(sizes: dict[int, int], p: int, q: int) -> int:
 
 
 def _sets(words_each: int, p: int, q: int):
-    limit = np.uint64(int(COUNTED * 2.0**64))
+    limit = np.uint64(min(int(counted_part(p, q) * 2.0**64), 2**64 - 1))
 
     def run(batches):
         for batch in batches:

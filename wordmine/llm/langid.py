@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -227,12 +228,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the prediction in a struct column ``_language``."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("struct<label: string, score: double, ambiguous: boolean>")
-    def predict(text):
-        import pandas as pd
-
+    @F.pandas_udf("struct<label: string, score: double, ambiguous: boolean>")
+    def predict(text: pd.Series) -> pd.DataFrame:
         texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
         found = [predict_texts(model, texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS)]
         return pd.DataFrame({"label": [x for f in found for x in f[0]], "score": np.concatenate([f[1] for f in found]) if found else [],

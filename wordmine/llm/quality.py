@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -205,12 +206,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the score in a column ``_quality``."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
         texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
         return pd.Series(np.concatenate([np.empty(0), *(model.score(texts.slice(k, 500)) for k in range(0, len(texts), 500))]))
 

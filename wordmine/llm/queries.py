@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import bpe, jaccard, katz, langid, neardup_vectors, packing, quality, tokenfiles, topk
+from wordmine.llm import bpe, jaccard, katz, langid, neardup_vectors, packing, pii, quality, tokenfiles, topk
 from wordmine.llm.common import held_out, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
 from wordmine.session import fresh_path
@@ -64,6 +64,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("spans")), 256).alias("base_sha256"),
+                        pii.spans_text(F.concat("spans", "added")).alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), _pattern())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -84,6 +91,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_katz": op6_katz,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
