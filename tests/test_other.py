@@ -65,12 +65,46 @@ def test_phrase_hits_windows_and_punctuation(spark):
     assert spans == [("So wug", None), ("is not a word.", "0"), ("And dax", None)]
 
 
-def test_long_phrase_list_join_path_equals_inline(spark):
-    corpus = spark.createDataFrame([(1, "a wug is the b. wug of the c", "s", "{}")],
+def _hits(spark, text, phrases):
+    corpus = spark.createDataFrame([(1, text, "s", "{}")], "doc_ix bigint, text string, shard string, metadata string")
+    return sorted((r.query_pos, r.query, tuple(r.hits)) for r in search.phrase_hits(corpus, phrases).collect())
+
+
+def test_phrases_in_lists_of_any_length(spark):
+    text = "A wug is the b. wug Of  the, c un café! top 40. is the the the"
+    few = ["is the", "of the", "un café", "top 40", "the the", "wug", "is the"]
+    want = [(0, "is the", (3, 14)), (1, "of the", (7,)), (2, "un café", (10,)), (3, "top 40", (12,)),
+            (4, "the the", (15,)), (5, "wug", (2, 6)), (6, "is the", (3, 14))]
+    assert _hits(spark, text, few) == want
+    assert _hits(spark, text, ["is the"]) == want[:1]
+    assert _hits(spark, text, [*few, *(f"nothing like {i}" for i in range(300))]) == want
+
+
+def test_many_hits_in_one_document(spark):
+    n = 20_000
+    corpus = spark.createDataFrame([(1, "x is the " * n, None, "{}"), (2, "y is the end", None, "{}")],
                                    "doc_ix bigint, text string, shard string, metadata string")
-    inline = sorted((r.query, tuple(r.hits)) for r in search.phrase_hits(corpus, ["is the", "of the"]).collect())
-    joined = sorted((r.query, tuple(r.hits)) for r in search._phrase_hits_join(corpus, ["is the", "of the"]).collect())
-    assert inline == joined == [("is the", (3,)), ("of the", (7,))]
+    got = search.landed_documents(corpus, ["is the"])
+    assert got.count() == n + 1
+    # all windows in the middle are alike: the first one counts
+    assert got.where("doc_ix = 1 AND NOT repeat").count() < 250
+    assert sorted(r["rank"] for r in got.select("rank").collect()) == list(range(n + 1))
+    levels = {(r.level, r.occurrences) for r in search.shard_counts(corpus, ["is the"]).collect()}
+    assert levels == {("shard", n + 1), ("phrase", n + 1), ("all", n + 1)}
+
+
+def test_window_hits_match_their_definition(spark):
+    import random
+    rnd = random.Random(2)
+    words = [rnd.choice(["the", "is", "a", "b", "c."]) for _ in range(3000)]
+    corpus = spark.createDataFrame([(1, " ".join(words), "s", "{}")], "doc_ix bigint, text string, shard string, metadata string")
+    hits = [i for i in range(len(words) - 1) if words[i:i + 2] == ["is", "the"]]
+    for r in search.landed_documents(corpus, ["is the"], max_disp_len=60).collect():
+        at = r.pos - 1
+        lo, hi = max(0, at - 30), min(len(words), at + 2 + 30)
+        inside = [h for h in hits if h >= lo and h + 2 <= hi]
+        assert [s.text for s in r.spans if s.label == "0"] == ["is the"] * len(inside)
+        assert " ".join(" ".join(s.text for s in r.spans).split()) == " ".join(words[lo:hi])
 
 
 def test_streaming_equals_batch(spark):
@@ -97,7 +131,8 @@ def test_entry_contract(spark):
     assert df.count() >= 0 and len(df.columns) > 0
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"beam_segment"}
+    from wordmine.plans import registry
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"beam_segment"}
 
 
 def test_bucketed_index_with_a_hot_group(spark):
@@ -112,24 +147,22 @@ def test_bucketed_index_with_a_hot_group(spark):
     b = df.withColumn("bucket", bucket_of(["k"], cuts))
     expect = sorted(tuple(r) for r in df.select(
         "g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("rn")).collect())
-    for parts, bc in ((1, True), (5, True), (5, False)):
-        got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn",
-                                   broadcast_offsets=bc).select("g", "k", "rn")
+    for parts, store in ((1, True), (5, True), (5, False)):
+        got = dense_index_bucketed(b.repartition(parts), ["g"], ["k"], "rn", store=store).select("g", "k", "rn")
         assert sorted(tuple(r) for r in got.collect()) == expect
     assert b.select("bucket").distinct().count() > 3
 
 
-def test_long_list_path_equals_inline_on_corpus(spark):
-    from conftest import SF_SMALL
-    from wordmine.constants import STANDIN_PHRASES, TRIGGER_PHRASES
-    from wordmine.sources.tables import documents_corpus
-    c = documents_corpus(spark, SF_SMALL)
-    ph = STANDIN_PHRASES + TRIGGER_PHRASES + ["the the", "a"]
-
-    def rows(df):
-        return sorted((r.query, r.doc_ix, tuple(r.hits)) for r in df.select("query", "doc_ix", "hits").collect())
-
-    assert rows(search.phrase_hits(c, ph)) == rows(search._phrase_hits_join(c, ph))
+def test_dense_index_on_rows_beyond_the_range_sample(spark):
+    """Enough wide rows that a range sampler does not see them all: still a plain row_number."""
+    n = 300_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+                               (F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("payload"), 5).alias("payload"))
+    from pyspark.sql import Window
+    want = df.select("g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).cast("bigint").alias("rn"))
+    for parts in (2, 8):
+        got = dense_index(df, ["g"], ["k"], "rn", num_partitions=parts).select("g", "k", "rn")
+        assert got.count() == n and got.exceptAll(want).count() == 0
 
 
 def test_bucket_binary_search_equals_bisect(spark):
@@ -160,3 +193,9 @@ def test_mine_end_to_end_on_driver_tables(spark):
     assert audit[-1].n_kept == out["final"].count()
     card = out["cardinality"].first()
     assert card.n_words == out["final_dedup"].count() == out["collected_frequency"].count()
+    from wordmine.operators.arcs import rule_arcs
+    from wordmine.plans.funnel import with_sentence_id
+    arcs = rule_arcs(with_sentence_id(out["total"]).select("sent_id", "sentence"))
+    with_arcs = mine(tables.documents_corpus(spark, SF_SMALL), lx, phrases=STANDIN_PHRASES, arcs=arcs)
+    stages = {r.stage: r for r in with_arcs["stage_audit"].collect()}
+    assert stages["arcs"].n_removed > 0 and stages["arcs"].n_in - stages["arcs"].n_removed == stages["arcs"].n_kept

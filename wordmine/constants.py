@@ -33,7 +33,6 @@ MAX_DISP_LEN = 200          # tokens shown around a hit
 MIN_WORD_LEN = 4            # shape filter, inclusive
 MAX_WORD_LEN = 22           # shape filter, inclusive
 TYPO_DISTANCE = 1           # Levenshtein threshold of the typo stage
-TITLE_DISTANCE = 1          # "distance < 2" to a title
 BEAM_SIZE = 5               # segmentation beam
 MAX_PIECE_LEN = 6           # longest subword piece
 
@@ -71,9 +70,3 @@ STANDIN_PHRASES = [
 STANDIN_INFLECTIONS = [
     ("", "V;NFIN"), ("s", "V;3;SG;PRS"), ("ed", "V;PST"), ("ing", "V;V.PTCP;PRS"),
 ]
-
-# Upper bound on phrases matched inline inside the scan; longer lists go
-# through an n-gram equi-join instead.
-MAX_INLINE_PHRASES = 256
-# Upper bound on rows of a side we allow Spark to broadcast.
-MAX_BROADCAST_ROWS = 2_000_000

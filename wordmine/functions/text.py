@@ -21,11 +21,6 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strip_ws(c) -> Column:
-    """Remove leading and trailing whitespace (any ``\\s``, not only blanks)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
-
-
 def edge_strip(c) -> Column:
     """Strip every non-ASCII-letter from both ends; case is kept."""
     return F.regexp_replace(col_of(c), RX_EDGE, "")
@@ -74,11 +69,6 @@ def surface_forms(word, org) -> Column:
     return F.array_distinct(F.array_compact(F.array(w, capitalise(w), col_of(org))))
 
 
-def word_tokens(c) -> Column:
-    """Whitespace tokens of a text (empty pieces removed)."""
-    return F.filter(F.split(col_of(c), r"\s+"), lambda t: t != "")
-
-
 def lexicon_words(c) -> Column:
     """Lower-cased a-z runs of a text: the words of a word list."""
     return F.filter(F.split(F.lower(col_of(c)), "[^a-z]+"), lambda t: t != "")

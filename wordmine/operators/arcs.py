@@ -30,10 +30,28 @@ def arc_keep(rows: DataFrame, arcs: DataFrame, sent_col: str = "sent_id") -> Dat
             .where((F.lower(F.col("t.text")) == F.col("_tg")) & (F.col("t.dep") == "attr"))
             .join(h, (F.col("h.sent_id") == F.col("t.sent_id")) & (F.col("h.i") == F.col("t.head_i")))
             .where((F.lower(F.col("h.text")) == "is") & (F.col("h.i") > 0))
-            .select(F.col("t.sent_id").alias("_sid"), F.col("t.i").alias("_ti")))
+            .select(F.col("t.sent_id").alias("_sid"), F.col("t.i").alias("_ti"), F.col("_tg")))
     no_right = cand.join(c, (F.col("c.sent_id") == F.col("_sid")) & (F.col("c.head_i") == F.col("_ti"))
                          & (F.col("c.i") > F.col("_ti")), "left_anti")
-    return rows.join(no_right.select("_sid").distinct(), F.col(sent_col) == F.col("_sid"), "left_semi")
+    return rows.join(no_right.select("_sid", "_tg").distinct(),
+                     (F.col(sent_col) == F.col("_sid")) & (target_word() == F.col("_tg")), "left_semi")
+
+
+def rule_arcs(sentences: DataFrame) -> DataFrame:
+    """A token-arc table ``(sent_id, i, text, dep, head_i)`` from ``(sent_id, sentence)`` by a rule.
+
+    A stand-in for a parser on sentences that have none: a token after an "is"
+    hangs on the last such "is" before it, as ``attr``; other tokens hang on the
+    token before them. Punctuation at a token's ends is not part of it.
+    """
+    words = F.transform(F.filter(F.split("sentence", r"\s+"), lambda t: t != ""),
+                        lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    toks = (sentences.select("sent_id", words.alias("w")).distinct()
+            .select("sent_id", "w", F.posexplode("w").alias("i", "text")))
+    head = F.coalesce(F.array_max(F.transform(F.slice("w", F.lit(1), F.col("i")), lambda t, j: F.when(F.lower(t) == "is", j))), F.lit(-1))
+    toks = toks.withColumn("verb", head)
+    return toks.select("sent_id", "i", "text", F.when(F.col("verb") >= 0, "attr").otherwise("dep").alias("dep"),
+                       F.when(F.col("verb") >= 0, F.col("verb")).otherwise(F.col("i") - 1).alias("head_i"))
 
 
 def arc_regex(target: str) -> str:

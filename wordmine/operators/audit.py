@@ -14,16 +14,6 @@ def stage_of(removed_by: str = "removed_by"):
     return F.split(F.col(removed_by), ":").getItem(0)
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """Survivors of every stage."""
-    return rows.where(F.col("removed_by").isNull())
-
-
-def removed(rows: DataFrame, stage: str) -> DataFrame:
-    """Rows removed by ``stage``."""
-    return rows.where(stage_of() == stage)
-
-
 def stage_audit(rows: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """C20: per stage, rows in, removed, kept; kept + removed = in.
 

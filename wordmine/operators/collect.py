@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import COLLECTION_TARGETS
 from .ids import dense_index
 
 
@@ -24,17 +25,16 @@ def unique_collect(landed: DataFrame, extra: list[str] | None = None) -> DataFra
             .select("query_pos", "query", "doc_ix", *[F.col(f"_f.{c}").alias(c) for c in cols]))
 
 
-def target_cap(unique: DataFrame, targets: dict[str, int], default: int | None = None) -> DataFrame:
+def target_cap(unique: DataFrame, targets: dict[str, int] = COLLECTION_TARGETS, default: int | None = None) -> DataFrame:
     """At most ``targets[query]`` documents per query, the first in (shard, rank) order.
 
     The per-query position comes from the distributed dense index, so a query
-    holding most documents is not numbered in one task. The target table has
-    one row per phrase (bounded by the phrase list) and is broadcast.
+    holding most documents is not numbered in one task.
     """
     spark = unique.sparkSession
     t = spark.createDataFrame(list(targets.items()), "query string, target bigint")
     numbered = dense_index(unique, ["query"], ["shard", "rank"], "n")
-    joined = numbered.join(F.broadcast(t), "query", "left")
+    joined = numbered.join(t, "query", "left")
     cap = F.coalesce(F.col("target"), F.lit(default)) if default is not None else F.col("target")
     return joined.where(cap.isNull() | (F.col("n") < cap)).drop("target")
 

@@ -58,8 +58,7 @@ def assign_span_ids(docs: DataFrame, partitioned: bool = False) -> DataFrame:
     buckets.
     """
     if partitioned:
-        # offsets: at most buckets x phrases rows (both parameters): broadcast
-        return dense_index_bucketed(docs, ["query"], ["shard", "rank"], "span_id")
+        return dense_index_bucketed(docs, ["query"], ["shard", "rank"], "span_id", store=False)
     return dense_index(docs, ["query"], ["shard", "rank"], "span_id")
 
 
@@ -109,9 +108,9 @@ def _sentences() -> str:
     blanks are outside."""
     pieces = f"regexp_extract_all(texts, {sql_str(RX_SENT)}, 0)"
     body = ("transform(pcs, (s, k) -> named_struct('k', k, 's', s, "
-            "'start', aggregate(slice(transform(pcs, x -> length(x)), 1, k), 0, (a, l) -> a + l), "
+            "'start', aggregate(slice(lens, 1, k), 0, (a, l) -> a + l), "
             "'len', length(regexp_replace(s, '\\\\s+$', ''))))")
-    return _bind(pieces, "pcs", body)
+    return _bind(pieces, "pcs", _bind("transform(pcs, x -> length(x))", "lens", body))
 
 
 def extract_hits(docs: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 Collected frequency is a grouped count with the word's own first row as
 provenance. Corpus frequency tokenises the corpus once: whitespace tokens,
 each edge-stripped like the extracted words (so ``E-mail`` stays whole), case
-kept; only tokens equal to an asked surface form survive the scan (broadcast
-semi join when the form set passes the size check), then a grouped count
-with map-side partial aggregation.
+kept; tokens are counted with map-side partial aggregation, and only those equal
+to an asked surface form are kept, by a semi join that Spark broadcasts if the
+measured size of the forms allows it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_BROADCAST_ROWS
 from ..functions.text import surface_forms
 from ..session import materialise
 
@@ -45,19 +44,14 @@ def corpus_tokens(corpus: DataFrame) -> DataFrame:
 def form_counts(corpus: DataFrame, forms: DataFrame) -> DataFrame:
     """Occurrences in the corpus of each distinct form in ``forms(form)``."""
     asked = forms.select("form").distinct()
-    n = asked.count()
-    toks = corpus_tokens(corpus)
-    if n <= MAX_BROADCAST_ROWS:
-        hits = toks.join(F.broadcast(asked), "form", "left_semi")
-        return hits.groupBy("form").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-    counted = toks.groupBy("form").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-    return counted.join(asked, "form", "left_semi")
+    hits = corpus_tokens(corpus).join(asked, "form", "left_semi")
+    return hits.groupBy("form").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
 def corpus_frequency(collected: DataFrame, corpus: DataFrame) -> DataFrame:
     """Per word, the summed corpus count of its distinct surface forms (absent = 0)."""
-    # the asked forms are few (3 per surviving word): write them once so the
-    # size check and the corpus join do not each re-run the funnel upstream
+    # written once: their measured size decides the corpus join, and the funnel
+    # upstream runs once
     forms = materialise(collected.select("word", "query_pos", "idx", "span_id", "doc_ix",
                                          F.explode(surface_forms("word", "org")).alias("form")))
     counts = form_counts(corpus, forms)

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..constants import TYPO_DISTANCE
 from ..functions.text import col_of, lexicon_words
-from .lexicon import sized_broadcast
 
 
 def deletion_keys(c) -> Column:
@@ -41,10 +40,10 @@ def near_pairs(words: DataFrame, lexicon: DataFrame, col: str = "word",
     w = words.select(F.col(col).alias("_w")).distinct()
     lex = lexicon.withColumnRenamed(lex_col, "_e")
     if max_dist == 0:
-        return w.join(sized_broadcast(lex), F.col("_w") == F.col("_e"))
+        return w.join(lex, F.col("_w") == F.col("_e"))
     wk = w.select("_w", F.explode(deletion_keys("_w")).alias("_k"))
     lk = lex.select("*", F.explode(deletion_keys("_e")).alias("_k"))
-    pairs = (wk.join(sized_broadcast(lk), "_k")
+    pairs = (wk.join(lk, "_k")
              .where(F.levenshtein(F.col("_w"), F.col("_e"), max_dist) >= 0)
              .drop("_k").distinct())
     return pairs
@@ -89,9 +88,10 @@ def title_contains_flag(words: DataFrame, titles: DataFrame, flag: str, col: str
     """C15 (older variant): ``flag`` = some lower-cased title contains the word.
 
     ``words`` must be a-z strings of length lo..hi (what the shape stage
-    keeps); such a word occurs in a title only inside one a-z run, so an
-    equi-join with the run substrings is exact.
+    keeps; a word of another length is an error); such a word occurs in a title
+    only inside one a-z run, so an equi-join with the run substrings is exact.
     """
     subs = title_substrings(titles, lo, hi)
     return (words.join(subs, F.col(col) == F.col("_sub"), "left")
-            .withColumn(flag, F.col("_sub").isNotNull()).drop("_sub"))
+            .withColumn(flag, F.when(F.length(col).between(lo, hi), F.col("_sub").isNotNull())
+                        .otherwise(F.raise_error(F.lit(f"words must have {lo} to {hi} letters")))).drop("_sub"))

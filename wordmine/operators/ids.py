@@ -2,80 +2,74 @@
 
 ``row_number().over(Window.partitionBy(g).orderBy(k))`` sends each group to a
 single task; a phrase or shard holding a third of all rows would then run in
-one task. Here the rows are range-partitioned on ``(g, k)`` so a hot group is
-spread over many balanced partitions, each partition numbers its rows locally
-(``monotonically_increasing_id`` after a total sort is the row position in the
-partition), and a small table of per-(partition, group) counts supplies the
-offsets. The count table has at most #partitions + #groups rows, so with
-low-cardinality groups (a phrase, a phrase and shard) it is broadcast and the
-numbered rows are never shuffled a second time. With ``bounded_groups=False``
-the join is left to AQE, which broadcasts it only when its measured size is
-under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+one task. ``dense_index`` range-partitions the rows on ``(g, k)``, so a hot group
+is spread over many balanced partitions, and writes each row with its partition
+and its place there. Both the numbering and the per-(partition, group) counts
+that give the offsets read those written rows: they cannot disagree, however
+the range was sampled. ``dense_index_bucketed`` does the same for rows that
+carry an order-preserving bucket. Spark decides by measured size whether the
+offsets are broadcast.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 _POS_BITS = 33
 
 
-def dense_index(df: DataFrame, group_cols: list[str], order_cols: list, name: str,
-                num_partitions: int | None = None, bounded_groups: bool = True) -> DataFrame:
+def _with_offsets(local: DataFrame, counts: DataFrame, part: str, group_cols: list[str], place: Column, name: str) -> DataFrame:
+    """Add ``name`` = rows of the group in earlier parts + ``place``."""
+    before = F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy(part)
+                                .rowsBetween(Window.unboundedPreceding, -1))
+    keys = [part, *group_cols]
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(before, F.lit(0)).alias("_before"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
+    return (local.join(offsets, on=cond, how="inner").drop(*[f"_o_{k}" for k in keys])
+            .withColumn(name, (F.col("_before") + place).cast("bigint")).drop("_before"))
+
+
+def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of the row inside its group, in ``order_cols`` order.
 
     ``group_cols + order_cols`` must be a total order (unique per row), which
-    makes the numbering deterministic, also when a lost partition is recomputed.
+    makes the numbering the same for every partitioning.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range partitioner samples its input in a separate job and the count
-    # branch re-reads it; persisting computes the input once (blocks lost with
-    # an executor are recomputed from lineage, deterministically).
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    numbered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                  .withColumn("_mid", F.monotonically_increasing_id())
-                  .withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
-                  .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    per_part = (numbered.groupBy("_pid", *group_cols)
-                .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_pid", *group_cols, "_first",
-                              F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
-    if bounded_groups:
-        # at most n + #groups rows (see module docstring)
-        offsets = F.broadcast(offsets)
-    a, b = numbered.alias("_a"), offsets.alias("_b")
-    cond = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in ["_pid", *group_cols]]
-    out = (a.join(b, on=cond, how="inner")
-           .select("_a.*", (F.col("_b._before") + F.col("_a._pos") - F.col("_b._first"))
-                   .cast("bigint").alias(name))
-           .drop("_mid", "_pid", "_pos"))
-    return out
-
-
-MAX_KEY_SAMPLE = 200_000
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*group_cols, *order_cols]]
+    placed = materialise(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ranged")
+    placed = (placed.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))).drop("_mid"))
+    counts = placed.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    before = F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    # one column for both: what comes before the partition, less the place of the group's first row there
+    shifted = counts.select("_pid", *group_cols, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    renamed = shifted.select(*[F.col(k).alias(f"_o_{k}") for k in ["_pid", *group_cols]], "_shift")
+    cond = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in ["_pid", *group_cols]]
+    return (placed.join(renamed, on=cond, how="inner")
+            .withColumn(name, (F.col("_shift") + F.col("_pos")).cast("bigint"))
+            .drop("_shift", "_pid", "_pos", *[f"_o_{k}" for k in ["_pid", *group_cols]]))
 
 
 def key_boundaries(keys: DataFrame, cols: list[str], buckets: int, per_bucket_sample: int = 64,
                    seed: int = 17) -> list[tuple]:
-    """Split points of ``cols`` (lexicographic) into ``buckets`` ranges of similar size.
+    """Split points of ``cols`` (lexicographic, without nulls) into ``buckets`` ranges of similar size.
 
-    Reads only the key columns and brings a bounded sample to the driver:
-    about ``buckets * per_bucket_sample`` keys, never more than
-    ``MAX_KEY_SAMPLE``, whatever the data size.
+    Starts two small jobs when called: both read the key columns only, and about
+    ``buckets * per_bucket_sample`` keys reach the driver, whatever the data size.
     """
     n = keys.count()
     if n == 0 or buckets <= 1:
         return []
-    target = min(buckets * per_bucket_sample, MAX_KEY_SAMPLE)
-    frac = min(1.0, target / n)
-    sample = (keys.select(*cols).sample(False, frac, seed=seed)
+    frac = min(1.0, buckets * per_bucket_sample / n)
+    sample = (keys.select(*cols).na.drop("any").sample(False, frac, seed=seed)
               .orderBy(*cols).collect())
     if not sample:
         return []
@@ -121,33 +115,20 @@ def bucket_of(cols: list[str], cuts: list[tuple]) -> Column:
 
 
 def dense_index_bucketed(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str,
-                         bucket: str = "bucket", persist: bool = True,
-                         broadcast_offsets: bool = True) -> DataFrame:
+                         bucket: str = "bucket", store: bool = True) -> DataFrame:
     """Dense 0-based row number per group, for rows carrying an order-preserving ``bucket``.
 
     ``bucket`` must never decrease along ``order_cols`` inside a group. Rows
     are numbered inside (bucket, group) by a window (a bucket is one slice of
-    the key range, so no group lands whole in one task), and a small table of
-    per-(bucket, group) counts gives the offsets. A bucket is one slice of the
-    key order, so the table has at most (#buckets + #groups) rows for the
-    groups that follow the key order; it is broadcast when the caller has
-    checked that bound (``broadcast_offsets``), else joined by a shuffle. If ``df`` is already
-    hash-partitioned by ``bucket`` the window needs no shuffle; if not, Spark
-    adds one, and the numbering is still right: it depends on the bucket
-    values only, never on physical partitions.
+    the key range, so no group lands whole in one task), and the counts of the
+    (bucket, group) pairs give the offsets. ``store`` writes the rows with their
+    numbers inside the bucket once, and both branches read them; without it both
+    read ``df``, which should then be a written table.
     """
-    # the count branch and the numbering branch both read df: compute it once
-    # (``persist=False`` when df is a shuffle output both branches re-read anyway)
-    if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(bucket, *group_cols).orderBy(*order_cols)
     local = df.withColumn("_local", F.row_number().over(w) - 1)
+    if store:
+        local = materialise(local, "numbered")
+        df = local
     counts = df.groupBy(bucket, *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy(bucket)
-                                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(bucket, *group_cols, F.coalesce(before, F.lit(0)).alias("_before"))
-    a, b = local.alias("_a"), (F.broadcast(offsets) if broadcast_offsets else offsets).alias("_b")
-    cond = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [bucket, *group_cols]]
-    return (a.join(b, on=cond, how="inner")
-            .select("_a.*", (F.col("_b._before") + F.col("_a._local")).cast("bigint").alias(name))
-            .drop("_local"))
+    return _with_offsets(local, counts, bucket, group_cols, F.col("_local"), name).drop("_local")

@@ -1,9 +1,9 @@
 """Exact lexicon stages.
 
 A lexicon is a DataFrame ``(word string, source string)``. Membership tests
-are semi/anti joins; a lexicon is broadcast only after its row count has been
-checked against ``MAX_BROADCAST_ROWS`` -- beyond it the join shuffles on the
-word (and AQE splits a skewed word partition).
+are semi/anti joins on the word. Spark broadcasts a lexicon if its measured size
+allows it; else the join shuffles on the word (and AQE splits a skewed word
+partition).
 """
 
 from __future__ import annotations
@@ -11,16 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DICTIONARY_SOURCES, MAX_BROADCAST_ROWS, MORPHY_RULES
+from ..constants import DICTIONARY_SOURCES, MORPHY_RULES
 from ..functions.text import clean_text, col_of
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the join to shuffle."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def morph_bases(c) -> Column:
     """Base-form candidates of a word under the detachment rules (word itself first)."""
     w = col_of(c)
@@ -37,14 +31,14 @@ def in_lexicon(words: DataFrame, lexicon: DataFrame, flag: str, col: str = "word
     ``words`` is a table of distinct words; the lexicon side is de-duplicated,
     so the left join keeps one row per word.
     """
-    lex = sized_broadcast(lexicon.select(F.col("word").alias("_lw")).distinct())
+    lex = lexicon.select(F.col("word").alias("_lw")).distinct()
     return (words.join(lex, F.col(col) == F.col("_lw"), "left")
             .withColumn(flag, F.col("_lw").isNotNull()).drop("_lw"))
 
 
 def base_in_lexicon(words: DataFrame, lexicon: DataFrame, flag: str, col: str = "word") -> DataFrame:
     """``flag`` = the word or one of its base forms is listed (``words`` distinct)."""
-    lex = sized_broadcast(lexicon.select(F.col("word").alias("_lw")).distinct())
+    lex = lexicon.select(F.col("word").alias("_lw")).distinct()
     bases = words.select(F.col(col).alias("_bw"), F.explode(morph_bases(col)).alias("_b"))
     hit = (bases.join(lex, F.col("_b") == F.col("_lw"), "left_semi")
            .groupBy("_bw").agg(F.lit(True).alias(flag)))
@@ -62,7 +56,7 @@ def lemma_exclude(rows: DataFrame, lemmas: DataFrame, col: str = "word") -> Data
     """Drop rows whose word is a listed form or lemma."""
     listed = (lemmas.select(F.col("word").alias("_lw"))
               .unionByName(lemmas.select(F.col("lemma").alias("_lw"))).where(F.col("_lw") != "").distinct())
-    return rows.join(sized_broadcast(listed), F.col(col) == F.col("_lw"), "left_anti")
+    return rows.join(listed, F.col(col) == F.col("_lw"), "left_anti")
 
 
 def dictionary_reason(words: DataFrame, entries: DataFrame, col: str = "word",
@@ -72,7 +66,6 @@ def dictionary_reason(words: DataFrame, entries: DataFrame, col: str = "word",
     e = (entries.where(F.col("source").isin(sources))
          .groupBy(F.col("word").alias("_dw"))
          .agg(F.min_by("source", prio).alias("dict_source")))
-    e = sized_broadcast(e)
     return words.join(e, F.col(col) == F.col("_dw"), "left").drop("_dw")
 
 

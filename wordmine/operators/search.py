@@ -5,142 +5,89 @@ metadata string)``. A phrase matches a run of whitespace tokens whose
 lower-cased forms equal the phrase tokens; the last token may carry trailing
 punctuation (``word.`` ends ``is not a word``).
 
-Short phrase lists are matched inside the scan: a substring test of the
-phrase against the lower-cased, blank-collapsed text (a necessary condition,
-one pass shared by all phrases) selects the documents for which the hit
-positions are computed with array expressions. No join, no shuffle; the text
-is read once for all phrases. Lists longer than ``MAX_INLINE_PHRASES`` probe
-a map literal of phrase keys with every position's n-gram, also in the row.
+One pass over a document's tokens finds the places where a phrase can begin;
+there the phrase keys of every length are looked up in a set of literals, all in
+the document row: no join and no shuffle, and the same code for every length of
+the phrase list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MAX_BROADCAST_ROWS, MAX_DISP_LEN, MAX_INLINE_PHRASES
+from ..constants import MAX_DISP_LEN
 from ..functions.text import sql_str
+from ..session import materialise
 from .ids import bucket_of, dense_index, dense_index_bucketed, key_boundaries
 
 SPAN_TYPE = "array<struct<text:string,label:string>>"
 
 
+# Hits of a document that are cut into windows together: bounds the size of a row.
+HITS_PER_SEGMENT = 256
+
+
 def phrase_tokens(phrase: str) -> list[str]:
     return phrase.lower().split()
 
 
-def _self_overlapping(tokens: list[str]) -> bool:
-    n = len(tokens)
-    return any(tokens[:k] == tokens[n - k:] for k in range(1, n))
-
-
-def _pretest_sql(tokens: list[str]) -> str:
-    """Necessary condition for a hit: the tokens joined by one blank occur in the
-    blank-collapsed lower-cased text ``_ln``."""
-    return f"instr(_ln, {sql_str(' '.join(tokens))}) > 0"
-
-
-def _candidates_sql(token_lists: list[list[str]]) -> str:
-    """1-based positions in ``_lk`` whose token can start one of the phrases: one
-    pass over the tokens for all phrases (instead of one pass per phrase)."""
-    firsts = sorted({tk[0] for tk in token_lists if len(tk) > 1})
-    singles = sorted({tk[0] for tk in token_lists if len(tk) == 1})
-    conds = []
-    if firsts:
-        conds.append(f"element_at(_lk, p) IN ({', '.join(sql_str(t) for t in firsts)})")
-    if singles:
-        conds.append(f"regexp_replace(element_at(_lk, p), '[^a-z]+$', '') IN "
-                     f"({', '.join(sql_str(t) for t in singles)})")
-    any_pre = " OR ".join(_pretest_sql(tk) for tk in token_lists)
-    return (f"IF(size(_lk) > 0 AND ({any_pre}), "
-            f"filter(sequence(1, size(_lk)), p -> {' OR '.join(conds)}), array())")
-
-
-def _hits_sql(tokens: list[str]) -> str:
-    """SQL for the 1-based start positions of a phrase in ``_lk`` (lower-cased tokens),
-    checked only at the candidate positions ``_cand``."""
-    n = len(tokens)
-    conds = [f"element_at(_lk, p + {j}) = {sql_str(t)}" for j, t in enumerate(tokens[:-1])]
-    conds.append(f"regexp_replace(element_at(_lk, p + {n - 1}), '[^a-z]+$', '') = {sql_str(tokens[-1])}")
-    hits = (f"IF({_pretest_sql(tokens)}, "
-            f"filter(_cand, p -> p + {n - 1} <= size(_lk) AND {' AND '.join(conds)}), array())")
-    if _self_overlapping(tokens):
-        # keep a hit only if it starts after the previous raw hit ends
-        hits = (f"element_at(transform(array({hits}), r -> "
-                f"filter(r, (h, i) -> i = 0 OR h >= element_at(r, i) + {n})), 1)")
-    return hits
+def _bare(token: str) -> str:
+    """SQL: a token without what is neither letter nor digit at its end (the token itself if nothing is left)."""
+    return f"coalesce(nullif(regexp_replace({token}, '[^\\\\p{{L}}\\\\p{{N}}]+$', ''), ''), {token})"
+
+
+def _bare_text(token: str) -> str:
+    """The same rule for a phrase's last token."""
+    end = len(token)
+    while end and not (token[end - 1].isalpha() or token[end - 1].isnumeric()):
+        end -= 1
+    return token[:end] or token
+
+
+def _one_of(expr: str, values: list[str]) -> str:
+    return f"{expr} IN ({', '.join(sql_str(v) for v in values)})"
 
 
 def phrase_hits(corpus: DataFrame, phrases: list[str]) -> DataFrame:
     """A1: one row per (phrase, document) with the phrase's hit positions.
 
+    A phrase that is listed twice gives rows for both places in the list.
     Columns: query_pos, query, n_tok, doc_ix, shard, metadata, tokens, hits.
     """
-    if len(phrases) > MAX_INLINE_PHRASES:
-        return _phrase_hits_join(corpus, phrases)
-    docs = corpus.select("doc_ix", "shard", "metadata",
-                         F.filter(F.split(F.col("text"), r"\s+"), lambda t: t != "").alias("tokens"),
-                         F.lower("text").alias("_lt"))
-    # lower-cased tokens: split the lower-cased text (same boundaries, no per-token lambda)
-    docs = docs.withColumn("_lk", F.filter(F.split(F.col("_lt"), r"\s+"), lambda t: t != ""))
-    # blanks collapsed: a phrase hit implies its tokens joined by one blank occur here
-    docs = docs.withColumn("_ln", F.regexp_replace(F.col("_lt"), r"\s+", " "))
-    docs = docs.withColumn("_cand", F.expr(_candidates_sql([phrase_tokens(p) for p in phrases])))
-    structs = []
-    for i, ph in enumerate(phrases):
-        tk = phrase_tokens(ph)
-        structs.append(f"named_struct('query_pos', {i}, 'query', {sql_str(ph)}, "
-                       f"'n_tok', {len(tk)}, 'hits', {_hits_sql(tk)})")
-    per_phrase = F.expr(f"filter(array({', '.join(structs)}), x -> size(x.hits) > 0)")
-    out = (docs.select("doc_ix", "shard", "metadata", "tokens", F.explode(per_phrase).alias("_m"))
-           .select(F.col("_m.query_pos").cast("bigint").alias("query_pos"), "_m.query",
-                   F.col("_m.n_tok").cast("int").alias("n_tok"), "doc_ix", "shard", "metadata",
-                   "tokens", "_m.hits"))
-    return out
-
-
-def _phrase_hits_join(corpus: DataFrame, phrases: list[str]) -> DataFrame:
-    """A1 for long phrase lists, still inside the document row.
-
-    The phrase list (bounded by the parameter) becomes a ``map`` literal from
-    the phrase key (its tokens joined by a blank) to its position. For every
-    phrase length, each token position builds its n-gram key (the last token
-    with trailing non-letters stripped, as in the short-list match) and probes
-    the map. The hits are then grouped per phrase inside the row. No join, no
-    shuffle, and nothing quadratic in the document length.
-    """
-    toks = [phrase_tokens(p) for p in phrases]
-    first: dict[str, int] = {}
-    for i, tk in enumerate(toks):
-        first.setdefault(" ".join(tk), i)
-    pmap = F.create_map(*[x for k, i in first.items() for x in (F.lit(k), F.lit(i))])
-    lengths = sorted({len(tk) for tk in toks})
+    keys: dict[str, list[int]] = {}
+    for i, p in enumerate(phrases):
+        tokens = phrase_tokens(p)
+        keys.setdefault(" ".join([*tokens[:-1], _bare_text(tokens[-1])]), []).append(i)
+    by_length: dict[int, list[str]] = {}
+    for k in keys:
+        by_length.setdefault(len(k.split()), []).append(k)
+    first = sorted({k.split()[0] for n, ks in by_length.items() if n > 1 for k in ks})
+    begins = [_one_of("element_at(_lk, p)", first)] if first else []
+    if 1 in by_length:
+        begins.append(_one_of(_bare("element_at(_lk, p)"), by_length[1]))
     docs = corpus.select("doc_ix", "shard", "metadata",
                          F.filter(F.split(F.col("text"), r"\s+"), lambda t: t != "").alias("tokens"),
+                         # the lower-cased text has the same token boundaries
                          F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("_lk"))
-    docs = docs.withColumn("_pmap", pmap)
-    per_len = []
-    for n in lengths:
-        key = (f"concat_ws(' ', slice(_lk, p, {n - 1}), "
-               f"regexp_replace(element_at(_lk, p + {n - 1}), '[^a-z]+$', ''))")
-        per_len.append(f"IF(size(_lk) >= {n}, filter(transform(sequence(1, size(_lk) - {n - 1}), "
-                       f"p -> named_struct('p', p, 'q', element_at(_pmap, {key}))), x -> x.q IS NOT NULL), array())")
-    found = f"concat({', '.join(per_len)})" if len(per_len) > 1 else per_len[0]
-    phrase_arr = F.array(*[F.lit(p) for p in phrases])
-    ntok_arr = F.array(*[F.lit(len(tk)) for tk in toks])
-    docs = (docs.withColumn("_f", F.expr(found))
-                .withColumn("_qs", F.expr("array_sort(array_distinct(transform(_f, x -> x.q)))"))
-                .withColumn("_ph", phrase_arr).withColumn("_nt", ntok_arr))
-    grouped = F.expr(
-        "transform(_qs, q -> named_struct('query_pos', q, 'query', element_at(_ph, q + 1), "
-        "'n_tok', element_at(_nt, q + 1), "
-        "'hits', array_sort(transform(filter(_f, x -> x.q = q), x -> x.p))))")
-    out = (docs.select("doc_ix", "shard", "metadata", "tokens", F.explode(grouped).alias("_m"))
-           .select(F.col("_m.query_pos").cast("bigint").alias("query_pos"), "_m.query",
-                   F.col("_m.n_tok").cast("int").alias("n_tok"), "doc_ix", "shard", "metadata", "tokens",
-                   F.expr("filter(_m.hits, (h, i) -> i = 0 OR h >= element_at(_m.hits, i) + _m.n_tok)")
-                   .alias("hits")))
-    return out
+    docs = docs.withColumn("_cand", F.expr(
+        f"IF(size(_lk) > 0, filter(sequence(1, size(_lk)), p -> {' OR '.join(begins)}), array())"))
+    found = [f"filter(transform(filter(_cand, p -> p + {n - 1} <= size(_lk)), p -> named_struct('p', p, 'k', "
+             f"concat_ws(' ', slice(_lk, p, {n - 1}), {_bare(f'element_at(_lk, p + {n - 1})')}))), "
+             f"x -> {_one_of('x.k', ks)})" for n, ks in sorted(by_length.items())]
+    docs = docs.withColumn("_found", F.expr(f"concat({', '.join(found)})"))
+    listed = F.create_map(*[x for k, at in keys.items() for x in (F.lit(k), F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("query_pos"), F.lit(phrases[i]).alias("query"), F.lit(len(k.split())).alias("n_tok"))
+        for i in at]))])
+    by_key = F.expr("transform(array_distinct(transform(_found, x -> x.k)), q -> named_struct('k', q, "
+                    "'hits', array_sort(transform(filter(_found, x -> x.k = q), x -> x.p))))")
+    rows = (docs.select("doc_ix", "shard", "metadata", "tokens", F.explode_outer(by_key).alias("_m")).where("_m IS NOT NULL")
+            .select("doc_ix", "shard", "metadata", "tokens", F.col("_m.hits").alias("_h"),
+                    F.explode(F.element_at(listed, F.col("_m.k"))).alias("_q")))
+    # a hit that begins inside the one before it does not count
+    apart = "filter(_h, (h, i) -> i = 0 OR h >= element_at(_h, i) + _q.n_tok)"
+    return rows.select("_q.query_pos", "_q.query", F.col("_q.n_tok").cast("int").alias("n_tok"), "doc_ix", "shard", "metadata",
+                       "tokens", F.expr(apart).alias("hits"))
 
 
 def occurrence_windows(hits: DataFrame, max_disp_len: int = MAX_DISP_LEN) -> DataFrame:
@@ -148,36 +95,51 @@ def occurrence_windows(hits: DataFrame, max_disp_len: int = MAX_DISP_LEN) -> Dat
 
     The window holds up to ``max_disp_len // 2`` tokens on each side of the
     hit; spans alternate context / hit (label ``'0'``) and mark every hit of
-    the phrase that lies fully inside the window. Spans are built inside the
-    document row and only they are exploded, so the document's token array is
-    never copied per occurrence.
+    the phrase that lies fully inside the window. A document's hits are cut
+    into segments, each with the tokens and hits that its windows can reach, so
+    neither a row nor the work grows with the square of a document's hits: the
+    hits in a window are looked for among the ``max_disp_len // 2`` before and
+    after it.
     """
-    half = max_disp_len // 2
-    span = "named_struct('text', array_join(slice(tokens, {s}, {ln}), ' '), 'label', {lab})"
-    first_ctx = span.format(s="o.lo", ln="element_at(o.wh, 1) - o.lo", lab="CAST(NULL AS STRING)")
+    half, size = max_disp_len // 2, HITS_PER_SEGMENT
+    own = f"slice(hits, g * {size} + 1, {size})"
+    reach = (f"named_struct('own', {own}, 'at', g * {size} + 1 - greatest(1, g * {size} + 1 - {half}), "
+             f"'near', slice(hits, greatest(1, g * {size} + 1 - {half}), {size + 2 * half}), "
+             f"'lo', greatest(1, element_at({own}, 1) - {half}), "
+             f"'hi', least(size(tokens), element_at({own}, -1) + n_tok - 1 + {half}))")
+    parts = (f"transform(transform(sequence(0, CAST((size(hits) - 1) DIV {size} AS INT)), g -> {reach}), s -> "
+             f"named_struct('own', s.own, 'at', s.at, 'near', s.near, 'lo', s.lo, 'n', size(tokens), "
+             f"'toks', slice(tokens, s.lo, s.hi - s.lo + 1)))")
+    extra = ["bucket"] if "bucket" in hits.columns else []
+    keep = ["query_pos", "query", "n_tok", "doc_ix", "shard", "metadata", *extra]
+    seg = hits.select(*keep, F.explode(F.expr(parts)).alias("s")).select(*keep, "s.*")
+    span = "named_struct('text', array_join(slice(toks, {s} - lo + 1, {ln}), ' '), 'label', {lab})"
+    none = "CAST(NULL AS STRING)"
+    first_ctx = span.format(s="o.lo", ln="element_at(o.wh, 1) - o.lo", lab=none)
     hit_sp = span.format(s="h", ln="n_tok", lab="'0'")
-    next_ctx = span.format(s="h + n_tok", ln="coalesce(try_element_at(o.wh, j + 2), o.hi + 1) - h - n_tok",
-                           lab="CAST(NULL AS STRING)")
-    bounds = (f"transform(hits, p -> named_struct('p', p, 'lo', greatest(1, p - {half}), "
-              f"'hi', least(size(tokens), p + n_tok - 1 + {half})))")
-    windows = (f"transform({bounds}, o -> named_struct('p', o.p, 'lo', o.lo, 'hi', o.hi, "
-               f"'wh', filter(hits, h -> h >= o.lo AND h + n_tok - 1 <= o.hi)))")
+    next_ctx = span.format(s="h + n_tok", ln="coalesce(try_element_at(o.wh, j + 2), o.hi + 1) - h - n_tok", lab=none)
+    bounds = (f"transform(own, (p, j) -> named_struct('p', p, 'j', j, 'lo', greatest(1, p - {half}), "
+              f"'hi', least(n, p + n_tok - 1 + {half})))")
+    windows = (f"transform({bounds}, o -> named_struct('p', o.p, 'lo', o.lo, 'hi', o.hi, 'wh', "
+               f"filter(slice(near, greatest(1, o.j + at + 1 - {half}), {2 * half + 1}), "
+               f"h -> h >= o.lo AND h + n_tok - 1 <= o.hi)))")
     occ = (f"transform({windows}, o -> named_struct('pos', o.p, 'spans', "
            f"concat(array({first_ctx}), flatten(transform(o.wh, (h, j) -> array({hit_sp}, {next_ctx}))))))")
-    # B3 inside the row: every window of one (phrase, document) comes from this
-    # row, so "first window with this text" (by pos) needs no shuffle
-    with_text = f"transform({occ}, o -> named_struct('pos', o.pos, 'spans', o.spans, " \
-                f"'texts', array_join(transform(o.spans, s -> s.text), ' ')))"
-    flagged = (f"element_at(transform(array({with_text}), occs -> transform(occs, (o, i) -> "
-               f"named_struct('pos', o.pos, 'spans', o.spans, "
-               f"'repeat', exists(slice(occs, 1, i), q -> q.texts = o.texts)))), 1)")
-    extra = ["bucket"] if "bucket" in hits.columns else []
-    return (hits.select("query_pos", "query", "doc_ix", "shard", "metadata", *extra,
-                        F.explode(F.expr(flagged)).alias("_o"))
+    return (seg.select("query_pos", "query", "doc_ix", "shard", "metadata", *extra, F.explode(F.expr(occ)).alias("_o"))
             .select("query_pos", "query", "doc_ix", "shard", "metadata", *extra,
                     F.col("_o.pos").cast("bigint").alias("pos"),
-                    F.col("_o.spans").cast(SPAN_TYPE).alias("spans"),
-                    F.col("_o.repeat").alias("repeat")))
+                    F.col("_o.spans").cast(SPAN_TYPE).alias("spans")))
+
+
+def flag_repeats(occ: DataFrame) -> DataFrame:
+    """``repeat`` marks a window whose text an earlier one of its phrase and document has.
+
+    A window function inside the bucket, where all windows of a document are.
+    """
+    text = F.expr("array_join(transform(spans, s -> s.text), ' ')")
+    same = Window.partitionBy("bucket", "query_pos", "doc_ix", "_hash", "_text").orderBy("pos")
+    marked = occ.withColumn("_text", text).withColumn("_hash", F.xxhash64("_text"))
+    return marked.withColumn("repeat", F.row_number().over(same) > 1).drop("_text", "_hash")
 
 
 def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int = MAX_DISP_LEN,
@@ -186,31 +148,27 @@ def landed_documents(corpus: DataFrame, phrases: list[str], max_disp_len: int =
 
     Columns: query_pos, query, doc_ix, shard, metadata, bucket, pos, spans,
     repeat, rank. ``bucket`` is an order-preserving slice of (shard, doc_ix)
-    fixed from a bounded sample of the corpus keys (no sampling pass over the
-    computed windows); the landed rows are shuffled once, by bucket, and the
-    rank, document dedup, span ids and row ids downstream all number inside
-    buckets. ``repeat`` flags a window whose text an earlier window of the same
-    phrase and document already has (B3).
+    fixed from a sample of the corpus keys, three for each shuffle partition.
+    The landed rows are shuffled once, by bucket, and written: the text is read
+    and matched once, by the job that this call starts, and everything
+    downstream - ranks, document dedup, span ids, row ids - reads that table and
+    numbers inside buckets. A null shard sorts first.
     """
-    spark = corpus.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = key_boundaries(corpus.select("shard", "doc_ix"), ["shard", "doc_ix"], n)
-    hits = phrase_hits(corpus, phrases).withColumn("bucket", bucket_of(["shard", "doc_ix"], cuts))
-    occ = occurrence_windows(hits, max_disp_len).repartition(n, "bucket")
-    # rank offsets: one row per (bucket, phrase, shard) present, at most
-    # (buckets + shards) x phrases; count the shards (one pruned column) to check
-    shards = corpus.select("shard").distinct().count()
-    small = (n + shards) * len(phrases) <= MAX_BROADCAST_ROWS
-    # both branches of the numbering re-read the bucket shuffle: no cache needed
-    return rank_occurrences(occ, persist=False, broadcast_offsets=small)
-
-
-def rank_occurrences(occ: DataFrame, persist: bool = True, broadcast_offsets: bool = True) -> DataFrame:
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.coalesce("shard", F.lit("")).alias("_shard")
+    cuts = key_boundaries(corpus.select(shard, "doc_ix"), ["_shard", "doc_ix"], buckets or 3 * n)
+    hits = phrase_hits(corpus, phrases).withColumn("_shard", F.coalesce("shard", F.lit("")))
+    hits = hits.withColumn("bucket", bucket_of(["_shard", "doc_ix"], cuts)).drop("_shard")
+    occ = flag_repeats(occurrence_windows(hits, max_disp_len).repartition(n, "bucket"))
+    return rank_occurrences(occ)
+
+
+def rank_occurrences(occ: DataFrame) -> DataFrame:
     """A3: rank = 0-based position of the occurrence in its (phrase, shard), by (doc_ix, pos)."""
+    group = ["query_pos", "query", "shard"]
     if "bucket" in occ.columns:
-        return dense_index_bucketed(occ, ["query", "shard"], ["doc_ix", "pos"], "rank", persist=persist,
-                                    broadcast_offsets=broadcast_offsets)
-    return dense_index(occ, ["query", "shard"], ["doc_ix", "pos"], "rank")
+        return dense_index_bucketed(occ, group, ["doc_ix", "pos"], "rank")
+    return dense_index(occ, group, ["doc_ix", "pos"], "rank")
 
 
 def shard_counts(corpus: DataFrame, phrases: list[str]) -> DataFrame:
@@ -221,10 +179,9 @@ def shard_counts(corpus: DataFrame, phrases: list[str]) -> DataFrame:
     h = phrase_hits(corpus, phrases).select("query", "shard", F.size("hits").alias("n"))
     return (h.rollup("query", "shard")
             .agg(F.sum("n").cast("bigint").alias("occurrences"),
-                 F.count(F.lit(1)).cast("bigint").alias("documents"))
+                 F.count(F.lit(1)).cast("bigint").alias("documents"), F.grouping_id().alias("_g"))
             .select("query", "shard", "occurrences", "documents",
-                    F.when(F.col("query").isNull(), "all")
-                     .when(F.col("shard").isNull(), "phrase").otherwise("shard").alias("level")))
+                    F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "phrase").otherwise("shard").alias("level")))
 
 
 def missing_ranks(requested: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -239,7 +196,7 @@ def landed_counts(landed: DataFrame, phrases: list[str]) -> DataFrame:
     plist = spark.createDataFrame(list(enumerate(phrases)), "query_pos bigint, query string")
     counts = landed.groupBy("query").agg(F.count(F.lit(1)).alias("n_landed"),
                                          F.count_distinct("doc_ix").alias("n_docs"))
-    return (F.broadcast(plist).join(counts, "query", "left")
+    return (plist.join(counts, "query", "left")
             .select("query_pos", "query",
                     F.coalesce("n_landed", F.lit(0)).cast("bigint").alias("n_landed"),
                     F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs")))

@@ -8,8 +8,8 @@ weighted by the word's count. Pure explodes and grouped sums.
 E2 segments each distinct word with a beam search. Spark builds and scores
 the word's lattice with joins against the statistics (the expensive, data-
 sized part); the beam itself is a small per-word helper run by
-``applyInPandas``. One group is one word, so a group never exceeds
-``22 * MAX_PIECE_LEN**2`` lattice rows, whatever the data size.
+``applyInPandas``. One group is one word: at most ``MAX_PIECE_LEN**2`` lattice
+rows for each of its letters.
 
 Scoring (ours; the segmenter binary is not part of the mined project):
 ``log((c(prev, piece) + K * c(piece) / N) / (c(prev) + K))``, a bigram
@@ -97,9 +97,11 @@ def beam_segment(words: DataFrame, unigram: DataFrame, bigram: DataFrame,
     bi = bigram.select(F.col("prev").alias("_bp"), F.col("piece").alias("_bq"), F.col("n").alias("_cb"))
     scored = (lattice
               .join(bi, (F.col("prev") == F.col("_bp")) & (F.col("piece") == F.col("_bq")), "left")
-              .join(uni, F.col("piece") == F.col("_u"), "left")
-              .join(uprev, F.col("prev") == F.col("_up"), "left"))
-    c_prev = F.when(F.col("prev") == START, F.lit(starts)).otherwise(F.coalesce("_cp", F.lit(0)))
+              .join(uni, F.col("piece") == F.col("_u"), "left"))
+    # the start symbol is in no statistics of pieces: its rows need no join
+    inner = scored.where(F.col("prev") != START).join(uprev, F.col("prev") == F.col("_up"), "left").drop("_up")
+    scored = inner.unionByName(scored.where(F.col("prev") == START).withColumn("_cp", F.lit(starts)))
+    c_prev = F.coalesce("_cp", F.lit(0))
     num = F.coalesce("_cb", F.lit(0)) + F.lit(SMOOTHING_K) * F.coalesce("_cu", F.lit(0)) / F.lit(total)
     score = F.log(F.greatest(num, F.lit(1e-12)) / (c_prev + F.lit(SMOOTHING_K)))
     rows = scored.select("word", "ps", "pl", "s", "l", "piece", score.alias("score"))

@@ -2,15 +2,15 @@
 
 Per-row stages (normalise, shape, arcs) are expressions on the row stream.
 Word-level stages (lexicon, base forms, spelling, encyclopedia, dictionary)
-run once per *distinct* word, each on the words the previous stage kept, and
-produce a verdict table ``(word, removed_by)``; the rows meet it in a single
-join on the word. ``removed_by`` is the first failing stage, null for a
+run once per *distinct* word, a flag column each, and the first flag that is set
+is the verdict ``(word, removed_by)``; the rows meet it in a single join on the
+word. ``removed_by`` is the first failing stage, null for a
 survivor, so kept + removed = input for every stage.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,47 +30,41 @@ class Lexicons:
     titles: DataFrame                         # C13/C14 single-word titles (word) / C15 titles (title)
     dictionary: DataFrame | None              # C16 (word, source)
     variant: str = "current"                  # "older": C4 shape, C15 title-contains
-    extra: dict = field(default_factory=dict)
 
 
 def word_verdicts(words: DataFrame, lx: Lexicons) -> DataFrame:
-    """First word-level stage removing each distinct word: ``(word, removed_by)``."""
+    """First word-level stage removing each distinct word: ``(word, removed_by)``, null for none.
+
+    One chain of joins over the distinct words, no stage built on another's
+    survivors.
+    """
     v = lexicon.in_lexicon(words, lx.word_list, "_f_list")
+    listed = F.col("_f_list")
     if lx.base_list is not None:
         v = lexicon.base_in_lexicon(v, lx.base_list, "_f_base")
-    else:
-        v = v.withColumn("_f_base", F.lit(False))
-    rm_words = v.where(F.col("_f_list") | F.col("_f_base")).select("word", F.lit("words").alias("removed_by"))
-    w2 = v.where(~(F.col("_f_list") | F.col("_f_base"))).select("word")
-
-    s = fuzzy.checker_cascade(w2, lx.checkers)
-    rm_spell = (s.where(F.col("spell_checker").isNotNull())
-                .select("word", F.concat(F.lit("spell:"), F.col("spell_checker")).alias("removed_by")))
-    w3 = s.where(F.col("spell_checker").isNull()).select("word")
+        listed = listed | F.col("_f_base")
+    v = fuzzy.checker_cascade(v, lx.checkers)
+    near_title = fuzzy.title_contains_flag if lx.variant == "older" else fuzzy.near_flag
+    v = near_title(v, lx.titles, "_f_enc")
+    reasons = [F.when(listed, "words"),
+               F.when(F.col("spell_checker").isNotNull(), F.concat(F.lit("spell:"), "spell_checker")),
+               F.when(F.col("_f_enc"), "encyclopedia")]
+    if lx.dictionary is not None:
+        v = lexicon.dictionary_reason(v, lx.dictionary)
+        reasons.append(F.when(F.col("dict_source").isNotNull(), F.concat(F.lit("dictionary:"), "dict_source")))
+    return v.select("word", F.coalesce(*reasons).alias("removed_by"))
 
-    if lx.variant == "older":
-        e = fuzzy.title_contains_flag(w3, lx.titles, "_f_enc")
-    else:
-        e = fuzzy.near_flag(w3, lx.titles, "_f_enc")
-    rm_enc = e.where("_f_enc").select("word", F.lit("encyclopedia").alias("removed_by"))
-    w4 = e.where(~F.col("_f_enc")).select("word")
 
-    parts = [rm_words, rm_spell, rm_enc]
-    if lx.dictionary is not None:
-        d = lexicon.dictionary_reason(w4, lx.dictionary)
-        parts.append(d.where(F.col("dict_source").isNotNull())
-                     .select("word", F.concat(F.lit("dictionary:"), F.col("dict_source")).alias("removed_by")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def with_sentence_id(rows: DataFrame) -> DataFrame:
+    """``sent_id``: a hash of the sentence, the key under which a parser lands its token arcs."""
+    return rows if "sent_id" in rows.columns else rows.withColumn("sent_id", F.xxhash64("sentence"))
 
 
 def audit_rows(total: DataFrame, lx: Lexicons, phrases: list[str], arcs=None) -> DataFrame:
     """Every extracted row with ``org``, normalised ``word`` and ``removed_by``.
 
     ``arcs``: None (stage skipped), ``"pattern"`` (regex approximation) or a
-    token-arc DataFrame keyed by the rows' ``sent_id``.
+    token-arc DataFrame keyed by ``sent_id`` (see ``with_sentence_id``).
     """
     pre = preprocess(total)
     if lx.variant == "older":
@@ -84,9 +78,10 @@ def audit_rows(total: DataFrame, lx: Lexicons, phrases: list[str], arcs=None) ->
     elif isinstance(arcs, str) and arcs == "pattern":
         arc_fail = ~A.arc_pattern(phrases)
     else:
-        keep = A.arc_keep(rows.select("sent_id", "query"), arcs).select(F.col("sent_id").alias("_ak"))
-        rows = rows.join(keep.distinct().withColumn("_arc_ok", F.lit(True)),
-                         F.col("sent_id") == F.col("_ak"), "left").drop("_ak")
+        asked = with_sentence_id(rows.select("sentence", "query"))
+        keep = A.arc_keep(asked.select("sent_id", "query").distinct(), arcs).select(
+            F.col("sent_id").alias("_ak"), F.col("query").alias("_aq"), F.lit(True).alias("_arc_ok"))
+        rows = rows.join(keep, (F.xxhash64("sentence") == F.col("_ak")) & (F.col("query") == F.col("_aq")), "left").drop("_ak", "_aq")
         arc_fail = F.col("_arc_ok").isNull()
     removed_by = (F.when(F.col("word").isNull(), "normalise")
                   .when(~ok_shape, "words")

@@ -27,7 +27,7 @@ def mine(corpus: DataFrame, lexicons: Lexicons, phrases: list[str] = TRIGGER_PHR
     """Search, extract, filter, deduplicate and count coined words.
 
     ``arcs``: None (stage skipped), ``"pattern"`` or a token-arc table keyed by
-    the extraction table's ``sent_id`` (see ``operators.arcs``).
+    ``sent_id`` (see ``plans.funnel.with_sentence_id`` and ``operators.arcs``).
     ``frequency_corpus``: the corpus to count surface forms in (default: ``corpus``).
     """
     landed = search.landed_documents(corpus, phrases, max_disp_len)

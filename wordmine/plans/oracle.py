@@ -8,7 +8,17 @@ both sides.
 
 from __future__ import annotations
 
-from ..constants import MAX_DISP_LEN, MORPHY_RULES, RX_ALNUM, RX_EDGE, RX_SENT, STANDIN_PHRASES
+from ..constants import MAX_DISP_LEN, STANDIN_PHRASES
+
+# The rules are stated here again, not taken from the engine, so that a mistake
+# in either of the two shows.
+RX_EDGE = r"^[^A-Za-z]+|[^A-Za-z]+$"
+RX_SENT = r"(?s)[^.?!]*[.?!]+\s*|[^.?!]+$"
+RX_ALNUM = r"[\p{N}\p{L}]"
+# endings of nouns, verbs and adjectives with what takes their place
+ENDINGS = {"noun": ["s>", "ses>s", "xes>x", "zes>z", "ches>ch", "shes>sh", "men>man", "ies>y"],
+           "verb": ["s>", "ies>y", "es>e", "es>", "ed>e", "ed>", "ing>e", "ing>"],
+           "adjective": ["er>", "est>", "er>e", "est>e"]}
 
 
 def q(s: str) -> str:
@@ -21,7 +31,8 @@ def _phrase_hits_sql(phrases: list[str]) -> str:
         tk = ph.lower().split()
         n = len(tk)
         conds = [f"lk[x + {j}] = {q(t)}" for j, t in enumerate(tk[:-1])]
-        conds.append(f"regexp_replace(lk[x + {n - 1}], '[^a-z]+$', '') = {q(tk[-1])}")
+        end = f"lk[x + {n - 1}]"
+        conds.append(f"coalesce(nullif(regexp_replace({end}, '[^\\p{{L}}\\p{{N}}]+$', ''), ''), {end}) = {q(tk[-1])}")
         raw = (f"CASE WHEN len(lk) >= {n} THEN list_filter(generate_series(1, len(lk) - {n - 1}), "
                f"lambda x: {' AND '.join(conds)}) ELSE [] END")
         if any(tk[:k] == tk[n - k:] for k in range(1, n)):
@@ -34,7 +45,7 @@ def _phrase_hits_sql(phrases: list[str]) -> str:
 _CORPUS_SQL = {
     "documents": """SELECT doc_id::BIGINT AS doc_ix, source AS shard,
          '{"lang":"' || lang || '","source":"' || source || '"}' AS metadata, text FROM documents""",
-    "conversations": """SELECT (conv_id * 1000 + turn)::BIGINT AS doc_ix, role AS shard,
+    "conversations": """SELECT (conv_id * 4294967296 + turn)::BIGINT AS doc_ix, role AS shard,
          '{"conv_id":' || conv_id::VARCHAR || ',"turn":' || turn::VARCHAR || '}' AS metadata, text
          FROM conversations""",
 }
@@ -147,6 +158,18 @@ wm_total AS (
 )"""
 
 
+def first_span_cte() -> str:
+    """After ``corpus_ctes``: wm_spanrows."""
+    return f"""
+wm_spanrows AS (SELECT DISTINCT * FROM (
+  SELECT query_pos, query, doc_ix,
+         lower(list_filter(regexp_split_to_array(spans[1].text, '\\s+'), lambda t: t <> '')[-1]) AS word,
+         regexp_replace(list_filter(regexp_extract_all(texts, {q(RX_SENT)}), lambda s: contains(s, query))[1],
+                        '^\\s+|\\s+$', '', 'g') AS sentence
+  FROM wm_landed WHERE texts <> '')
+WHERE word IS NOT NULL AND sentence IS NOT NULL)"""
+
+
 # --- lexicons and the funnel ------------------------------------------------
 
 TRIPLES = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
@@ -183,7 +206,7 @@ def shape_sql(c: str) -> str:
 
 def bases_sql(c: str) -> str:
     cands = [c]
-    for suffix, repl in MORPHY_RULES:
+    for suffix, repl in (e.split(">") for kind in ENDINGS.values() for e in kind):
         cands.append(f"CASE WHEN ends_with({c}, {q(suffix)}) AND length({c}) > {len(suffix)} "
                      f"THEN left({c}, length({c}) - {len(suffix)}) || {q(repl)} END")
     return "[" + ", ".join(cands) + "]"
@@ -193,14 +216,25 @@ def near_sql(c: str, table: str) -> str:
     return f"EXISTS (SELECT 1 FROM {table} l WHERE levenshtein({c}, l.word) <= 1)"
 
 
-def funnel_ctes(phrases: list[str] = STANDIN_PHRASES, older: bool = False) -> str:
+def funnel_ctes(phrases: list[str] = STANDIN_PHRASES, older: bool = False, arc_ok: str | None = None) -> str:
     """After extraction + lexicons: wm_pre, wm_w, wm_v1..wm_v4, wm_verdict, wm_audit, wm_final."""
     word = ("CASE WHEN regexp_full_match(word, '[a-zA-Z]+') THEN lower(word) END" if older
             else normalise_sql("word"))
     enc = ("EXISTS (SELECT 1 FROM wm_titles t WHERE contains(lower(t.title), v.word))" if older
            else near_sql("v.word", "wm_titlewords"))
-    return extraction_ctes(phrases) + "," + lexicon_ctes() + f""",
-wm_pre AS (SELECT *, word AS org, {word} AS nword FROM wm_total),
+    rows = extraction_ctes(phrases)
+    source, cols = "wm_total", "p.query_pos, p.query, p.idx, p.span_id, p.doc_ix, p.hit_no, p.word_offset, p.sentence, p.org"
+    if older:
+        rows, source = corpus_ctes(phrases) + "," + first_span_cte(), "wm_spanrows"
+        cols = "p.query_pos, p.query, p.doc_ix, p.sentence, p.org"
+    arcs = f"WHEN v.v IS DISTINCT FROM 'words' AND NOT ({arc_ok}) THEN 'arcs'" if arc_ok else ""
+    tail = "" if older else """,
+wm_final AS (SELECT * FROM wm_audit WHERE removed_by IS NULL),
+wm_first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY query_pos, idx) AS rn FROM wm_final)
+  WHERE rn = 1)"""
+    return rows + "," + lexicon_ctes() + f""",
+wm_pre AS (SELECT *, word AS org, {word} AS nword FROM {source}),
 wm_w AS (SELECT DISTINCT nword AS word FROM wm_pre WHERE nword IS NOT NULL AND {shape_sql('nword')}),
 wm_v1 AS (
   SELECT word, (word IN (SELECT word FROM wm_wordlist)
@@ -218,16 +252,13 @@ wm_verdict AS (
   UNION ALL SELECT word, 'encyclopedia' FROM wm_v3 WHERE f_enc
   UNION ALL SELECT word, 'dictionary:' || dsrc FROM wm_v4 WHERE dsrc IS NOT NULL),
 wm_audit AS (
-  SELECT p.query_pos, p.query, p.idx, p.span_id, p.doc_ix, p.hit_no, p.word_offset, p.sentence, p.org,
+  SELECT {cols},
          p.nword AS word,
          CASE WHEN p.nword IS NULL THEN 'normalise'
               WHEN NOT {shape_sql('p.nword')} THEN 'words'
+              {arcs}
               ELSE v.v END AS removed_by
-  FROM wm_pre p LEFT JOIN wm_verdict v ON p.nword = v.word),
-wm_final AS (SELECT * FROM wm_audit WHERE removed_by IS NULL),
-wm_first AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY query_pos, idx) AS rn FROM wm_final)
-  WHERE rn = 1)"""
+  FROM wm_pre p LEFT JOIN wm_verdict v ON p.nword = v.word)""" + tail
 
 
 def frequency_ctes(phrases: list[str] = STANDIN_PHRASES) -> str:

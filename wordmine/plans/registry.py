@@ -72,7 +72,7 @@ from ..functions.text import normalise_word  # noqa: E402
 from ..operators import audit as AU  # noqa: E402
 from ..operators import frequency as FQ  # noqa: E402
 from ..operators import fuzzy, lexicon  # noqa: E402
-from ..operators.arcs import arc_pattern  # noqa: E402
+from ..operators.arcs import arc_keep, arc_pattern, rule_arcs  # noqa: E402
 from ..operators.normalize import preprocess, shape_ok  # noqa: E402
 from . import funnel  # noqa: E402
 
@@ -287,9 +287,7 @@ def mine_coined_words(spark, sf_dir):
 
 # --- A: acquisition bookkeeping -------------------------------------------------
 
-from ..constants import RX_SENT  # noqa: E402
 from ..operators import collect as CO  # noqa: E402
-from ..operators.arcs import arc_regex  # noqa: E402
 
 _CO = "WITH " + O.corpus_ctes() + "\n"
 _UNIQUE = """,
@@ -315,7 +313,7 @@ def unique_docs(spark, sf_dir):
 
 @register("shard_counts", _CO + """
 SELECT query, shard, sum(len(hits))::BIGINT AS occurrences, count(*)::BIGINT AS documents,
-       CASE WHEN query IS NULL THEN 'all' WHEN shard IS NULL THEN 'phrase' ELSE 'shard' END AS level
+       CASE grouping(query, shard) WHEN 3 THEN 'all' WHEN 1 THEN 'phrase' ELSE 'shard' END AS level
 FROM wm_hits WHERE len(hits) > 0 GROUP BY ROLLUP (query, shard)""")
 def shard_counts(spark, sf_dir):
     return search.shard_counts(tables.documents_corpus(spark, sf_dir), STANDIN_PHRASES)
@@ -406,7 +404,7 @@ SELECT query_pos, query, span_id, (k - 1)::BIGINT AS k,
        coalesce(list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))), 0)::BIGINT AS start,
        length(regexp_replace(pieces[k], '\\s+$', ''))::BIGINT AS len, pieces[k] AS piece
 FROM (SELECT query_pos, query, span_id, pieces, unnest(generate_series(1, len(pieces))) AS k
-      FROM (SELECT query_pos, query, span_id, regexp_extract_all(texts, {O.q(RX_SENT)}) AS pieces FROM wm_udocs))""")
+      FROM (SELECT query_pos, query, span_id, regexp_extract_all(texts, {O.q(O.RX_SENT)}) AS pieces FROM wm_udocs))""")
 def sentence_split(spark, sf_dir):
     return extract.sentence_table(span_docs(spark, sf_dir))
 
@@ -421,14 +419,7 @@ def expression_counts(spark, sf_dir):
     return extract.expression_counts(ld, extract.spans_to_words(ld, partitioned=True))
 
 
-@register("first_span_variant", _CO + f"""
-SELECT DISTINCT * FROM (
-  SELECT query_pos, query, doc_ix,
-         lower(list_filter(regexp_split_to_array(spans[1].text, '\\s+'), lambda t: t <> '')[-1]) AS word,
-         regexp_replace(list_filter(regexp_extract_all(texts, {O.q(RX_SENT)}), lambda s: contains(s, query))[1],
-                        '^\\s+|\\s+$', '', 'g') AS sentence
-  FROM wm_landed WHERE texts <> '')
-WHERE word IS NOT NULL AND sentence IS NOT NULL""")
+@register("first_span_variant", _CO.rstrip() + "," + O.first_span_cte() + "\nSELECT * FROM wm_spanrows")
 def first_span_variant(spark, sf_dir):
     return extract.first_span_rows(landed(spark, sf_dir))
 
@@ -436,7 +427,9 @@ def first_span_variant(spark, sf_dir):
 # --- C9: grammatical arcs (pattern approximation; the driver has no parser output) ---
 
 def _arc_case_sql() -> str:
-    parts = " ".join(f"WHEN {O.q(p)} THEN regexp_matches(sentence, {O.q(arc_regex(p.split()[-1]))})"
+    # "something is", at most four words of letters or hyphens, the phrase's last word, then a mark or the end
+    rule = r"(?i)\S\s+is(?:\s+[-a-z]+){0,4}\s+%s(?:\s*[]!?.,:;)" + "\"'" + r"]|\s*$)"
+    parts = " ".join(f"WHEN {O.q(p)} THEN regexp_matches(sentence, {O.q((rule % p.split()[-1]).replace('[]!', '[!'))})"
                      for p in STANDIN_PHRASES)
     return f"CASE query {parts} ELSE false END"
 
@@ -447,6 +440,32 @@ def arc_filter(spark, sf_dir):
     return t.select("query_pos", "query", "idx", "word", arc_pattern(STANDIN_PHRASES).alias("arc_ok"))
 
 
+@register("arc_kept_removed", "WITH " + O.funnel_ctes(arc_ok=_arc_case_sql()) + """
+SELECT query_pos, query, idx, org, word, removed_by FROM wm_audit""")
+def arc_kept_removed(spark, sf_dir):
+    """The funnel with its arc stage on (pattern form)."""
+    rows = funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir), STANDIN_PHRASES, arcs="pattern")
+    return rows.select("query_pos", "query", "idx", "org", "word", "removed_by")
+
+
+@register("arc_table_keep", _EX + """,
+wm_arct AS (SELECT DISTINCT query, sentence, list_transform(
+    list_filter(regexp_split_to_array(sentence, '\\s+'), lambda t: t <> ''),
+    lambda t: lower(regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))) AS w FROM wm_total),
+wm_arck AS (SELECT query, sentence, list_max(list_transform(w, lambda t, j: CASE WHEN t = 'is' THEN j END)) AS last_is, w,
+    string_split(query, ' ')[-1] AS tg FROM wm_arct),
+wm_arcp AS (SELECT query, sentence, w, tg, unnest(generate_series(1, len(w))) AS i FROM wm_arck)
+SELECT DISTINCT query, sentence FROM (
+  SELECT query, sentence, w, tg, i, list_max(list_filter(generate_series(1, greatest(i - 1, 1)), lambda j: j < i AND w[j] = 'is')) AS h FROM wm_arcp)
+WHERE w[i] = tg AND h > 1
+  AND NOT (i < len(w) AND list_max(list_filter(generate_series(1, i), lambda j: w[j] = 'is')) = i)
+  AND NOT (i < len(w) AND h IS NULL)""".replace(_EX + ",", _EX.rstrip() + ","))
+def arc_table_keep(spark, sf_dir):
+    """C9 with a token-arc table: the (phrase, sentence) pairs that have the arc shape under rule-made arcs."""
+    rows = funnel.with_sentence_id(total_m(spark, sf_dir).select("query", "sentence").distinct())
+    return arc_keep(rows, rule_arcs(rows.select("sent_id", "sentence"))).select("query", "sentence")
+
+
 # --- A13-A19: file sources and sinks; C24 lemma lexicon --------------------------
 
 from ..constants import STANDIN_INFLECTIONS  # noqa: E402
@@ -486,6 +505,51 @@ def partitioned_reuse(spark, sf_dir):
     return back.select("query_pos", "query", "doc_ix", "shard", "rank", "pos")
 
 
+@register("json_array_source", _CO + """
+SELECT query, doc_ix, shard, rank, pos, len(spans)::BIGINT AS n_spans, metadata FROM wm_landed""")
+def json_array_source(spark, sf_dir):
+    """A13 on files that each hold one JSON array."""
+    path = FS.scratch(spark, "landed-arrays")
+    FS.write_landed_json_arrays(landed(spark, sf_dir), path)
+    back = FS.read_landed_json(spark, path, multi_line=True)
+    return back.select(F.regexp_replace("query_slug", "_", " ").alias("query"), "doc_ix", "shard", "rank", "pos",
+                       F.size("spans").cast("bigint").alias("n_spans"), "metadata")
+
+
+@register("lexicon_load", "WITH " + O.lexicon_ctes() + "\nSELECT word, 'benchmark' AS source FROM wm_wordlist")
+def lexicon_load(spark, sf_dir):
+    """The word list written as plain text and read back."""
+    path = FS.scratch(spark, "word-list-text")
+    tables.read_table(spark, sf_dir, "benchmark").select("text").write.text(path)
+    return FS.read_word_list(spark, path, "benchmark")
+
+
+@register("part_files", _CO + _UNIQUE + "SELECT query, doc_ix, shard, rank, pos FROM wm_unique")
+def part_files(spark, sf_dir):
+    """A9 sink: part files per expression, read back."""
+    path = FS.scratch(spark, "parts")
+    CO.write_parts(unique_docs(spark, sf_dir).select("query", "doc_ix", "shard", "rank", "pos"), path, PART_SIZE)
+    back = spark.read.schema("query string, doc_ix bigint, shard string, rank bigint, pos bigint").json(path)
+    return back.select("query", "doc_ix", "shard", "rank", "pos")
+
+
+@register("response_validity", """
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS word, role AS source FROM conversations
+WHERE (conv_id + turn) % 5 IN (0, 4) AND (conv_id + turn) % 7 <> 3""")
+def response_validity(spark, sf_dir):
+    """C17: stored responses made from conversation turns - entries, suggestion lists, objects, broken bodies, error codes."""
+    c = tables.read_table(spark, sf_dir, "conversations")
+    k, quoted = F.col("conv_id") + F.col("turn"), F.to_json(F.struct(F.substring("text", 1, 20).alias("id")))
+    body = (F.when(k % 5 == 0, F.concat(F.lit('[{"meta":'), quoted, F.lit("}]")))
+            .when(k % 5 == 1, F.lit('["suggestion", "other"]'))
+            .when(k % 5 == 2, F.concat(F.lit('{"meta":'), quoted, F.lit("}")))
+            .when(k % 5 == 3, F.lit("[]"))
+            .otherwise(F.concat(F.lit(' [{"hom": 1, "meta":'), quoted, F.lit('}, "x"]'))))
+    responses = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("word"),
+                         F.col("role").alias("api"), F.when(k % 7 == 3, 404).otherwise(200).alias("status"), body.alias("body"))
+    return lexicon.valid_responses(responses)
+
+
 def _inflection_sql() -> str:
     return " UNION ALL ".join(f"SELECT word || {O.q(suf)} AS form, word AS lemma FROM wm_wordlist"
                               for suf, _ in STANDIN_INFLECTIONS)
@@ -522,8 +586,7 @@ def stream_collect(spark, sf_dir):
     by a Structured Streaming query; equals the batch unique collection's keys."""
     src, sink, ckpt = (FS.scratch(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
     ev = landed(spark, sf_dir).select("query", "doc_ix", "shard", "rank", "pos")
-    ev.repartition(4, "shard").write.mode("overwrite").json(src)
-    ST.use_rocksdb_state(spark)
+    ev.write.mode("overwrite").json(src)
     out = ST.unique_stream(spark, src, sink, ckpt)
     return out.select("query", "doc_ix")
 
@@ -575,10 +638,12 @@ def beam_segment(spark, sf_dir):
 # --- older pipeline variant: letters-only words (C4), title-contains stage (C15) ---
 
 @register("older_kept_removed", "WITH " + O.funnel_ctes(older=True) + """
-SELECT query_pos, query, idx, org, word, removed_by FROM wm_audit""")
+SELECT query_pos, query, doc_ix, sentence, org, word, removed_by FROM wm_audit""")
 def older_kept_removed(spark, sf_dir):
-    rows = funnel.audit_rows(total_m(spark, sf_dir), lexicons(spark, sf_dir, variant="older"), STANDIN_PHRASES)
-    return rows.select("query_pos", "query", "idx", "org", "word", "removed_by")
+    """The older pipeline end to end: first-span rows (B17-B19) through the older funnel."""
+    first = materialise(extract.first_span_rows(landed(spark, sf_dir)), "first-span")
+    rows = funnel.audit_rows(first, lexicons(spark, sf_dir, variant="older"), STANDIN_PHRASES)
+    return rows.select("query_pos", "query", "doc_ix", "sentence", "org", "word", "removed_by")
 
 
 # --- the second corpus: conversation turns -------------------------------------

@@ -5,6 +5,7 @@ No reader infers a schema: a column of nulls can never change type.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,14 @@ def write_landed_json(landed: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("query_slug").json(path))
 
 
+def write_landed_json_arrays(landed: DataFrame, path: str) -> None:
+    """A JSON array per file, one folder per expression; a file holds a bucket's documents."""
+    doc = F.struct("doc_ix", "metadata", spans_to_arrays().alias("spans"), "shard", "rank", "pos")
+    arrays = landed.groupBy(query_slug().alias("query_slug"), "bucket").agg(F.to_json(F.collect_list(doc)).alias("value"))
+    (arrays.select("query_slug", "value").write.mode("overwrite").option("maxRecordsPerFile", 1)
+     .partitionBy("query_slug").text(path))
+
+
 CSV_OPTS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
@@ -94,8 +103,10 @@ def table_complete(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path.rstrip("/") + "/_SUCCESS")
         return True
-    except Exception:  # path not found
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def materialise_once(spark: SparkSession, path: str, build, fmt: str = "parquet",

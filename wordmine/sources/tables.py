@@ -31,7 +31,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second corpus: one document per conversation turn; the role is the shard."""
     c = read_table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("doc_ix"), "text",
+    return c.select((F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")).alias("doc_ix"), "text",
                     F.col("role").alias("shard"),
                     F.concat(F.lit('{"conv_id":'), F.col("conv_id").cast("string"),
                              F.lit(',"turn":'), F.col("turn").cast("string"), F.lit("}")).alias("metadata"))
@@ -58,9 +58,13 @@ def title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct().withColumn("source", F.lit("titles")))
 
 
-def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary stand-in: words of assistant turns = ``collegiate``, of user turns = ``medical``."""
-    c = read_table(spark, sf_dir, "conversations").select("role", "text")
-    src = F.when(F.col("role") == "assistant", "collegiate").when(F.col("role") == "user", "medical")
+# Which turns make up which stand-in dictionary; turns of other roles are in none.
+DICTIONARY_ROLES = {"assistant": "collegiate", "user": "medical"}
+
+
+def dictionary_entries(spark: SparkSession, sf_dir: str, roles: dict[str, str] = DICTIONARY_ROLES) -> DataFrame:
+    """Dictionary stand-in: the words of the turns of each role in ``roles``, under its dictionary's name."""
+    c = read_table(spark, sf_dir, "conversations").select("role", "text").where(F.col("role").isin(list(roles)))
+    src = F.coalesce(*[F.when(F.col("role") == r, d) for r, d in roles.items()])
     return (c.select(src.alias("source"), F.explode(lexicon_words("text")).alias("word"))
-            .where(F.col("source").isNotNull()).distinct().select("word", "source"))
+            .distinct().select("word", "source"))

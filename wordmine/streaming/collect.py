@@ -11,31 +11,44 @@ loop is not needed.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 LANDED_EVENT_SCHEMA = "query string, doc_ix bigint, shard string, rank bigint, pos bigint"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keep large dedup state off the JVM heap (set before the first stateful query)."""
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Keep large dedup state off the JVM heap while a stateful query starts; the session's own setting returns."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
     try:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    except Exception:  # provider not settable in this session: keep the default store
-        pass
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def unique_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                   keys: tuple[str, ...] = ("query", "doc_ix"), schema: str = LANDED_EVENT_SCHEMA,
-                  files_per_trigger: int = 1) -> DataFrame:
+                  files_per_trigger: int | None = None) -> DataFrame:
     """Run the dedup stream over the files in ``source`` until they are all processed.
 
-    Returns the sink as a batch DataFrame.
+    ``files_per_trigger`` bounds a micro-batch; without it one batch takes all
+    files present. Returns the sink as a batch DataFrame.
     """
-    events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(source))
-    query = (events.dropDuplicates(list(keys))
-             .writeStream.format("parquet")
-             .option("path", sink).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    with rocksdb_state(spark):
+        query = (reader.json(source).dropDuplicates(list(keys))
+                 .writeStream.format("parquet")
+                 .option("path", sink).option("checkpointLocation", checkpoint)
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
     return spark.read.parquet(sink)
