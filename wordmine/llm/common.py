@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers/"
-
+from wordmine.session import fresh_path
 
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; every operator takes such a path as a parameter."""
@@ -30,3 +29,9 @@ def held_out(id_col: str = "doc_id", fold: int = 0, folds: int = 5) -> Column:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``: further columns of ``docs`` cannot clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a URI if it has no scheme."""
+    path = fresh_path(spark, name)
+    return path if "://" in path else f"file://{path}"

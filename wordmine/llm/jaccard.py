@@ -12,14 +12,17 @@ smallest class of the other size.
 
 Heavy: pairs with a larger set meet in inverted lists. A set is listed under
 its first shingles in an order that puts rare ones first, so many that a linked
-set must share one (prefix filter). Document frequencies are counted for the
-``counted_part`` of all shingles with the smallest hashes, which come first in
-the order; a set whose part of them is too small also lists its next smallest
-hashes. Lists are scanned in rounds: the member with the fewest rarer shingles
-leads its list and is compared with the others, and members that are in one
-group by then need no comparison among themselves. When few comparisons are
-left between groups, all of them are made. Sizes and places in the order bound
-the overlap and leave out pairs before their texts are compared exactly.
+set must share one (prefix filter); shingles that no other set has need no list.
+The order is by the logarithm of the document frequency, then by hash. To find
+it, each block of documents (see ``blocks``) sends its shingles, cut to
+``HASH_BITS`` bits, sorted and packed, to partitions of the hash range, which
+count them and answer with the logarithms; any function of the hash gives a right
+result, a good estimate of the frequency a fast one. Lists are scanned in
+rounds: the member with the fewest rarer shingles leads its list and is compared
+with the others, and members that are in one group by then need no comparison
+among themselves. When few comparisons are left between groups, all of them are
+made. Sizes and places in the order bound the overlap and leave out pairs before
+their texts are compared exactly.
 
 x is the boundary with the least cost over the sizes that occur (``boundary``).
 
@@ -32,6 +35,7 @@ no component; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -40,13 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordmine.llm import blocks
 from wordmine.llm import textcells as T
-from wordmine.llm.common import id_and_text
+from wordmine.llm.common import id_and_text, shared_uri
 from wordmine.llm.components import connected_components
 from wordmine.session import materialise
 
 LIGHT_MOST = 48    # sets above this size are never light
-SETS = "doc_id bigint, n bigint, sig binary, low int, kept binary"
+HASH_BITS = 44     # of a shingle's hash, for its document frequency
+WORDS_PER_BLOCK = 1 << 21
+SETS = ("doc_id bigint, n bigint, sig binary, kept binary, block bigint, part int, m bigint, hashes binary, counts binary")
+ANSWERS = "block bigint, part int, logs binary"
+LISTED = "shingle bigint, rep bigint, n bigint, pos int"
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -55,12 +64,8 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    import xxhash
-
-    offsets, index, words = T.ascii_words(texts, lower=True)
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in T.strings(words)), np.uint64, len(words))[index]
+def _sets_of_words(hashed: np.ndarray, offsets: np.ndarray, words_each: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each document from its words' hashes."""
     whole = np.full(max(len(hashed) - words_each + 1, 0), np.uint64(words_each))
     for k in range(words_each):
         whole = _finish(whole + hashed[k:k + len(whole)]) + np.uint64(k + 1)
@@ -78,6 +83,25 @@ def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
     return out
 
 
+def _hashes(words: list) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    offsets, index, words = T.ascii_words(texts, lower=True)
+    return _sets_of_words(_hashes(T.strings(words))[index], offsets, words_each)
+
+
+def block_sets(folder: str, block: int, words_each: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, sets) of a block's documents, in steps."""
+    hashed = _hashes(blocks.read_words(folder, block))
+    for ids, _, offsets, numbers in blocks.read_documents(folder, block):
+        yield ids, _sets_of_words(hashed[numbers], offsets, words_each)
+
+
 def prefix_length(n: int, p: int, q: int) -> int:
     return n - -(-n * p // q) + 1
 
@@ -86,11 +110,6 @@ def overlap(a: int, b: int, p: int, q: int) -> int:
     return -(-p * (a + b) // (p + q))
 
 
-def counted_part(p: int, q: int) -> float:
-    """Part of all shingles, by hash, whose document frequency is counted: half as much again as a prefix takes."""
-    return min(1.0, 1.5 * (q - p) / q)
-
-
 def partners(n: int, p: int, q: int) -> range:
     """Sizes of sets that a set of n may link with."""
     return range(-(-n * p // q), n * q // p + 1)
@@ -104,12 +123,12 @@ def light_rows(n: int, most: int, p: int, q: int) -> int:
 def boundary(sizes: dict[int, int], p: int, q: int) -> int:
     """The largest light size with the least cost, from the number of sets of each size up to LIGHT_MOST.
 
-    A named subset is a row that is shuffled twice. A listed set is shuffled
-    three times for each counted shingle, and each shingle of its prefix costs
-    the scan of a list, taken as 8 rows.
+    A named subset is a row that is shuffled twice. A listed set costs half a row
+    for each shingle that is counted, and each shingle of its prefix the scan of
+    a list, taken as 8 rows.
     """
     def heavy(n):
-        return 3 * max(counted_part(p, q) * n, prefix_length(n, p, q)) + 8 * prefix_length(n, p, q)
+        return n / 2 + 8 * prefix_length(n, p, q)
 
     def cost(x):
         return (sum(c * 2 * light_rows(n, x, p, q) for n, c in sizes.items() if n <= x)
@@ -118,25 +137,108 @@ def boundary(sizes: dict[int, int], p: int, q: int) -> int:
     return min(range(1, LIGHT_MOST + 1), key=cost)
 
 
-def _sets(words_each: int, p: int, q: int):
-    limit = np.uint64(min(int(counted_part(p, q) * 2.0**64), 2**64 - 1))
+def _signature(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _cut(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            for part, texts in T.text_slices(batch):
-                out: list[list] = [[], [], [], []]
-                for h in shingle_sets(texts, words_each):
-                    low = int(np.searchsorted(h, limit))
-                    upto = len(h) if len(h) <= LIGHT_MOST else max(low, prefix_length(len(h), p, q))
-                    for column, value in zip(out, (len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), low, h[:upto].tobytes()), strict=True):
-                        column.append(value)
-                yield pa.record_batch([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
-                                       pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
-                                      names=["doc_id", "n", "sig", "low", "kept"])
+
+def _batch(kinds: dict, rows: int, **columns) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(columns.get(c, [None] * rows), t) for c, t in kinds.items()], names=list(kinds))
+
+
+_SETS = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "kept": pa.binary(), "block": pa.int64(), "part": pa.int32(),
+         "m": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
+
+
+def _describe(folder: str, words_each: int, parts: int):
+    """Blocks to a row (doc_id, n, sig, kept) for each document and packed rows of their shingles for the partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (b for batch in batches for b in batch.column(0).to_pylist()):
+            known, cut = set(), []
+            for ids, sets in block_sets(folder, block, words_each):
+                sigs = [_signature(h) for h in sets]
+                yield _batch(_SETS, len(ids), doc_id=ids, n=[len(h) for h in sets], sig=sigs,
+                             kept=[h.tobytes() if len(h) <= LIGHT_MOST else b"" for h in sets])
+                for i, sig, h in zip(ids, sigs, sets, strict=True):
+                    if i is not None and len(h) and sig not in known:
+                        known.add(sig)
+                        cut.append(_cut(h))
+            if not cut:
+                continue
+            values, counts = np.unique(np.concatenate(cut), return_counts=True)
+            ends = np.searchsorted(values, [-(-(p << HASH_BITS) // parts) for p in range(parts + 1)])
+            rows = [(p, values[a:b], counts[a:b]) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+            yield _batch(_SETS, len(rows), block=[block] * len(rows), part=[r[0] for r in rows], m=[len(r[1]) for r in rows],
+                         hashes=[blocks.pack_ascending(r[1]) for r in rows], counts=[blocks.pack(r[2]) for r in rows])
 
     return run
 
 
+def _count(table: pa.Table) -> pa.Table:
+    """A partition's packed hashes to the logarithm of each one's count over all blocks, for the blocks that asked."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "part", "m", "hashes", "counts")), strict=True))
+    hashes = [blocks.unpack_ascending(r[3], r[2]) for r in rows]
+    every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(at, np.concatenate([blocks.unpack(r[4], r[2]) for r in rows]), len(every))
+    logs = np.split(np.log2(total).astype(np.uint8)[at], np.cumsum([r[2] for r in rows])[:-1])
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                     pa.array([blocks.compressed(x.tobytes()) for x in logs], pa.binary())], names=["block", "part", "logs"])
+
+
+def _list(folder: str, words_each: int, parts: int, most: int, p: int, q: int):
+    """The answers to one block to the listed shingles of its sets, each set under the smallest id that has it there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        block = table.column("block")[0].as_py()
+        found: dict[bytes, tuple] = {}
+        for ids, sets in block_sets(folder, block, words_each):
+            for i, h in zip(ids, sets, strict=True):
+                if len(h) and i is not None:
+                    sig = _signature(h)
+                    if sig not in found or i < found[sig][0]:
+                        found[sig] = (i, h if sig not in found else found[sig][1])
+        if not found:
+            return
+        ids, sets = zip(*found.values(), strict=True)
+        cut = _cut(np.concatenate(sets))
+        every, at = np.unique(cut, return_inverse=True)
+        log = np.zeros(len(every), np.uint8)
+        ends = np.searchsorted(every, [-(-(k << HASH_BITS) // parts) for k in range(parts + 1)])
+        for part, data in zip(table.column("part").to_pylist(), table.column("logs").to_pylist(), strict=True):
+            a, b = int(ends[part]), int(ends[part + 1])
+            log[a:b] = np.frombuffer(pa.decompress(data, decompressed_size=b - a, codec="zstd", asbytes=True), np.uint8)
+        log = log[at]
+        out: list[list] = [[], [], [], []]
+        begin = 0
+        for i, h in zip(ids, sets, strict=True):
+            n = len(h)
+            rarity = log[begin:begin + n]
+            begin += n
+            if n * q // p <= most:
+                continue
+            order = np.lexsort((h, rarity))[:prefix_length(n, p, q)]
+            pos = np.flatnonzero(rarity[order])
+            for column, value in zip(out, (h[order[pos]].view(np.int64), np.full(len(pos), i), np.full(len(pos), n), pos), strict=True):
+                column.append(value)
+            if len(out[0]) >= 2000:
+                yield _listed(out)
+                out = [[], [], [], []]
+        if out[0]:
+            yield _listed(out)
+
+    return run
+
+
+def _listed(out: list[list]) -> pa.RecordBatch:
+    shingle, rep, n, pos = (np.concatenate(x) for x in out)
+    return pa.record_batch([pa.array(shingle), pa.array(rep), pa.array(n), pa.array(pos.astype(np.int32))], names=["shingle", "rep", "n", "pos"])
+
+
 def _subsets(most: int, p: int, q: int):
     """Rows (rep, n, kept) to their subsets: (lo, hi, k1, k2, rep, n)."""
     names = ["lo", "hi", "k1", "k2", "rep", "n"]
@@ -174,44 +276,9 @@ def light_edges(classes: DataFrame, most: int, p: int, q: int) -> DataFrame:
     return met.select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _listed(p: int, q: int, most: int):
-    """Rows (rep, n, low, kept) to the shingles that may be listed: (shingle, rep, n, counted)."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rep, n, low, kept = (c.to_pylist() for c in batch.slice(at, 2000).columns)
-                upto = [max(k, prefix_length(m, p, q)) for k, m in zip(low, n, strict=True)]
-                hashes = [np.frombuffer(h, np.uint64)[:u] for h, u in zip(kept, upto, strict=True)]
-                sizes = np.array([len(h) for h in hashes])
-                counted = np.concatenate([np.arange(len(h)) < k for h, k in zip(hashes, low, strict=True)])
-                yield pa.record_batch([
-                    pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.repeat(np.array(rep, np.int64), sizes)),
-                    pa.array(np.repeat(np.array(n, np.int64), sizes)), pa.array(counted),
-                ], names=["shingle", "rep", "n", "counted"])
-
-    return run
-
-
-def inverted_lists(classes: DataFrame, most: int, p: int, q: int) -> DataFrame:
-    """(shingle, rep, n, pos): each class under the shingles of its prefix that another class has too.
-
-    pos is the place of the shingle in the class's order, or less.
-    """
-    heavy = classes.filter(F.floor(F.col("n") * q / p) > most)
-    rows = heavy.select("rep", "n", "low", "kept").mapInArrow(_listed(p, q, most), "shingle bigint, rep bigint, n bigint, counted boolean")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    unsigned = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))  # the order of the hashes as unsigned numbers
-    place = F.struct((~F.col("counted")).alias("later"), F.when(F.col("counted"), F.col("df")).otherwise(0).alias("df"),
-                     unsigned.alias("order"), "shingle")
-    mine = rows.join(common, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(place)).alias("mine"))
-    mine = mine.join(heavy.select("rep", "n", "low"), "rep")
-    # shingles that no other class has come first; those not counted stand after all counted ones
-    rare = F.col("low") - F.size(F.filter("mine", lambda s: ~s["later"]))
-    listed = mine.select("rep", "n", rare.alias("rare"), F.posexplode("mine").alias("at", "s"))
-    n_prefix = F.col("n") - F.ceil(F.col("n") * p / q) + 1
-    return (listed.withColumn("pos", F.col("rare") + F.col("at"))
-            .filter(F.col("pos") < n_prefix).select(F.col("s.shingle").alias("shingle"), "rep", "n", "pos"))
+def lower_words(texts: pa.Array):
+    offsets, index, words = T.ascii_words(texts, lower=True)
+    return offsets, index, T.strings(words)
 
 
 def _may_link(a: str, b: str, p: int, q: int):
@@ -268,16 +335,24 @@ def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3,
     reach. Lists are led by single members for at most ``rounds`` rounds before
     all comparisons that are left are made.
     """
+    spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    sets = materialise(texts.mapInArrow(_sets(words_each, p, q), SETS), "shingle-sets")
+    store, parts_n = shared_uri(spark, "shingle-blocks"), blocks.default_parts(spark)
+    blocks.write_blocks(texts.withColumn("train", F.lit(True)), lower_words, store, parts_n, WORDS_PER_BLOCK)
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    described = materialise(blocks.block_ids(spark, store).repartition(n_tasks, "block")
+                            .mapInArrow(_describe(store, words_each, parts_n), SETS), "shingle-sets")
+    sets = described.filter("sig is not null").select("doc_id", "n", "sig", "kept")
     usable = sets.filter("n > 0 and doc_id is not null")
-    first = F.min_by(F.struct("n", "low", "kept"), "doc_id")
-    classes = materialise(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), first.alias("s"))
-                          .select("sig", "rep", "s.n", "s.low", "s.kept"), "shingle-classes")
+    classes = materialise(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("kept").alias("kept")), "shingle-classes")
     sizes = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= LIGHT_MOST * q // p).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     most = boundary(sizes, p, q)
     edges = materialise(light_edges(classes, most, p, q), "light-links")
-    lists = materialise(inverted_lists(classes, most, p, q), "inverted-lists")
+    asked = described.filter("part is not null").select("block", "part", "m", "hashes", "counts")
+    answers = asked.groupBy("part").applyInArrow(_count, ANSWERS)
+    listed = materialise(answers.groupBy("block").applyInArrow(_list(store, words_each, parts_n, most, p, q), LISTED), "listed")
+    # a class is listed where its smallest id is
+    lists = materialise(listed.join(classes.select("rep"), "rep", "left_semi"), "inverted-lists")
     parts = connected_components(edges)
 
     for number in range(rounds + 1):

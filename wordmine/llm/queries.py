@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmine.llm import bpe, jaccard, katz, langid, neardup_vectors, packing, pii, quality, tokenfiles, topk
-from wordmine.llm.common import held_out, table, vocabulary
+from wordmine.llm.common import held_out, shared_uri, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
-from wordmine.session import fresh_path
 
 
 def _pattern() -> str:
@@ -17,25 +16,18 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _shared_uri(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, as a URI if it has no scheme."""
-    path = fresh_path(spark, name)
-    return path if "://" in path else f"file://{path}"
-
-
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_groups(table(spark, sf_dir, "documents"), p=9, q=10, words_each=3)
 
 
 def byte_bpe_digests(docs: DataFrame, folder: str) -> DataFrame:
     ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), _pattern()
-    encoded = bpe.encode_documents(docs, folder, ranks, pattern)
-    decoded = bpe.decode_documents(bpe.decimal_digest(encoded, ranks, pattern, "ids_sha256"), ranks, pattern)
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, folder, ranks, pattern), ranks, digest="ids_sha256")
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe_digests(table(spark, sf_dir, "documents"), _shared_uri(spark, "bpe-blocks"))
+    return byte_bpe_digests(table(spark, sf_dir, "documents"), shared_uri(spark, "bpe-blocks"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +42,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = katz.score_documents(table(spark, sf_dir, "documents"), ~held_out(fold=1), _shared_uri(spark, "lm"))
+    scored = katz.score_documents(table(spark, sf_dir, "documents"), ~held_out(fold=1), shared_uri(spark, "lm"))
     return scored.select("doc_id", held_out(fold=1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -59,7 +51,7 @@ def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _shared_uri(spark, "token-files")
+    folder = shared_uri(spark, "token-files")
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
