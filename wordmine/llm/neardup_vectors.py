@@ -71,13 +71,14 @@ class Codes:
         return bits @ (1 << np.arange(bits.shape[1], dtype=np.int64))
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision; ``kind`` is the stored type, single where the table's is."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _bucketer(width, bands, seed):
+def _bucketer(width, bands, seed, kind):
     """Rows (rep, weight, v) to a row for each band."""
 
     def run(batches):
@@ -89,9 +90,9 @@ def _bucketer(width, bands, seed):
             for dims in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == dims)
                 part = lists.take(pa.array(of))
-                x = part.flatten().to_numpy().reshape(-1, dims)
+                x = part.flatten().to_numpy().reshape(-1, dims).astype(kind)
                 raw = [r.tobytes() for r in x]
-                unit, codes = _unit(raw), T.once(Codes, dims, width, bands, seed)
+                unit, codes = _unit(raw, kind), T.once(Codes, dims, width, bands, seed)
                 rep, weight = (T.as_array(batch.column(c)).take(pa.array(of)) for c in (0, 1))
                 turned = None
                 for band in range(bands):
@@ -106,7 +107,7 @@ def _bucketer(width, bands, seed):
     return run
 
 
-def _links_of_groups(threshold, eps, width, bands, seed, at_once=1 << 20):
+def _links_of_groups(threshold, eps, width, bands, seed, kind, at_once=1 << 16):
     """Rows sorted by group to (rep, a smaller linked rep or itself, weight of those linked to it)."""
 
     def compare(group, side, band, rep, weight, raw):
@@ -117,7 +118,7 @@ def _links_of_groups(threshold, eps, width, bands, seed, at_once=1 << 20):
         ahead = np.repeat(begin + size, size) - np.arange(n) - 1
         if not ahead.any():
             return
-        unit = _unit(raw)
+        unit = _unit(raw, kind)
         codes = T.once(Codes, unit.shape[1], width, bands, seed)
         dims = codes.dims
         turned = np.empty_like(unit)
@@ -215,8 +216,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, recall: float = 0.99
     usable = materialise(usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "vectors")
     same = materialise(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
                        .select("rep", "weight", "v"), "vector-classes")
+    # vectors of a single-precision table travel as such
+    kind = "<f4" if "float" in df.schema[vector_col].dataType.simpleString() else "<f8"
     width, bands = bands_for(same.count(), threshold, recall)
-    rows = materialise(same.mapInArrow(_bucketer(width, bands, seed), BUCKETED), "vector-buckets")
+    rows = materialise(same.mapInArrow(_bucketer(width, bands, seed, kind), BUCKETED), "vector-buckets")
     big = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
     parts = rows.join(big, ["band", "bucket"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
@@ -227,7 +230,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, recall: float = 0.99
                      F.when(F.col("mine") == F.col("to"), -1).otherwise(F.col("mine")).alias("side"), "rep", "weight", "v"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(n, "band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "rep")
-    links = materialise(grouped.mapInArrow(_links_of_groups(threshold, eps, width, bands, seed), LINKED), "vector-links")
+    links = materialise(grouped.mapInArrow(_links_of_groups(threshold, eps, width, bands, seed, kind), LINKED), "vector-links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     parts_of = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = (same.select("rep", "weight", "v").join(counts, "rep", "left")
