@@ -15,8 +15,8 @@ How it runs. Documents are blocks of word numbers (see ``blocks``). The blocks'
 dictionaries are shuffled by word; there each word gets its count and an id.
 Each block then counts its distinct pairs (h, w) and sends them, packed, to
 partitions: those of one h together, those of a very frequent h dealt out by
-(h, w). A partition adds up the counts of the pairs, computes a(h) where all of
-h's pairs are there, and returns both to the blocks that asked, where every
+(h, w). A partition adds up the counts of the pairs and the parts of s(h) and
+a(h), and returns both to the blocks that asked, where every
 token is looked up recursively: pair, else back-off weight times word. Only
 parameters of the frequent h, at most ``8 * partitions`` rows, are collected.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wordmine.llm import blocks
 from wordmine.llm import textcells as T
-from wordmine.llm.blocks import pack, unpack
+from wordmine.llm.blocks import pack, pack_ascending, unpack, unpack_ascending
 from wordmine.llm.common import id_and_text
 from wordmine.session import materialise
 
@@ -45,7 +45,8 @@ PAIRS_PER_PARTITION = 1 << 21
 
 NUMBERED = "block bigint, n bigint, numbers binary, ids binary, counts binary, r bigint, n_r bigint, tokens bigint, words bigint"
 ASKED = "part int, block bigint, n bigint, runs bigint, h binary, h_count binary, h_size binary, w binary, w_count binary, seen binary"
-ANSWERED = "block bigint, part int, seen binary, weights binary, h bigint, mass double, lower double, count bigint"
+ANSWERED = ("block bigint, part int, seen binary, runs bigint, by_count binary, rest binary, lower binary, "
+            "h bigint, h_by_count array<bigint>, h_rest bigint, h_lower double, h_count bigint, r bigint, n_r bigint")
 ROWS = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -81,7 +82,7 @@ def _number_words(parts: int):
                 column.append(row.get(name))
 
         for block, numbers, places, _ in part.rows:
-            add(block=block, n=len(numbers), numbers=pack(numbers), ids=pack(ids[places]), counts=pack(count[places]))
+            add(block=block, n=len(numbers), numbers=pack_ascending(numbers), ids=pack(ids[places]), counts=pack(count[places]))
         for r in range(1, MOST_DISCOUNTED + 2):
             add(r=r, n_r=int((count == r).sum()), tokens=0, words=0)
         add(r=0, n_r=0, tokens=int(count.sum()), words=int((count > 0).sum()))
@@ -170,8 +171,8 @@ class _Pairs:
 
 def _dictionary(table: pa.Table):
     sizes = table.column("n").to_pylist()
-    return tuple(np.concatenate([unpack(v, n) for v, n in zip(table.column(c).to_pylist(), sizes, strict=True)])
-                 for c in ("numbers", "ids", "counts"))
+    return tuple(np.concatenate([read(v, n) for v, n in zip(table.column(c).to_pylist(), sizes, strict=True)])
+                 for c, read in (("numbers", unpack_ascending), ("ids", unpack), ("counts", unpack)))
 
 
 def _ask(folder: str, parts: int, hot: int):
@@ -206,8 +207,13 @@ def _weights(count, kept, lower):
     return np.where(none, 0.0, scale), np.where(none, 1.0, back)
 
 
-def _answer(words: Words, discounts: np.ndarray, hot: int):
-    """A partition's pairs: their counts over all blocks, and the histories' weights."""
+def _answer(words: Words, hot: int):
+    """A partition's pairs: their counts over all blocks, and what the weights of the histories are made of.
+
+    For a history: how many of its pairs were seen 1 to 5 times, the tokens of
+    the others, and the sum of P(w) over its seen words. The discounts follow
+    from the rows (r, n_r) of all partitions.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = [dict(zip(table.column_names, r, strict=True)) for r in zip(*(c.to_pylist() for c in table.columns), strict=True)]
@@ -226,48 +232,62 @@ def _answer(words: Words, discounts: np.ndarray, hot: int):
         run_of = np.empty(len(h), np.int64)
         run_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
         seen = np.add.reduceat(own[order], first)
-        kept = _discounted(discounts, seen)
-        lower = np.where(seen > 0, words.probability(w_count[order][first]), 0.0)
         h_first = np.flatnonzero(np.diff(h[order][first], prepend=-1))
-        kept_h, lower_h = np.add.reduceat(kept, h_first), np.add.reduceat(lower, h_first)
+        by_count = np.stack([np.add.reduceat((seen == r).astype(np.int64), h_first) for r in range(1, MOST_DISCOUNTED + 1)])
+        rest = np.add.reduceat(np.where(seen > MOST_DISCOUNTED, seen, 0), h_first)
+        lower = np.add.reduceat(np.where(seen > 0, words.probability(w_count[order][first]), 0.0), h_first)
         count_h, id_h = h_count[order][first][h_first], h[order][first][h_first]
-        scale, back = _weights(count_h, kept_h, lower_h)
         cold = count_h <= hot
         h_of = np.repeat(np.arange(len(h_first)), np.diff(np.append(h_first, len(first))))
-        out: dict[str, list] = {c.split()[0]: [] for c in ANSWERED.split(", ")}
+        out: dict[str, list] = {c: [] for c in _ANSWERED}
+
+        def add(**row):
+            for name, column in out.items():
+                column.append(row.get(name))
+
         at = 0
         for r in rows:
             of = run_of[at:at + r["n"]]
             begins = np.cumsum(unpack(r["h_size"], r["runs"]))
             history = h_of[of[np.concatenate([[0], begins[:-1]])]]
-            weights = np.where(cold[history], [scale[history], back[history]], np.nan)
-            values = (r["block"], r["part"], pack(seen[of] - own[at:at + r["n"]]), pa.compress(weights.astype("<f8").tobytes(), codec="zstd", asbytes=True), None, None, None, None)
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
+            add(block=r["block"], part=r["part"], seen=pack(seen[of] - own[at:at + r["n"]]), runs=r["runs"],
+                by_count=pack(by_count[:, history].ravel()), rest=pack(rest[history]),
+                lower=blocks.compressed(np.where(cold[history], lower[history], np.nan).astype("<f8").tobytes()))
             at += r["n"]
         for k in np.flatnonzero(~cold).tolist():
-            values = (None, None, None, None, int(id_h[k]), float(kept_h[k]), float(lower_h[k]), int(count_h[k]))
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            add(h=int(id_h[k]), h_by_count=by_count[:, k].tolist(), h_rest=int(rest[k]), h_lower=float(lower[k]), h_count=int(count_h[k]))
+        for r in range(1, MOST_DISCOUNTED + 2):
+            add(r=r, n_r=int((seen == r).sum()))
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), _ANSWERED.values(), strict=True)], names=list(out))
 
     return run
 
 
+_ANSWERED = {"block": pa.int64(), "part": pa.int32(), "seen": pa.binary(), "runs": pa.int64(), "by_count": pa.binary(), "rest": pa.binary(),
+             "lower": pa.binary(), "h": pa.int64(), "h_by_count": pa.list_(pa.int64()), "h_rest": pa.int64(), "h_lower": pa.float64(),
+             "h_count": pa.int64(), "r": pa.int64(), "n_r": pa.int64()}
+
+
+def _kept(discounts: np.ndarray, by_count: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Discounted tokens of histories, from their numbers of pairs by count and the tokens of the others."""
+    return discounts[1:MOST_DISCOUNTED + 1] * np.arange(1, MOST_DISCOUNTED + 1) @ by_count + rest
+
+
 def _evaluate(folder: str, parts: int, hot: int, words: Words, discounts: np.ndarray, frequent: dict[int, tuple[float, float]]):
     def run(numbered: pa.Table, answered: pa.Table) -> pa.Table:
         block = numbered.column("block")[0].as_py()
         pairs = _Pairs(folder, block, *_dictionary(numbered), parts, hot)
         seen = pairs.own.astype(np.int64)
         scale, back = np.zeros(len(pairs.id)), np.ones(len(pairs.id))
-        for p, more, weights in zip(*(answered.column(x).to_pylist() for x in ("part", "seen", "weights")), strict=True):
+        columns = ("part", "seen", "runs", "by_count", "rest", "lower")
+        for p, more, runs, by_count, rest, lower in zip(*(answered.column(x).to_pylist() for x in columns), strict=True):
             of, first = pairs.of_part(p)
             seen[of] += unpack(more, len(of))
             h = pairs.h[of[first]]
-            both = np.frombuffer(pa.decompress(weights, decompressed_size=16 * len(h), codec="zstd", asbytes=True), "<f8").reshape(2, -1)
-            cold = ~np.isnan(both[0])
-            scale[h[cold]], back[h[cold]] = both[0][cold], both[1][cold]
+            low = np.frombuffer(pa.decompress(lower, decompressed_size=8 * runs, codec="zstd", asbytes=True), "<f8")
+            kept = _kept(discounts, unpack(by_count, MOST_DISCOUNTED * runs).reshape(MOST_DISCOUNTED, runs), unpack(rest, runs))
+            cold = ~np.isnan(low)
+            scale[h[cold]], back[h[cold]] = (x[cold] for x in _weights(pairs.count[h], kept, low))
         for k in np.flatnonzero(pairs.count > hot).tolist():
             scale[k], back[k] = frequent[int(pairs.id[k])]
         with np.errstate(divide="ignore"):
@@ -305,33 +325,18 @@ def score_documents(docs: DataFrame, is_training, folder: str, id_col: str = "do
     hot = max(1000, tokens // (8 * parts))  # at most 8 * parts words are more frequent
     dictionaries = numbered.filter("block is not null").select("block", "n", "numbers", "ids", "counts")
     asked = dictionaries.groupBy("block").applyInArrow(_ask(store, parts, hot), ASKED)
-    asked = materialise(asked, "lm-pairs")
-    discounts = good_turing(_pair_counts(asked))
-    answered = materialise(asked.groupBy("part").applyInArrow(_answer(words, discounts, hot), ANSWERED), "lm-answers")
-    frequent = {r["h"]: tuple(float(x[0]) for x in _weights(np.array([r["c"]]), np.array([r["mass"]]), np.array([r["lower"]])))
-                for r in answered.filter("h is not null").groupBy("h")
-                .agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"), F.max("count").alias("c")).collect()}
-    answers = answered.filter("block is not null").select("block", "part", "seen", "weights")
+    answered = materialise(asked.groupBy("part").applyInArrow(_answer(words, hot), ANSWERED), "lm-answers")
+    n_r = {x["r"]: x["n"] for x in answered.filter("r is not null").groupBy("r").agg(F.sum("n_r").alias("n")).collect()}
+    discounts = good_turing(n_r)
+    by_count = [F.sum(F.col("h_by_count")[r]).alias(f"k{r}") for r in range(MOST_DISCOUNTED)]
+    frequent = {}
+    for x in (answered.filter("h is not null").groupBy("h")
+              .agg(*by_count, F.sum("h_rest").alias("rest"), F.sum("h_lower").alias("lower"), F.max("h_count").alias("c")).collect()):
+        kept = _kept(discounts, np.array([[x[f"k{r}"]] for r in range(MOST_DISCOUNTED)]), np.array([x["rest"]]))
+        scale, back = _weights(np.array([x["c"]]), kept, np.array([x["lower"]]))
+        frequent[x["h"]] = (float(scale[0]), float(back[0]))
+    answers = answered.filter("block is not null").select("block", "part", "seen", "runs", "by_count", "rest", "lower")
     scored = dictionaries.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _evaluate(store, parts, hot, words, discounts, frequent), ROWS)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("bigint"))
 
-
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """How many distinct pairs of a partition were seen 1, 2, ... times."""
-    h, w, own = [], [], []
-    for n, runs, hi, size, wi, seen in zip(*(table.column(c).to_pylist() for c in ("n", "runs", "h", "h_size", "w", "seen")), strict=True):
-        h.append(np.repeat(unpack(hi, runs), unpack(size, runs)))
-        w.append(unpack(wi, n))
-        own.append(unpack(seen, n))
-    h, w, own = map(np.concatenate, (h, w, own))
-    order = np.lexsort((w, h))
-    first = np.flatnonzero((np.diff(h[order], prepend=-1) != 0) | (np.diff(w[order], prepend=-1) != 0))
-    seen = np.add.reduceat(own[order], first)
-    r = np.arange(1, MOST_DISCOUNTED + 2)
-    return pa.table([pa.array(r), pa.array([int((seen == k).sum()) for k in r])], names=["r", "n_r"])
-
-
-def _pair_counts(asked: DataFrame) -> dict[int, int]:
-    counts = asked.groupBy("part").applyInArrow(_count_pairs, "r bigint, n_r bigint")
-    return {x["r"]: x["n"] for x in counts.groupBy("r").agg(F.sum("n_r").alias("n")).collect()}
