@@ -54,5 +54,5 @@ def test_decode_joins_token_bytes(spark):
     import numpy as np
 
     frame = spark.createDataFrame([(1, len(ids), bytearray(np.array(ids, "<u4").tobytes()))], "doc_id bigint, n_tokens bigint, ids binary")
-    row = bpe.decode_documents(frame, vocabulary("byte_bpe_50k.tiktoken"), _pattern()).collect()[0]
+    row = bpe.decode_documents(frame, vocabulary("byte_bpe_50k.tiktoken")).collect()[0]
     assert bytes(row["decoded"]).decode() == "Grüße, world"

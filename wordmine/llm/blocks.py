@@ -39,6 +39,19 @@ def pack(values: np.ndarray) -> bytes:
     return compressed(planes.tobytes())
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, their second bytes and so on: short under compression."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_ascending(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(data, n))
+
+
 def unpack(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
@@ -68,30 +81,35 @@ class _Block:
         import xxhash
 
         index, sizes = np.concatenate(self.index), np.concatenate(self.sizes)
+        known, n_words = list(self.numbers), len(self.numbers)
+        self.index, self.numbers = [], {}  # what is not needed any more goes first
         of_train = index[np.repeat(np.array(self.train, bool), sizes)] if count_train else index
-        order = np.argsort(-np.bincount(index, minlength=len(self.numbers)), kind="stable")
+        order = np.argsort(-np.bincount(index, minlength=n_words), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         counts = np.bincount(of_train, minlength=len(order))[order]
-        data, ends = rank[index].astype("<i4").tobytes(), np.cumsum(sizes) * 4
-        begins = ends - sizes * 4
+        ranked, ends = rank[index].astype("<i4"), np.cumsum(sizes)
+        del index, of_train, rank
+        begins = ends - sizes
         for at in range(0, len(sizes), _DOC_ROWS):
             part = slice(at, at + _DOC_ROWS)
             n = len(self.doc_ids[part])
             yield _batch(block, n, doc_id=self.doc_ids[part], train=self.train[part],
-                         index=[data[a:b] for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)])
-        known = list(self.numbers)
+                         index=[_planes(ranked[a:b]) for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)])
+        del ranked
         words = [known[k].encode() for k in order.tolist()]
+        del known
         part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
         by_part = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[by_part], prepend=-1))
         out: dict[str, list] = {c: [] for c in ("part", "n", "numbers", "sizes", "words", "counts")}
         for of in np.split(by_part, cuts[1:]):
             mine = [words[k] for k in of.tolist()]
-            for column, value in zip(out.values(), (int(part[of[0]]), len(of), pack(of), pack(np.fromiter(map(len, mine), np.int64, len(mine))),
+            for column, value in zip(out.values(), (int(part[of[0]]), len(of), pack_ascending(of), pack(np.fromiter(map(len, mine), np.int64, len(mine))),
                                                     compressed(b"".join(mine)), pack(counts[of]) if count_train else None), strict=True):
                 column.append(value)
         yield _batch(block, len(out["part"]), **out)
+        pa.default_memory_pool().release_unused()
 
 
 _TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "index": pa.binary(), "part": pa.int32(), "n": pa.int64(),
@@ -148,7 +166,7 @@ class PartWords:
         blocks, sizes, data, numbers, counts = [], [], [], [], []
         for block, n, number, size, words, count in zip(*(table.column(c).to_pylist() for c in ("block", "n", "numbers", "sizes", "words", "counts")), strict=True):
             blocks.append(block)
-            numbers.append(unpack(number, n))
+            numbers.append(unpack_ascending(number, n))
             sizes.append(unpack(size, n))
             data.append(pa.decompress(words, decompressed_size=int(sizes[-1].sum()), codec="zstd", asbytes=True))
             counts.append(unpack(count, n) if count is not None else None)
@@ -161,6 +179,29 @@ class PartWords:
         self.rows = list(zip(blocks, numbers, places, counts, strict=True))
 
 
+def block_ids(spark, folder: str) -> DataFrame:
+    """The numbers of all blocks, a row each."""
+    rows = spark.read.schema(SCHEMA + ", kind string").parquet(folder).filter("kind = 'words'")
+    return rows.select("block").distinct()
+
+
+def read_words(folder: str, block: int) -> list[bytes]:
+    """Inside a task: the words of a block in the order of their numbers."""
+    import pyarrow.dataset as ds
+
+    from wordmine.llm.tokenfiles import _open
+
+    system, path = _open(f"{folder}/kind=words/block={block}")
+    table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["n", "numbers", "sizes", "words"], use_threads=False)
+    words: list[bytes] = [b""] * sum(table.column("n").to_pylist())
+    for n, numbers, sizes, data in zip(*(table.column(c).to_pylist() for c in table.column_names), strict=True):
+        ends = np.cumsum(unpack(sizes, n))
+        raw = pa.decompress(data, decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+        for k, a, b in zip(unpack_ascending(numbers, n).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            words[k] = raw[a:b]
+    return words
+
+
 def read_documents(folder: str, block: int, rows: int = _DOC_ROWS) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
     """Inside a task: (doc ids, train flags, offsets, word numbers) of a block's documents, in steps."""
     import pyarrow.dataset as ds
@@ -169,9 +210,10 @@ def read_documents(folder: str, block: int, rows: int = _DOC_ROWS) -> Iterator[t
 
     system, path = _open(f"{folder}/kind=docs/block={block}")
     found = ds.dataset(path, filesystem=system, format="parquet")
-    for batch in found.to_batches(columns=["doc_id", "train", "index"], batch_size=rows):
+    for batch in found.to_batches(columns=["doc_id", "train", "index"], batch_size=rows, batch_readahead=1, fragment_readahead=1, use_threads=False):
         if batch.num_rows:
-            index = T.as_array(batch.column(2))
-            sizes = np.diff(np.frombuffer(index.buffers()[1], np.int32)[index.offset:index.offset + len(index) + 1]) // 4
-            numbers = np.frombuffer(b"".join(index.to_pylist()), "<i4")
-            yield batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.concatenate([[0], np.cumsum(sizes)]), numbers
+            raw = batch.column(2).to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            numbers = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(4, -1).T).view("<i4")[:, 0] for r in raw if r]
+            yield (batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.concatenate([[0], np.cumsum(sizes)]),
+                   np.concatenate([np.empty(0, np.int32), *numbers]))

@@ -14,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +34,12 @@ def _encode_words(path: str, pattern: str):
 
     def run(table: pa.Table) -> pa.Table:
         part = blocks.PartWords(table)
-        flat, starts, lengths = T.once(T.ByteBpe, path, pattern).encode_chunks(T.strings(part.words))
+        # a part has each word once: nothing is worth remembering for the next part
+        flat, starts, lengths = T.once(T.ByteBpe, path, pattern, 1).encode_chunks(T.strings(part.words))
         out: dict[str, list] = {c.split()[0]: [] for c in ENCODED.split(", ")}
         for block, numbers, places, _ in part.rows:
             ids, _ = T.gather_ragged(flat, starts, lengths, places)
-            row = (block, len(numbers), len(ids), blocks.pack(numbers), blocks.pack(lengths[places]), blocks.pack(ids))
+            row = (block, len(numbers), len(ids), blocks.pack_ascending(numbers), blocks.pack(lengths[places]), blocks.pack(ids))
             for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
         types = [pa.int64()] * 3 + [pa.binary()] * 3
@@ -49,14 +52,17 @@ def _reassemble(folder: str):
     """The packed words of one block to the rows of its documents."""
 
     def column(table, name, size):
-        return np.concatenate([blocks.unpack(v, n) for v, n in zip(table.column(name).to_pylist(), table.column(size).to_pylist(), strict=True)])
+        unpack = blocks.unpack_ascending if name == "numbers" else blocks.unpack
+        return np.concatenate([unpack(v, n) for v, n in zip(table.column(name).to_pylist(), table.column(size).to_pylist(), strict=True)])
 
-    def run(table: pa.Table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         block = table.column("block")[0].as_py()
         number, length, flat = column(table, "numbers", "n"), column(table, "lengths", "n"), column(table, "ids", "n_ids")
         flat = flat.astype("<u4")
         starts, lengths = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         starts[number], lengths[number] = np.cumsum(length) - length, length
+        del table, number, length
         for doc_ids, _, offsets, index in blocks.read_documents(folder, block):
             ids, ends = T.gather_ragged(flat, starts, lengths, index)
             ends = np.concatenate([[0], ends])[offsets]
@@ -66,10 +72,7 @@ def _reassemble(folder: str):
                 pa.array([data[4 * a:4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
             ], names=["doc_id", "n_tokens", "ids"])
 
-    def whole(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run(table))
-
-    return whole
+    return run
 
 
 def encode_documents(docs: DataFrame, folder: str, vocabulary: str, pattern: str,
@@ -90,8 +93,8 @@ def encode_documents(docs: DataFrame, folder: str, vocabulary: str, pattern: str
 class TokenBytes:
     """The table of the tokens' bytes, and one of their decimal numbers, for vectorised look-ups."""
 
-    def __init__(self, path: str, pattern: str):
-        ranks = T.once(T.ByteBpe, path, pattern).ranks
+    def __init__(self, path: str):
+        ranks = T.byte_ranks(path)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             tokens[i] = token
@@ -124,37 +127,31 @@ def _runs(offsets: np.ndarray, most: int):
         a = b
 
 
-def _decoder(path: str, pattern: str, column: str, make):
+def _decoder(path: str, digest: str | None):
+    import hashlib
+
     def run(batches):
-        table = T.once(TokenBytes, path, pattern)
+        table = T.once(TokenBytes, path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 raw = part.column(part.schema.get_field_index("ids")).to_pylist()
                 offsets = np.cumsum([0, *(len(x or b"") // 4 for x in raw)])
                 ids = np.frombuffer(b"".join(x or b"" for x in raw), "<u4").astype(np.int64)
-                yield make(part, table, ids, offsets).rename_columns([*part.schema.names, column])
+                part = part.append_column("decoded", pa.array(table.look_up(table.tokens, ids, offsets), pa.binary()))
+                if digest:
+                    texts = table.look_up(table.decimals, ids, offsets)
+                    part = part.append_column(digest, pa.array([hashlib.sha256(x[1:]).hexdigest() for x in texts], pa.string()))
+                yield part
 
     return run
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of the ids' tokens."""
-
-    def make(part, table, ids, offsets):
-        return part.append_column("decoded", pa.array(table.look_up(table.tokens, ids, offsets), pa.binary()))
+def decode_documents(encoded: DataFrame, vocabulary: str, digest: str | None = None) -> DataFrame:
+    """Adds ``decoded``, the bytes of the ids' tokens.
 
-    schema = encoded.schema.simpleString()[7:-1].replace(":", " ")
-    return encoded.mapInArrow(_decoder(vocabulary, pattern, "decoded", make), f"{schema}, decoded binary")
-
-
-def decimal_digest(encoded: DataFrame, vocabulary: str, pattern: str, name: str) -> DataFrame:
-    """Adds the SHA-256 of the decimal ids joined by one space."""
-    import hashlib
-
-    def make(part, table, ids, offsets):
-        texts = table.look_up(table.decimals, ids, offsets)
-        return part.append_column(name, pa.array([hashlib.sha256(x[1:]).hexdigest() for x in texts], pa.string()))
-
-    schema = encoded.schema.simpleString()[7:-1].replace(":", " ")
-    return encoded.mapInArrow(_decoder(vocabulary, pattern, name, make), f"{schema}, {name} string")
+    ``digest``, if given, names a further column: the SHA-256 of the decimal ids
+    joined by one space.
+    """
+    schema = encoded.schema.simpleString()[7:-1].replace(":", " ") + ", decoded binary" + (f", {digest} string" if digest else "")
+    return encoded.mapInArrow(_decoder(vocabulary, digest), schema)

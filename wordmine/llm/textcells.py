@@ -121,6 +121,20 @@ def _byte_alphabet() -> dict[str, int]:
     return table
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a byte-level vocabulary file (``.tiktoken`` or ``.json``), without special tokens."""
+    import base64
+
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    alphabet = _byte_alphabet()
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)
+    special = {x["content"] for x in vocab["added_tokens"]}
+    return {bytes(alphabet[c] for c in token): i for token, i in vocab["model"]["vocab"].items() if token not in special}
+
+
 class _Remembering:
     """Ids of distinct chunks, remembered up to ``remember`` entries per Python worker."""
 
@@ -166,20 +180,10 @@ class ByteBpe(_Remembering):
     _FULL_CALL = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85\x00]|\x00\x00")
 
     def __init__(self, path: str, pattern: str, remember: int = 500_000):
-        import base64
-
         import tiktoken
 
         super().__init__(remember)
-        if path.endswith(".json"):
-            alphabet = _byte_alphabet()
-            with open(path, encoding="utf-8") as f:
-                vocab = json.load(f)
-            special = {x["content"] for x in vocab["added_tokens"]}
-            ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab["model"]["vocab"].items() if token not in special}
-        else:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = byte_ranks(path)
         self.ranks = ranks
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._encode_many = tiktoken.Encoding("batch", pat_str=self._ONE_SPACE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
