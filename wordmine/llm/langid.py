@@ -76,12 +76,13 @@ def _words_of(texts: pa.Array):
 def document_features(texts: pa.Array) -> np.ndarray:
     """Share of each bucket among a text's features (rows: texts)."""
     offsets, index, words = _words_of(texts)
-    out = np.zeros((len(texts), BUCKETS), np.float32)
+    out = np.zeros(len(texts) * BUCKETS)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     for buckets, begin in ngram_buckets(words, ORDERS, BUCKETS):
         n = np.diff(np.append(begin, len(buckets)))
         features, ends = T.gather_ragged(buckets, begin, n, index)
-        np.add.at(out, (np.repeat(doc, n[index]), features), 1)
+        out += np.bincount(np.repeat(doc, n[index]) * BUCKETS + features, minlength=len(out))
+    out = out.reshape(len(texts), BUCKETS).astype(np.float32)
     total = out.sum(1, keepdims=True)
     return out / np.maximum(total, 1)
 
@@ -128,12 +129,14 @@ def train(docs: DataFrame, is_training, max_documents: int = 2400, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(label_col).cast("string").alias("label"))
     usable = rows.filter(is_training).filter("label is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    labels = [r["label"] for r in rows.filter(is_training).filter("label is not null").select("label").distinct().orderBy("label").collect()]
+    labelled = rows.filter(is_training).filter("label is not null").select("doc_id", "label")
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
+    labels = list(counts)
     if len(labels) < 2:
         empty = np.zeros((len(labels), 0))
         return Model(labels, empty, np.zeros((BUCKETS, 0)), np.zeros(0), empty, 1.0)
     per_label = max(8, max_documents // len(labels))
-    chosen = bounded_sample(rows.filter(is_training).filter("label is not null"), "doc_id", "label", per_label).select("doc_id").distinct()
+    chosen = bounded_sample(labelled, "doc_id", "label", per_label, counts).select("doc_id").distinct()
     picked = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("label", "text")  # bounded by max_documents
     sample = picked.mapInArrow(_sparse_features, "label string, at binary, value binary").toArrow()
     names = sample.column("label").to_pylist()

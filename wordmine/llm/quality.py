@@ -1,6 +1,6 @@
 """Quality scores from random-indexing word vectors and a small calibrated network.
 
-Random indexing: every word feature (character trigrams and smaller, the whole
+Random indexing: every word feature (character trigrams, the whole
 word, the shape of the word) owns a fixed sparse ternary index vector, a word's
 index vector is the sum over its features, and a feature's context vector is
 the sum of the index vectors of the words that stand within ``WINDOW`` places
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
 from wordmine.llm.common import id_and_text
-from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets
+from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets, sums_by_index
 
-DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (1, 2, 3)
+DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (3,)
 POOLED = 4 * DIMS + 3
 
 
@@ -78,11 +78,11 @@ def context_table(texts: pa.Array, index: np.ndarray) -> np.ndarray:
             same = (doc[step:] == doc[:-step])[:, None]
             around[step:] += vector[word[:-step]] * same
             around[:-step] += vector[word[step:]] * same
-        of_word = np.zeros((len(words), DIMS))
-        np.add.at(of_word, word, around)
+        of_word = sums_by_index(word, around, len(words))
         for buckets, begin in _features(words):
-            n = np.diff(np.append(begin, len(buckets)))
-            np.add.at(sums, buckets, np.repeat(of_word, n, axis=0))
+            owner = np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(buckets))))
+            for k in range(DIMS):
+                sums[:, k] += np.bincount(buckets, of_word[owner, k], BUCKETS)
     return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     none = Model(index, None, np.zeros(POOLED), np.ones(POOLED), 1.0, base)
     if len(counts) < 2:
         return none
-    chosen = bounded_sample(marked, "doc_id", "label", max_documents // 2)
+    chosen = bounded_sample(marked, "doc_id", "label", max_documents // 2, counts)
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").toArrow()  # bounded by max_documents
     if not sample.num_rows:
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
 def _scorer(model: Model):
     def run(batches):
         for batch in batches:
-            for part, texts in T.text_slices(batch, rows=500):
+            for part, texts in T.text_slices(batch):
                 yield pa.record_batch([part.column(0), pa.array(model.score(texts))], names=["doc_id", "score"])
 
     return run
@@ -209,6 +209,6 @@ def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
-        return pd.Series(np.concatenate([np.empty(0), *(model.score(texts.slice(k, 500)) for k in range(0, len(texts), 500))]))
+        return pd.Series(np.concatenate([np.empty(0), *(model.score(texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS))]))
 
     return docs.withColumn("_quality", scored(F.col(text_col).cast("string")))

@@ -78,11 +78,20 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows (id, label) of each label, in the order of a hash of the id.
+def sums_by_index(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``index``, in ``n`` rows."""
+    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1)
 
-    The limit is applied by each task before anything is shuffled.
+
+def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, counts: dict) -> DataFrame:
+    """At most ``per_label`` rows (id, label) of each label, by a hash of the id.
+
+    ``counts`` has the number of rows of each label; rows whose hash lies beyond
+    twice the share that is wanted stay where they are, so hardly more than
+    2 * per_label rows of a label meet in its window.
     """
-    by_label = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col, F.lit(11)), id_col)
-    return (rows.select(id_col, label_col).withColumn("n", F.row_number().over(by_label))
-            .filter(F.col("n") <= per_label).drop("n"))
+    mark = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30))
+    shares = [F.when(F.col(label_col) == label, F.lit(int(min(1.0, 2 * per_label / n) * (1 << 30)))) for label, n in counts.items()]
+    by_label = Window.partitionBy(label_col).orderBy("_mark", id_col)
+    return (rows.select(id_col, label_col, mark.alias("_mark")).filter(F.col("_mark") < F.coalesce(*shares))
+            .withColumn("n", F.row_number().over(by_label)).filter(F.col("n") <= per_label).drop("n", "_mark"))
