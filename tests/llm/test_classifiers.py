@@ -83,6 +83,16 @@ def test_quality_edges(spark):
     assert quality.with_quality(odd, model).columns == ["doc_id", "text", "_quality"]
 
 
+def test_quality_keeps_the_share_of_the_labels_beyond_the_bound(spark):
+    rng = np.random.default_rng(4)
+    words = np.array("stone river cloud paper glass green quiet seven".split())
+    rows = [(i, " ".join(rng.choice(words, 12)), int(i % 10 > 0)) for i in range(2000)]  # texts say nothing: 9 of 10 are good
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
+    model = quality.train(docs, labels, ~held_out(), max_documents=200)
+    assert np.mean([r["score"] for r in quality.score(docs, model).collect()]) == pytest.approx(0.9, abs=0.05)
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(2)
     z = rng.normal(0, 2, 4000)

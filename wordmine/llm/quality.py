@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from wordmine.llm import textcells as T
 from wordmine.llm.common import id_and_text
 from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets, sums_by_index
+from wordmine.session import materialise
 
 DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (3,)
 POOLED = 4 * DIMS + 3
@@ -114,11 +115,12 @@ class Model:
     spread: np.ndarray
     temperature: float
     base_rate: float
+    offset: float = 0.0                     # log-odds of the true share of the labels less those of the sample's
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.layers is None:
             return np.full(len(texts), self.base_rate)
-        z = _forward(self.layers, (pooled(texts, self.table) - self.mean) / self.spread)[1] / self.temperature
+        z = _forward(self.layers, (pooled(texts, self.table) - self.mean) / self.spread)[1] / self.temperature + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -500, 500)))
 
 
@@ -157,7 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     """Fit on a bounded sample of the labelled rows for which ``is_training`` holds.
 
     At most half of ``max_documents`` documents of each label, in the order of a
-    hash of their ids, reach the driver with their whole texts.
+    hash of their ids, reach the driver with their whole texts. Where that takes
+    a smaller part of one label than of the other, the difference of the
+    log-odds is added to the logit, so that scores are probabilities at the true
+    share of the labels whatever the bound.
     """
     marked = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .filter(is_training).filter("label in (0, 1) and doc_id is not null").distinct())
@@ -168,7 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     none = Model(index, None, np.zeros(POOLED), np.ones(POOLED), 1.0, base)
     if len(counts) < 2:
         return none
-    chosen = bounded_sample(marked, "doc_id", "label", max_documents // 2, counts)
+    chosen = materialise(bounded_sample(marked, "doc_id", "label", max_documents // 2, counts), "quality-sample")
+    taken = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(taken) < 2:
+        return none
+    offset = float(np.log(counts[1] / taken[1]) - np.log(counts[0] / taken[0]))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").toArrow()  # bounded by max_documents
     if not sample.num_rows:
@@ -187,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     x = (x - mean) / spread
     layers = fit_network(x[~kept], y[~kept])
     z = _forward(layers, x[kept])[1].astype(float)
-    return Model(table, layers, mean, spread, fit_temperature(z, y[kept]), base)
+    return Model(table, layers, mean, spread, fit_temperature(z, y[kept]), base, offset)
 
 
 def _scorer(model: Model):
