@@ -93,6 +93,24 @@ def test_quality_keeps_the_share_of_the_labels_beyond_the_bound(spark):
     assert np.mean([r["score"] for r in quality.score(docs, model).collect()]) == pytest.approx(0.9, abs=0.05)
 
 
+def test_context_vectors_of_all_training_texts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 8)) if i % 7 else "") for i in range(400)] + [(None, "null id"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300)], "doc_id bigint, quality int")
+    model = quality.train(docs.repartition(5), labels, ~held_out(), max_documents=40)
+    index = quality.index_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.DIMS))
+    for r in docs.filter(~held_out()).collect():  # one place after the other
+        words = (r["text"] or "").split()
+        for i, w in enumerate(words):
+            near = pa.array(words[max(0, i - quality.WINDOW):i] + words[i + 1:i + 1 + quality.WINDOW], pa.string())
+            around = np.rint(quality.word_vectors(near, index).astype(float) * quality.SCALE).sum(0)
+            for buckets, _ in quality._features(pa.array([w])):
+                np.add.at(sums, buckets, around)
+    assert np.array_equal(model.table[:, :quality.DIMS], quality.unit_rows(sums.T))
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(2)
     z = rng.normal(0, 2, 4000)

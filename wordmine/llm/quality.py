@@ -10,8 +10,9 @@ over its distinct words, with its number of words and the share of distinct
 ones. A two-layer numpy network scores it, and a temperature chosen on rows
 kept out of the fit turns its output into a probability.
 
-Vectors, network and temperature are fitted on at most ``max_documents``
-labelled documents; scoring reads whole texts of all rows.
+Vectors are summed over the whole texts of all training rows, labelled or not.
+Network and temperature are fitted on at most ``max_documents`` labelled
+documents; scoring reads whole texts of all rows.
 
 Defined results: null and empty texts are scored as documents without words;
 without training rows of both labels every score is the share of label 1 (0.5
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
 from wordmine.llm.common import id_and_text
-from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets, sums_by_index
+from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets
 from wordmine.session import materialise
 
 DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (3,)
 POOLED = 4 * DIMS + 3
+SCALE = 1 << 12
+_SUMS = [f"s{k}" for k in range(DIMS)]
 
 
 def index_vectors(seed: int = 8, nonzero: int = 4) -> np.ndarray:
@@ -60,31 +63,71 @@ def word_vectors(words: pa.Array, table: np.ndarray) -> np.ndarray:
         part = words.slice(at, 4000)
         found = _features(part)
         for buckets, begin in found:
-            n = np.diff(np.append(begin, len(buckets))).astype(np.float32)
-            out[at:at + len(part)] += np.add.reduceat(table[buckets], begin, axis=0) / n[:, None] / len(found)
+            n = np.diff(np.append(begin, len(buckets)))
+            # the words with most features first: the k-th feature is added for a stretch of words at once
+            order = np.argsort(-n, kind="stable")
+            n, begin = n[order], begin[order]
+            sums = table[buckets[begin]]
+            for k in range(1, int(n[0])):
+                more = np.searchsorted(-n, -k)
+                sums[:more] += table[buckets[begin[:more] + k]]
+            out[at + order] += sums / n.astype(np.float32)[:, None] / len(found)
     return out
 
 
-def context_table(texts: pa.Array, index: np.ndarray) -> np.ndarray:
-    """Unit context vectors of the feature buckets, from the texts' words and their neighbours."""
-    sums = np.zeros((BUCKETS, DIMS), np.float64)
-    for at in range(0, len(texts), 200):
-        offsets, word, words = T.ascii_words(texts.slice(at, 200), lower=False)
-        if not len(word):
-            continue
-        vector = word_vectors(words, index)
-        around = np.zeros((len(word), DIMS), np.float32)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for step in range(1, min(WINDOW, len(word) - 1) + 1):
-            same = (doc[step:] == doc[:-step])[:, None]
-            around[step:] += vector[word[:-step]] * same
-            around[:-step] += vector[word[step:]] * same
-        of_word = sums_by_index(word, around, len(words))
-        for buckets, begin in _features(words):
-            owner = np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(buckets))))
-            for k in range(DIMS):
-                sums[:, k] += np.bincount(buckets, of_word[owner, k], BUCKETS)
-    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
+    """Sums (dimensions x buckets) of the vectors of the words that stand around each feature's words.
+
+    Vectors are rounded to whole multiples of 1 / SCALE, so that sums are exact
+    and do not depend on how the texts are dealt out.
+    """
+    sums = np.zeros((DIMS, BUCKETS))
+    offsets, word, words = T.ascii_words(texts, lower=False)
+    if not len(word):
+        return sums
+    vectors = np.rint(word_vectors(words, index).T.astype(float) * SCALE)
+    vectors = np.concatenate([vectors, np.zeros((DIMS, 1))], 1)
+    # WINDOW places of a word without a vector behind every text, and before the first
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    padded = np.full(len(word) + WINDOW * (len(texts) + 1), len(words))
+    padded[np.arange(len(word)) + WINDOW * (doc + 1)] = word
+    inner = padded[WINDOW:-WINDOW]
+    features = [(b, np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(b))))) for b, begin in _features(words)]
+    for k in range(DIMS):
+        at = vectors[k][padded]
+        around = sum(at[WINDOW + step:len(at) - WINDOW + step] for step in range(-WINDOW, WINDOW + 1) if step)
+        of_word = np.bincount(inner, around, len(words) + 1)
+        for buckets, owner in features:
+            sums[k] += np.bincount(buckets, of_word[owner], BUCKETS)
+    return sums
+
+
+def _context_rows(index: np.ndarray):
+    """The sums of all texts of a task: a row for each bucket that occurs."""
+    def run(batches):
+        sums = np.zeros((DIMS, BUCKETS))
+        for batch in batches:
+            for _, texts in T.text_slices(batch):
+                sums += context_sums(texts, index)
+        used = np.flatnonzero(sums.any(0))
+        yield pa.record_batch([pa.array(used), *(pa.array(row[used].astype(np.int64)) for row in sums)], names=["bucket", *_SUMS])
+
+    return run
+
+
+def unit_rows(sums: np.ndarray) -> np.ndarray:
+    """Unit context vectors of the feature buckets (buckets x dimensions)."""
+    return (sums.T / np.maximum(np.linalg.norm(sums, axis=0), 1e-9)[:, None]).astype(np.float32)
+
+
+def context_table(texts: DataFrame, index: np.ndarray) -> np.ndarray:
+    """Unit context vectors from all rows of ``texts``, added up by bucket; the driver gets BUCKETS x DIMS numbers."""
+    rows = texts.select("text").mapInArrow(_context_rows(index), ", ".join(["bucket bigint", *(f"{c} bigint" for c in _SUMS)]))
+    found = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _SUMS)).toArrow()
+    sums = np.zeros((DIMS, BUCKETS))
+    for k, c in enumerate(_SUMS):
+        sums[k, found.column("bucket").to_numpy()] = found.column(c).to_numpy()
+    return unit_rows(sums)
 
 
 def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -154,12 +197,22 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=lambda t: np.logaddexp(0, -np.where(y == 1, z, -z) / t).mean()))
 
 
+def _pooler(table: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for part, texts in T.text_slices(batch, rows=200):
+                x = [row.astype("<f4").tobytes() for row in pooled(texts, table)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int = 3000, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on a bounded sample of the labelled rows for which ``is_training`` holds.
+    """Fit on the rows for which ``is_training`` holds: vectors on all, the network on a bounded sample of labelled ones.
 
     At most half of ``max_documents`` documents of each label, in the order of a
-    hash of their ids, reach the driver with their whole texts. Where that takes
+    hash of their ids, reach the driver as pooled features of whole texts. Where that takes
     a smaller part of one label than of the other, the difference of the
     log-odds is added to the logit, so that scores are probabilities at the true
     share of the labels whatever the bound.
@@ -179,19 +232,19 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
         return none
     offset = float(np.log(counts[1] / taken[1]) - np.log(counts[0] / taken[0]))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").toArrow()  # bounded by max_documents
+    table = np.concatenate([context_table(texts.filter(is_training), index), index], axis=1)
+    picked = texts.join(F.broadcast(chosen), "doc_id")  # bounded by max_documents
+    sample = picked.select("doc_id", "label", "text").mapInArrow(_pooler(table), "doc_id bigint, label int, x binary").toArrow()
     if not sample.num_rows:
         return none
-    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")]).combine_chunks()
+    sample = sample.sort_by([("doc_id", "ascending"), ("x", "ascending"), ("label", "ascending")]).combine_chunks()
     # hashed order, so that neither ids nor time decide what is kept out of the fit
     order = np.argsort(np.random.default_rng(17).random(sample.num_rows), kind="stable")
-    text = T.as_array(sample.column("text")).take(pa.array(order))
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), "<f4").reshape(-1, POOLED)[order]
     y = sample.column("label").to_numpy()[order].astype(np.float32)
     kept = np.arange(len(y)) % 5 == 4
     if len(set(y[~kept])) < 2 or not kept.any():
         return none
-    table = np.concatenate([context_table(text.filter(pa.array(~kept)), index), index], axis=1)
-    x = np.concatenate([pooled(text.slice(k, 200), table) for k in range(0, len(text), 200)])
     mean, spread = x[~kept].mean(0), x[~kept].std(0) + 1e-4
     x = (x - mean) / spread
     layers = fit_network(x[~kept], y[~kept])

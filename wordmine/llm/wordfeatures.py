@@ -78,11 +78,6 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sums_by_index(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``index``, in ``n`` rows."""
-    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1)
-
-
 def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, counts: dict) -> DataFrame:
     """At most ``per_label`` rows (id, label) of each label, by a hash of the id.
 
