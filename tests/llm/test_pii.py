@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pyarrow as pa
+
 from wordmine.llm import pii
 from wordmine.llm.queries import QUERIES
 
@@ -63,6 +65,31 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert not any(x for d, v in out.items() if d is not None and not 100 <= d < 105 for x in v)
 
 
+def letters(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_right_contexts_of_several_words(spark):
+    rows = [(i, f"{letters(i)} ref +1 (555) 000-{1000 + i} done") for i in range(40)]  # no word stands alone between both
+    rows += [(100 + i, f"{letters(100 + i)} ref 555 01{i} done") for i in range(5)]
+    rows += [(200 + i, f"{letters(200 + i)} on +1 (555) 000-{2000 + i} any") for i in range(100)]
+    rows += [(300 + i, f"{letters(300 + i)} on Monday any") for i in range(100)]  # the same frame in prose
+    rows += [(400 + i, f"{letters(400 + i)} on {i} any") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: [dict(rows)[r["doc_id"]][s["start"]:s["end"]] for s in r["added"]] for r in pii.find_spans(docs).collect()}
+    assert {d: a for d, a in got.items() if a} == {100 + i: [f"555 01{i}"] for i in range(5)}
+
+
+def test_totals_of_right_contexts_cover_their_instances(spark):
+    text = "so x on +1 (555) 000-1000 any, on Tue any, on 4111 1111 1111 1111 any on 7 any"
+    pattern = "on _ any"
+    bloom = pii.bloom_filter(spark.createDataFrame([(pattern,)], "pattern string"))
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    got = [r for b in pii._occurrences(bloom)([batch]) for r in b.to_pylist() if r["pattern"] == pattern]
+    assert sum(r["n"] or 0 for r in got) == 4
+    assert [r["instance"] for r in got if r["instance"]] == ["+1 (555) 000-1000", "4111 1111 1111 1111", "7"]
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co now", 5), (2, None, 1), (3, "clean", 2), (1, "other 1.2.3.4", 3), (None, "+1 (555) 000-1000", 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint")

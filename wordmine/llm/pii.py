@@ -23,6 +23,7 @@ text have the same spans; null ids are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -202,9 +203,15 @@ def _occurrences(bloom: np.ndarray):
             after = np.full(n, none)
             after[:-1] = np.where(doc[1:] == doc[:-1], word[1:], none)
             usable = before != none
-            pattern = []
-            for side, (a, b) in ((1, (two, before)), (2, (before, after))):
-                at = np.flatnonzero(usable & known(_pair_hash(a, b, side)))
+            slots = _slots(texts, np.unique(doc[like[index]]))
+            runs = [s for s in slots if s[2]]
+            one_word = np.ones(n, bool)  # a run of words is one place with what follows it, not its first word
+            one_word[[offsets[s[0]] + s[1] for s in runs]] = False
+            pattern = [p for s in runs for p in patterns_of(*s[6:])[1:]]
+            if pattern:
+                pattern = [p for p, k in zip(pattern, known(_pattern_hash(pattern)).tolist(), strict=True) if k]
+            for side, (a, b), places in ((1, (two, before), usable), (2, (before, after), usable & one_word)):
+                at = np.flatnonzero(places & known(_pair_hash(a, b, side)))
                 first = doc[at]
 
                 def text_of(i, d):
@@ -218,18 +225,20 @@ def _occurrences(bloom: np.ndarray):
                 count = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 m = len(coded.dictionary)
                 yield pa.record_batch([coded.dictionary, pa.array(count), *(pa.nulls(m, pa.string()) for _ in range(2)), *(pa.nulls(m, pa.int64()) for _ in range(4))], names=names)
-            yield from _instances(ids, texts, np.unique(doc[like[index]]), known, names)
+            yield from _instances(ids, texts, slots, known, names)
 
     return run
 
 
-def _instances(ids, texts, which, known, names):
-    """Identifier-like strings of some texts, with the patterns around them that the filter knows."""
-    found: list[tuple] = []
+def _slots(texts, which) -> list[tuple]:
+    """Places of identifier-like strings: (text, its first word's number, whether it spans words, kind or None, start, end, two, one, right)."""
+    out: list[tuple] = []
     for i in which.tolist():
         text = texts[i].as_py()
         base, done = base_spans(text), 0
-        for m in _WORD.finditer(text):
+        words = list(_WORD.finditer(text))
+        begins = [m.start() for m in words]
+        for m in words:
             if m.start() < done or not re.search("[0-9@]", m[0]):
                 continue
             end = _RUN.match(text, m.end()).end()
@@ -239,10 +248,17 @@ def _instances(ids, texts, which, known, names):
             else:
                 start = m.end() - len(m[0].lstrip(_EDGE))
                 end = m.start() + len(text[m.start():end].rstrip(_EDGE.replace(")", "")))
-            two, one, right, _, stop = _around(text, start, max(end, start + 1))
+            two, one, right, begin, stop = _around(text, start, max(end, start + 1))
             done = stop
             if end > start:
-                found += [(p, text[start:end], inside[0][0] if inside else None, i, start, end) for p in patterns_of(two, one, right)]
+                first = bisect_left(begins, begin)
+                out.append((i, first, words[first].end() < stop, inside[0][0] if inside else None, start, end, two, one, right))
+    return out
+
+
+def _instances(ids, texts, slots, known, names):
+    """Identifier-like strings of some texts, with the patterns around them that the filter knows."""
+    found = [(p, texts[i].as_py()[start:end], kind, i, start, end) for i, _, _, kind, start, end, *around in slots for p in patterns_of(*around)]
     if found:
         keep = known(_pattern_hash([f[0] for f in found]))
         found = [f for f, k in zip(found, keep.tolist(), strict=True) if k]
