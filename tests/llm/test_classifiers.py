@@ -34,6 +34,24 @@ def test_language_inputs_are_texts_only(spark):
     assert with_cols.columns[:4] == frame.columns and with_cols.count() == len(odd)
 
 
+def test_samples_have_one_row_of_an_id(spark, monkeypatch):
+    def word(i):
+        return "".join("abcdefghij"[int(c)] for c in str(i))
+
+    rows = [(i, f"the {word(i)} and", "en") for i in range(40) for _ in range(30)] + [(None, "of that", "en")] * 300
+    rows += [(100 + i, f"der {word(i)} und", "de") for i in range(40)] + [(100 + i, None, "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen, fit, network = [], langid.fit_logistic, quality.fit_network
+    monkeypatch.setattr(langid, "fit_logistic", lambda x, y: seen.append((x, y[:, 0])) or fit(x, y))
+    langid.train(docs, ~held_out(), max_documents=16)
+    x, y = seen.pop()
+    assert len(x) == 12 and len(np.unique(x, axis=0)) == 12 and len(np.unique(y)) == 2  # three quarters of 2 x 8
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in [*range(40), *range(100, 140)]], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "fit_network", lambda x, y: seen.append((x, y)) or network(x, y))
+    quality.train(docs, labels, ~held_out(), max_documents=20)
+    assert len(seen[0][0]) == 16  # four fifths of 2 x 10
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 9, 30])
 def test_codewords(n):
     code = langid.codewords(n)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from wordmine.llm import textcells as T
 from wordmine.llm.common import id_and_text
 from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums
+from wordmine.session import materialise
 
 BUCKETS, ORDERS = 4096, (1, 2, 3)
 
@@ -93,9 +94,9 @@ def _sparse_features(batches):
             x = document_features(texts)
             at = [np.flatnonzero(r) for r in x]
             yield pa.record_batch([
-                part.column(0), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
+                part.column(0), part.column(1), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
                 pa.array([r[a].astype("<f4").tobytes() for r, a in zip(x, at, strict=True)], pa.binary()),
-            ], names=["label", "at", "value"])
+            ], names=["doc_id", "label", "at", "value"])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,7 @@ def train(docs: DataFrame, is_training, max_documents: int = 2400, id_col: str =
 
     At most ``max_documents`` documents (at least 8 for each label), taken in
     the order of a hash of their ids, reach the driver as hashed features of
-    whole texts.
+    whole texts, one row of each id and label.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(label_col).cast("string").alias("label"))
@@ -136,9 +137,15 @@ def train(docs: DataFrame, is_training, max_documents: int = 2400, id_col: str =
         empty = np.zeros((len(labels), 0))
         return Model(labels, empty, np.zeros((BUCKETS, 0)), np.zeros(0), empty, 1.0)
     per_label = max(8, max_documents // len(labels))
-    chosen = bounded_sample(labelled, "doc_id", "label", per_label, counts).select("doc_id").distinct()
-    picked = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("label", "text")  # bounded by max_documents
-    sample = picked.mapInArrow(_sparse_features, "label string, at binary, value binary").toArrow()
+    ids = materialise(usable.filter("doc_id is not null").select("doc_id", "label").distinct(), "language-ids")
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return train_none(labels)
+    chosen = bounded_sample(ids, "doc_id", "label", per_label, counts)
+    picked = usable.join(F.broadcast(chosen), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text")
+    features = picked.mapInArrow(_sparse_features, "doc_id bigint, label string, at binary, value binary")
+    one_each = features.groupBy("doc_id", "label").agg(F.min(F.struct("at", "value")).alias("x"))
+    sample = one_each.select("label", "x.at", "x.value").toArrow()  # bounded by max_documents
     names = sample.column("label").to_pylist()
     if not names:
         return train_none(labels)

@@ -233,8 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     offset = float(np.log(counts[1] / taken[1]) - np.log(counts[0] / taken[0]))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     table = np.concatenate([context_table(texts.filter(is_training), index), index], axis=1)
-    picked = texts.join(F.broadcast(chosen), "doc_id")  # bounded by max_documents
-    sample = picked.select("doc_id", "label", "text").mapInArrow(_pooler(table), "doc_id bigint, label int, x binary").toArrow()
+    picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    features = picked.mapInArrow(_pooler(table), "doc_id bigint, label int, x binary")
+    sample = features.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()  # bounded by max_documents
     if not sample.num_rows:
         return none
     sample = sample.sort_by([("doc_id", "ascending"), ("x", "ascending"), ("label", "ascending")]).combine_chunks()
