@@ -1,11 +1,11 @@
-"""Registered queries of this subpackage: op1 .. op10."""
+"""Registered queries of this subpackage: op1 .. op13."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import bpe, jaccard, katz, langid, neardup_vectors, packing, pii, quality, tokenfiles, topk
+from wordmine.llm import align, bpe, jaccard, katz, langid, neardup_vectors, packing, pii, quality, tokenfiles, topk
 from wordmine.llm.common import held_out, shared_uri, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
 
@@ -75,6 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), shared_uri(spark, "alignment"), vocabulary("byte_bpe_50k.json"),
+                                 _pattern(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
