@@ -306,7 +306,7 @@ def _task(vocabulary: str, pattern: str, pieces: str, pairs_per_block: int):
         tokens = T.once(_Tokens, vocabulary, pattern, pieces)
         known, part, number, block = Stretches(tokens), TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
-            for rows, texts in T.text_slices(batch):
+            for rows, texts in T.text_slices(batch, most_bytes=1 << 20):
                 # a text without characters has no tokens: not even the space's
                 spelt = [f" {t}" if t else "" for t in T.strings(texts)]
                 if tokens.model.crosses:
@@ -325,7 +325,7 @@ def _task(vocabulary: str, pattern: str, pieces: str, pairs_per_block: int):
 
 
 def write_links(docs: DataFrame, folder: str, vocabulary: str, pattern: str, pieces: str,
-                pairs_per_block: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                pairs_per_block: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Align every text and write documents and pairs of each block below ``folder``; returns them as read again."""
     rows = id_and_text(docs, id_col, text_col).mapInArrow(_task(vocabulary, pattern, pieces, pairs_per_block), SCHEMA)
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import align, bpe, jaccard, katz, langid, neardup_vectors, packing, pii, quality, tokenfiles, topk
+from wordmine.llm import align, bpe, jaccard, katz, langid, neardup_vectors, packing, pii, prefixtrie, quality, tokenfiles, topk
 from wordmine.llm.common import held_out, shared_uri, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
 
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), shared_uri(spark, "alignment"), vocabulary("byte_bpe_50k.json"),
                                  _pattern(), vocabulary("piece_bpe_32k.model"))
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_token_alignment": op13_token_alignment,
 }
 

@@ -26,6 +26,7 @@ _UNSAFE_RE2 = f"[{_ODD_RE2}] | [{_ODD_RE2}]"
 _SAFE_CUT = re.compile(f"(?<![{_ODD}]) (?![{_ODD}])")
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def as_array(column) -> pa.Array:
@@ -35,11 +36,20 @@ def as_array(column) -> pa.Array:
     return column
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = BATCH_ROWS):
-    """Slices of a batch with the null texts replaced by empty ones: (batch slice, text array)."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
+def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES):
+    """Slices of a batch with the null texts replaced by empty ones: (batch slice, text array).
+
+    A slice has at most ``rows`` rows and ``most_bytes`` bytes of text; a longer text is alone.
+    """
+    size = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+    ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+        part = batch.slice(at, upto - at)
         yield part, pc.fill_null(part.column(part.schema.get_field_index(column)).cast(pa.string()), "")
+        at = upto
 
 
 def strings(values: pa.Array) -> list[str]:
