@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.llm import align, bpe, jaccard, katz, langid, neardup_vectors, packing, pii, prefixtrie, quality, tokenfiles, topk
+from wordmine.llm import align, bpe, jaccard, katz, langid, neardup_vectors, packing, pii, prefixtrie, quality, tokenfiles, topk, urlfilter
+from wordmine.llm import oracle as sql
 from wordmine.llm.common import held_out, shared_uri, table, vocabulary
 from wordmine.llm.vectors import usable_vectors
 
@@ -79,6 +80,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = urlfilter.train(urlfilter.url_table(spark, urlfilter.labelled_urls()))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights).drop("chance")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), shared_uri(spark, "alignment"), vocabulary("byte_bpe_50k.json"),
                                  _pattern(), vocabulary("piece_bpe_32k.model"))
@@ -96,6 +106,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filter": op12_url_filter,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -103,6 +114,8 @@ _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": sql.PREFIX_TRIE,
+    "op12_url_filter": sql.url_filter(URL_RULES, urlfilter.labelled_urls()),
     "op1_jaccard_join": """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS t FROM documents),
