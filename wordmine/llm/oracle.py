@@ -12,9 +12,9 @@ def q(s: str) -> str:
 def _crc32(text: str) -> str:
     """CRC-32 of an ASCII string, bit by bit: a character comes in, then eight shifts."""
     bits = ", ".join(["-1::BIGINT"] * 8)
-    ops = f"flatten(list_transform(range(1, length({text}) + 1), i -> [ascii(substr({text}, i, 1))::BIGINT, {bits}]))"
+    ops = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1))::BIGINT, {bits}]))"
     step = "CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {ops}), (a, b) -> {step}), 4294967295)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {ops}), lambda a, b: {step}), 4294967295)"
 
 
 PREFIX_TRIE = f"""
@@ -51,7 +51,7 @@ def _buckets() -> str:
     def grams(column: str, sizes: tuple[int, ...], mark: str) -> list[str]:
         v = f"('^' || translate({column}, '123456789', '000000000') || '$')"
         return [f"CASE WHEN {column} = '' THEN [] ELSE list_transform(range(1, greatest(length({v}) - {n - 1}, 1) + 1), "
-                f"i -> '{mark}{n}' || substr({v}, i, {n})) END" for n in sizes]
+                f"lambda i: '{mark}{n}' || substr({v}, i, {n})) END" for n in sizes]
     lists = grams("host", urlfilter.HOST_GRAMS, "h") + grams("path", urlfilter.PATH_GRAMS, "p")
     digits = " + ".join(f"{16 ** (3 - i)} * (strpos('0123456789abcdef', substr(md5(g), {i + 1}, 1)) - 1)" for i in range(4))
     return f"SELECT id, ({digits}) % {urlfilter.N_BUCKETS} AS b FROM (SELECT id, unnest(flatten([{', '.join(lists)}])) AS g FROM {{}})"

@@ -111,16 +111,16 @@ QUERIES = {
 }
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
 ORACLES: dict[str, str] = {
     "op11_prefix_trie": sql.PREFIX_TRIE,
     "op12_url_filter": sql.url_filter(URL_RULES, urlfilter.labelled_urls()),
     "op1_jaccard_join": """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
-        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS t FROM documents),
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 3
-        THEN list_transform(range(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])
+        THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])
         WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
@@ -130,14 +130,14 @@ m AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM documents d JOIN m ON m.i = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op4_top_k": f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE {_USABLE}),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE {_USABLE}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op7_embedding_neardup": f"""
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-      WHERE {_USABLE} AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+      WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id
       WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN l ON r.j = l.i),
