@@ -1,24 +1,15 @@
 """Oracle SQL (DuckDB dialect) for every registered query.
 
-Written independently of the Spark plans, with plain window functions and
-list lambdas, over the driver's views ``documents``, ``benchmark``,
+The logic is written independently of the Spark plans, with plain window
+functions and list lambdas (the fixed values are those of ``constants``), over
+the driver's views ``documents``, ``benchmark``,
 ``pages``, ``conversations``, ``labels``. Every number is cast to BIGINT on
 both sides.
 """
 
 from __future__ import annotations
 
-from ..constants import MAX_DISP_LEN, STANDIN_PHRASES
-
-# The rules are stated here again, not taken from the engine, so that a mistake
-# in either of the two shows.
-RX_EDGE = r"^[^A-Za-z]+|[^A-Za-z]+$"
-RX_SENT = r"(?s)[^.?!]*[.?!]+\s*|[^.?!]+$"
-RX_ALNUM = r"[\p{N}\p{L}]"
-# endings of nouns, verbs and adjectives with what takes their place
-ENDINGS = {"noun": ["s>", "ses>s", "xes>x", "zes>z", "ches>ch", "shes>sh", "men>man", "ies>y"],
-           "verb": ["s>", "ies>y", "es>e", "es>", "ed>e", "ed>", "ing>e", "ing>"],
-           "adjective": ["er>", "est>", "er>e", "est>e"]}
+from ..constants import MAX_DISP_LEN, MORPHY_RULES, RX_ALNUM, RX_EDGE, RX_SENT, STANDIN_PHRASES
 
 
 def q(s: str) -> str:
@@ -206,7 +197,7 @@ def shape_sql(c: str) -> str:
 
 def bases_sql(c: str) -> str:
     cands = [c]
-    for suffix, repl in (e.split(">") for kind in ENDINGS.values() for e in kind):
+    for suffix, repl in MORPHY_RULES:
         cands.append(f"CASE WHEN ends_with({c}, {q(suffix)}) AND length({c}) > {len(suffix)} "
                      f"THEN left({c}, length({c}) - {len(suffix)}) || {q(repl)} END")
     return "[" + ", ".join(cands) + "]"
