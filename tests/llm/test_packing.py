@@ -35,7 +35,6 @@ def check(rows, texts_by_id, size):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -69,7 +68,8 @@ def test_edges(spark):
     from pyspark.sql import functions as F
 
     long = "word thble. " * 9000
-    rows = [(1, "", "x", 5), (2, None, None, 1), (3, long, "s", 2), (4, "a\n\n  b", "t", 3), (5, "x" * 30000, "t", 3)]
+    rows = [(1, "", "x", 5), (2, None, None, 1), (3, long, "s", 2), (4, "a\n\n  b", "t", 3), (5, "x" * 30000, "t", 3),
+            (6, "one <|endoftext|> two<|endoftext|>", "t", 3), (7, "<|endoftext|>", "t", 3), (8, "a <|endo of|> <|startoftext|>", "t", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, sequence_id string, ids int")
     for settle in (1 << 21, 6000):
         out = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), _pattern(), settle=settle)

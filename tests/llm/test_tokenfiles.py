@@ -28,9 +28,7 @@ def test_size_of_small_ids():
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
 
 
 def expect(rows):
@@ -51,7 +49,8 @@ def test_query_against_library(spark):
 def test_edges(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    rows = [(None, "null id"), (1, ""), (2, None), (3, "Ünï ΣΑΣ 漢字 á " * 4000), (4, "x" * 9000), (7, "<|endoftext|> it's")]
+    rows = [(None, "null id"), (1, ""), (2, None), (3, "Ünï ΣΑΣ 漢字 á " * 4000), (4, "x" * 9000), (7, "<|endoftext|> it's"), (8, "Say<|startoftext|>x <|ENDOFTEXT|> <| y"),
+            (9, "<|endoftext|>")]
     docs = spark.createDataFrame([(*r, "f", 1) for r in rows], "doc_id bigint, text string, file string, ids int")
     for k, size in enumerate((1 << 21, 50)):
         folder = f"file://{tmp_path}/t{k}"

@@ -200,5 +200,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, size: int = 2
     padding; only the end of a partition makes use of that.
     """
     ordered = (id_and_text(docs, id_col, text_col)
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")))
-    return ordered.mapInArrow(_task(vocabulary, pattern, end_id, size, sentence_penalty, truncation_penalty, settle), SCHEMA)
+               .withColumn("_tie", F.xxhash64("text"))
+               # rows of one id, or without one, are dealt out by their texts
+               .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie"))
+    return ordered.mapInArrow(
+        T.tidy(_task(vocabulary, pattern, end_id, size, sentence_penalty, truncation_penalty, settle)), SCHEMA)

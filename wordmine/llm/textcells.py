@@ -25,6 +25,9 @@ _ODD_RE2 = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028
 _UNSAFE_RE2 = f"[{_ODD_RE2}] | [{_ODD_RE2}]"
 _SAFE_CUT = re.compile(f"(?<![{_ODD}]) (?![{_ODD}])")
 
+# Special tokens begin with this; the library finds them inside texts.
+_SPECIAL = "<|"
+
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
@@ -164,6 +167,9 @@ class _Remembering:
     def _store_one(self, chunk: str, ids: list[int]) -> None:
         self._known[chunk] = np.array(ids, np.uint32).tobytes()
 
+    def forget(self) -> None:
+        self._known = {}
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, starts, lengths) of the chunks, in order."""
         known = self._known
@@ -193,6 +199,7 @@ class ByteBpe(_Remembering):
         import tiktoken
 
         super().__init__(remember)
+        self._path = path
         ranks = byte_ranks(path)
         self.ranks = ranks
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -211,7 +218,11 @@ class ByteBpe(_Remembering):
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ``ids[offsets[i]:offsets[i + 1]]``."""
-        return _per_text(*space_chunks(texts), self.encode_chunks)
+        def plain(part):
+            return _per_text(*space_chunks(part), self.encode_chunks)
+
+        # a rank file has no special tokens
+        return _with_specials(texts, _SPECIAL, plain, lambda: once(_library, self._path)) if self._path.endswith(".json") else plain(texts)
 
 
 class WordBpe(_Remembering):
@@ -233,6 +244,7 @@ class WordBpe(_Remembering):
         from tokenizers import Tokenizer
 
         super().__init__(remember)
+        self._path = path
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         alphabet = _byte_alphabet()
@@ -261,8 +273,32 @@ class WordBpe(_Remembering):
             self._store(chunks, np.array(self._encode(marked), np.uint32), self._line)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offsets, index, words = ascii_words(texts, lower=False)
-        return _per_text(offsets, index, strings(words), self.encode_chunks)
+        def plain(part):
+            offsets, index, words = ascii_words(part, lower=False)
+            return _per_text(offsets, index, strings(words), self.encode_chunks)
+
+        return _with_specials(texts, _SPECIAL, plain, lambda: once(_library, self._path))
+
+
+def _with_specials(texts: pa.Array, mark: str, encode, library) -> tuple[np.ndarray, np.ndarray]:
+    """``encode(texts)``, but texts that hold ``mark``, as all special tokens do, go through the library's own way."""
+    flags = pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+    if not flags.any():
+        return encode(texts)
+    ids, offsets = encode(pc.if_else(pa.array(flags), "", texts))
+    parts, at = [], 0
+    sizes = np.diff(offsets)
+    for i in np.flatnonzero(flags).tolist():
+        own = np.array(library().encode(texts[i].as_py(), add_special_tokens=False).ids, ids.dtype)
+        parts += [ids[at:offsets[i]], own]
+        at, sizes[i] = offsets[i], len(own)
+    return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _per_text(offsets, index, chunks, encode) -> tuple[np.ndarray, np.ndarray]:
@@ -282,5 +318,46 @@ def once(kind, *args):
     return _MADE[key]
 
 
+def give_back() -> None:
+    """Give the system back what a task leaves in its Python worker, which later stages use again.
+
+    What tokenizers remember goes; the tokenizers themselves stay, as building them is dear.
+    """
+    import ctypes
+    import gc
+
+    for made in _MADE.values():
+        if isinstance(made, _Remembering):
+            made.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it keeps
+        pass
+
+
+def tidy(run):
+    """``run``, a generator over batches, that gives memory back when its task ends."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """``run``, a function of a group's table, that gives memory back after every group."""
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def flat_ints(lists) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64)

@@ -122,8 +122,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     ordered = (id_and_text(docs, id_col, text_col)
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")))
-    files = ordered.mapInArrow(_writer(folder, vocabulary, end_id, file_ids), MANIFEST)
+               .withColumn("_tie", F.xxhash64("text"))
+               # rows of one id, or without one, are dealt out by their texts
+               .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie"))
+    files = ordered.mapInArrow(T.tidy(_writer(folder, vocabulary, end_id, file_ids)), MANIFEST)
     files.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
