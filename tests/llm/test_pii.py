@@ -96,3 +96,12 @@ def test_redaction(spark):
     got = sorted((tuple(r) for r in pii.redact(docs, pii.find_spans(docs)).collect()), key=str)
     assert got == sorted([(1, "mail [EMAIL] now", 5), (2, None, 1), (3, "clean", 2), (1, "other [IP]", 3), (None, "[PHONE]", 4)], key=str)
     assert pii.find_spans(docs.limit(0)).count() == 0
+
+
+def test_words_before_a_span_are_whole():
+    for word, blank in (("w" * 500, " "), ("w" * 126, " "), ("w" * 127, " "), ("w" * 128, " "), ("mail", " " * 700), ("v" * 3000, "\n" * 3000)):
+        text = f"first {word}{blank}Second-one{blank}me@example.org after"
+        at = text.index("me@")
+        assert pii._around(text, at, at + 14) == (word, "second-one", "after", at, at + 14)
+    assert pii._around("me@example.org", 0, 14)[:3] == ("", "", "")
+    assert pii._around("x" * 200 + "me@example.org now", 200, 214)[3:] == (0, 214)

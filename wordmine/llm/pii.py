@@ -84,12 +84,36 @@ def context_word(word: str) -> str:
     return re.sub("[0-9]+", "0", word.strip(_EDGE).lower())
 
 
+def _word_begin(text: str, at: int) -> int:
+    """Where the word begins that holds, or ends at, place ``at``; looked for backwards in steps that grow."""
+    reach = 64
+    while True:
+        low = max(0, at - reach)
+        found = max(text.rfind(c, low, at) for c in " \t\n\x0b\x0c\r")
+        if found >= 0 or not low:
+            return found + 1
+        reach *= 4
+
+
+def _words_before(text: str, at: int) -> list[str]:
+    """The last two words, whole, of those that end before ``at``, however long they or the blanks between them are."""
+    reach = 128
+    while True:
+        low = max(0, at - reach)
+        found = list(_WORD.finditer(text, low, at))
+        # a word at the border of what was looked at may begin before it
+        whole = found if not low else [m for m in found if m.start() > low]
+        if len(whole) >= 2 or not low:
+            return [m[0] for m in whole[-2:]]
+        reach *= 4
+
+
 def _around(text: str, start: int, end: int) -> tuple[str, str, str, int, int]:
     """Two words before and one after the words that a span lies in, and where these begin and end."""
-    begin = max((text.rfind(c, 0, start) for c in " \t\n\x0b\x0c\r"), default=-1) + 1
+    begin = _word_begin(text, start)
     found = _WORD.search(text, max(end - 1, begin))
     stop = found.end() if found else end
-    before = _WORD.findall(text, max(0, begin - 400), begin)[-2:]
+    before = _words_before(text, begin)
     after = _WORD.search(text, stop)
     left = ["", "", *before][-2:]
     return context_word(left[0]), context_word(left[1]), context_word(after[0]) if after else "", begin, stop
@@ -303,10 +327,10 @@ def find_spans(docs: DataFrame, rounds: int = 3, precision: float = 0.75, suppor
     text; with doc_id it names a row.
     """
     texts = id_and_text(docs, id_col, text_col)
-    base = materialise(texts.mapInArrow(_seeds, f"doc_id bigint, key bigint, spans {SPAN}, seeds array<struct<kind: string, instance: string, pattern: string>>"), "pii-base")
+    base = materialise(texts.mapInArrow(T.tidy(_seeds), f"doc_id bigint, key bigint, spans {SPAN}, seeds array<struct<kind: string, instance: string, pattern: string>>"), "pii-base")
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
     enough = materialise(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("pattern").distinct(), "pii-induced")
-    filtered = texts.mapInArrow(_occurrences(bloom_filter(enough)), "pattern string, n bigint, instance string, kind string, doc_id bigint, key bigint, start bigint, end bigint")
+    filtered = texts.mapInArrow(T.tidy(_occurrences(bloom_filter(enough))), "pattern string, n bigint, instance string, kind string, doc_id bigint, key bigint, start bigint, end bigint")
     met = materialise(filtered.join(enough, "pattern", "left_semi"), "pii-occurrences")
     totals = met.filter("n is not null").groupBy("pattern").agg(F.sum("n").alias("total"))
     places = met.filter("instance is not null")
