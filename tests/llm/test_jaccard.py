@@ -95,3 +95,14 @@ def test_edges(spark):
 def test_query_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in QUERIES["op1_jaccard_join"](spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_blocks_are_dealt_to_all_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wordmine.llm import blocks
+
+    docs = spark.range(240).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit(True).alias("train"))
+    blocks.write_blocks(docs.repartition(12), jaccard.lower_words, f"file://{tmp_path}/b", 4)
+    ids = blocks.block_ids(spark, f"file://{tmp_path}/b", 4)
+    assert [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()] == [3] * 4

@@ -143,7 +143,7 @@ def write_blocks(docs: DataFrame, split, folder: str, parts: int, words_per_bloc
     closes at ``words_per_block`` words; a document is never cut. ``parts`` is
     the number of parts that the words are dealt to; a part meets in one task.
     """
-    rows = docs.select("doc_id", "text", "train").mapInArrow(_cutter(split, words_per_block, parts, count_train), SCHEMA)
+    rows = docs.select("doc_id", "text", "train").mapInArrow(T.tidy(_cutter(split, words_per_block, parts, count_train)), SCHEMA)
     (rows.withColumn("kind", F.when(F.col("part").isNull(), "docs").otherwise("words"))
      .write.partitionBy("kind", "block").option("compression", "zstd").parquet(folder))
 
@@ -179,10 +179,14 @@ class PartWords:
         self.rows = list(zip(blocks, numbers, places, counts, strict=True))
 
 
-def block_ids(spark, folder: str) -> DataFrame:
-    """The numbers of all blocks, a row each."""
+def block_ids(spark, folder: str, tasks: int) -> DataFrame:
+    """The numbers of all blocks, a row each, dealt out evenly to ``tasks`` tasks.
+
+    Dealt in turn, not by a key: by their key the rows would stay where
+    ``distinct`` left them, in as few tasks as their few bytes ask for.
+    """
     rows = spark.read.schema(SCHEMA + ", kind string").parquet(folder).filter("kind = 'words'")
-    return rows.select("block").distinct()
+    return rows.select("block").distinct().repartition(tasks)
 
 
 def read_words(folder: str, block: int) -> list[bytes]:

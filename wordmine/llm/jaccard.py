@@ -230,6 +230,8 @@ def _list(folder: str, words_each: int, parts: int, most: int, p: int, q: int):
                 out = [[], [], [], []]
         if out[0]:
             yield _listed(out)
+        del cut, every, at, log, sets
+        T.give_back()
 
     return run
 
@@ -268,7 +270,7 @@ def light_edges(classes: DataFrame, most: int, p: int, q: int) -> DataFrame:
     """Edges between classes of at most ``most`` shingles, from their common subsets."""
     keys = ["lo", "hi", "k1", "k2"]
     named = (classes.filter(F.col("n") <= most).select("rep", "n", "kept")
-             .mapInArrow(_subsets(most, p, q), "lo bigint, hi bigint, k1 bigint, k2 bigint, rep bigint, n bigint"))
+             .mapInArrow(T.tidy(_subsets(most, p, q)), "lo bigint, hi bigint, k1 bigint, k2 bigint, rep bigint, n bigint"))
     least = (named.groupBy(*keys).agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("rep"))).alias("of_lo"),
                                       F.min(F.when(F.col("n") == F.col("hi"), F.col("rep"))).alias("of_hi"), F.count(F.lit(1)).alias("c"))
              .filter("c > 1 and of_lo is not null and of_hi is not null"))
@@ -323,7 +325,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, p: int, q: int
     needed = materialise(texts.join(asked, "doc_id", "left_semi"), "asked-texts")
     with_b = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_linked(words_each, p, q), "a bigint, b bigint")
+    return both.select("a", "b", "ta", "tb").mapInArrow(T.tidy(_linked(words_each, p, q)), "a bigint, b bigint")
 
 
 def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3, id_col: str = "doc_id",
@@ -340,8 +342,8 @@ def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3,
     store, parts_n = shared_uri(spark, "shingle-blocks"), blocks.default_parts(spark)
     blocks.write_blocks(texts.withColumn("train", F.lit(True)), lower_words, store, parts_n, WORDS_PER_BLOCK)
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = materialise(blocks.block_ids(spark, store).repartition(n_tasks, "block")
-                            .mapInArrow(_describe(store, words_each, parts_n), SETS), "shingle-sets")
+    described = materialise(blocks.block_ids(spark, store, n_tasks)
+                            .mapInArrow(T.tidy(_describe(store, words_each, parts_n)), SETS), "shingle-sets")
     sets = described.filter("sig is not null").select("doc_id", "n", "sig", "kept")
     usable = sets.filter("n > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("kept").alias("kept")), "shingle-classes")
