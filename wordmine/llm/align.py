@@ -154,7 +154,7 @@ class _Tokens:
 class Stretches:
     """What is known of the distinct stretches a task has met; emptied when it holds ``most`` of them."""
 
-    def __init__(self, tokens: _Tokens, most: int = 100_000):
+    def __init__(self, tokens: _Tokens, most: int = 400_000):
         self.tokens, self.most = tokens, most
         self._clear()
 
@@ -319,7 +319,6 @@ def _task(vocabulary: str, pattern: str, pieces: str, pairs_per_block: int):
                     number, block = number + 1, _Block()
         if block.docs:
             yield from block.rows((part << 24) + number, tokens.model.size)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -327,7 +326,7 @@ def _task(vocabulary: str, pattern: str, pieces: str, pairs_per_block: int):
 def write_links(docs: DataFrame, folder: str, vocabulary: str, pattern: str, pieces: str,
                 pairs_per_block: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Align every text and write documents and pairs of each block below ``folder``; returns them as read again."""
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(_task(vocabulary, pattern, pieces, pairs_per_block), SCHEMA)
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(T.tidy(_task(vocabulary, pattern, pieces, pairs_per_block)), SCHEMA)
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(SCHEMA).parquet(folder)
 

@@ -21,6 +21,7 @@ the first language in text order; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,7 +144,7 @@ def train(docs: DataFrame, is_training, max_documents: int = 2400, id_col: str =
         return train_none(labels)
     chosen = bounded_sample(ids, "doc_id", "label", per_label, counts)
     picked = usable.join(F.broadcast(chosen), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text")
-    features = picked.mapInArrow(_sparse_features, "doc_id bigint, label string, at binary, value binary")
+    features = picked.mapInArrow(T.tidy(_sparse_features), "doc_id bigint, label string, at binary, value binary")
     one_each = features.groupBy("doc_id", "label").agg(F.min(F.struct("at", "value")).alias("x"))
     sample = one_each.select("label", "x.at", "x.value").toArrow()  # bounded by max_documents
     names = sample.column("label").to_pylist()
@@ -233,16 +234,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``ambiguous``: the second language is more than half as probable as the first.
     """
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        _predictor(model), "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+        T.tidy(_predictor(model)), "doc_id bigint, lang_pred string, score double, ambiguous boolean")
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the prediction in a struct column ``_language``."""
     @F.pandas_udf("struct<label: string, score: double, ambiguous: boolean>")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
-        found = [predict_texts(model, texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS)]
-        return pd.DataFrame({"label": [x for f in found for x in f[0]], "score": np.concatenate([f[1] for f in found]) if found else [],
-                             "ambiguous": np.concatenate([f[2] for f in found]) > 0.5 if found else []})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
+            found = [predict_texts(model, texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS)]
+            yield pd.DataFrame({"label": [x for f in found for x in f[0]], "score": np.concatenate([f[1] for f in found]) if found else [],
+                                "ambiguous": np.concatenate([f[2] for f in found]) > 0.5 if found else []})
+        T.give_back()
 
     return docs.withColumn("_language", predict(F.col(text_col).cast("string")))

@@ -22,6 +22,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,7 +123,7 @@ def unit_rows(sums: np.ndarray) -> np.ndarray:
 
 def context_table(texts: DataFrame, index: np.ndarray) -> np.ndarray:
     """Unit context vectors from all rows of ``texts``, added up by bucket; the driver gets BUCKETS x DIMS numbers."""
-    rows = texts.select("text").mapInArrow(_context_rows(index), ", ".join(["bucket bigint", *(f"{c} bigint" for c in _SUMS)]))
+    rows = texts.select("text").mapInArrow(T.tidy(_context_rows(index)), ", ".join(["bucket bigint", *(f"{c} bigint" for c in _SUMS)]))
     found = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _SUMS)).toArrow()
     sums = np.zeros((DIMS, BUCKETS))
     for k, c in enumerate(_SUMS):
@@ -234,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training, max_documents: int =
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     table = np.concatenate([context_table(texts.filter(is_training), index), index], axis=1)
     picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    features = picked.mapInArrow(_pooler(table), "doc_id bigint, label int, x binary")
+    features = picked.mapInArrow(T.tidy(_pooler(table)), "doc_id bigint, label int, x binary")
     sample = features.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()  # bounded by max_documents
     if not sample.num_rows:
         return none
@@ -264,14 +265,16 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: a row for each row of ``docs``; only its text is looked at."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_scorer(model), "doc_id bigint, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(T.tidy(_scorer(model)), "doc_id bigint, score double")
 
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the score in a column ``_quality``."""
     @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
-        return pd.Series(np.concatenate([np.empty(0), *(model.score(texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS))]))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            texts = pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")
+            yield pd.Series(np.concatenate([np.empty(0), *(model.score(texts.slice(k, T.BATCH_ROWS)) for k in range(0, len(texts), T.BATCH_ROWS))]))
+        T.give_back()
 
     return docs.withColumn("_quality", scored(F.col(text_col).cast("string")))
