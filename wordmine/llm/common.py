@@ -26,8 +26,24 @@ def held_out(id_col: str = "doc_id", fold: int = 0, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % folds == fold
 
 
+#: Rows of whole texts that pass between Spark and a Python worker at once.
+ROWS_AT_ONCE = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ROWS_AT_ONCE rows, where no smaller number is set.
+
+    Spark's own 10,000 rows of documents are held four times by a task: as Arrow
+    buffers and as a message in the JVM, and as both in the Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``: further columns of ``docs`` cannot clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

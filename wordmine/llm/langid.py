@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
-from wordmine.llm.common import id_and_text
+from wordmine.llm.common import bound_batches, id_and_text
 from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums
 from wordmine.session import materialise
 
@@ -239,6 +239,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the prediction in a struct column ``_language``."""
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("struct<label: string, score: double, ambiguous: boolean>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batches:

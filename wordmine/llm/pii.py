@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
-from wordmine.llm.common import id_and_text
+from wordmine.llm.common import bound_batches, id_and_text
 from wordmine.session import materialise
 
 # Kinds in the order of their names in results, and their patterns.
@@ -362,6 +362,8 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     marked = (spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), every.alias("_spans")).filter(F.size("_spans") > 0)
               .dropDuplicates(["_id", "_key"]))
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("bigint")
     def key(text: pd.Series) -> pd.Series:
         return pd.Series(_keys(pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")), dtype="int64")

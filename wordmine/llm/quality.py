@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.llm import textcells as T
-from wordmine.llm.common import id_and_text
+from wordmine.llm.common import bound_batches, id_and_text
 from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets
 from wordmine.session import materialise
 
@@ -108,7 +108,7 @@ def _context_rows(index: np.ndarray):
     def run(batches):
         sums = np.zeros((DIMS, BUCKETS))
         for batch in batches:
-            for _, texts in T.text_slices(batch):
+            for _, texts in T.text_slices(batch, most_bytes=1 << 20):
                 sums += context_sums(texts, index)
         used = np.flatnonzero(sums.any(0))
         yield pa.record_batch([pa.array(used), *(pa.array(row[used].astype(np.int64)) for row in sums)], names=["bucket", *_SUMS])
@@ -144,13 +144,24 @@ def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     distinct = np.unique(doc * np.int64(len(words)) + word)
     in_doc, at = distinct // len(words), distinct % len(words)
     m = np.bincount(in_doc, minlength=len(texts))
-    out[:, :2 * DIMS] = segment_sums(vector[word], offsets) / np.maximum(n, 1)[:, None]
-    out[:, 2 * DIMS:4 * DIMS] = segment_sums(vector[at], np.concatenate([[0], np.cumsum(m)])) / np.maximum(m, 1)[:, None]
+    out[:, :2 * DIMS] = _vector_sums(vector, word, offsets) / np.maximum(n, 1)[:, None]
+    out[:, 2 * DIMS:4 * DIMS] = _vector_sums(vector, at, np.concatenate([[0], np.cumsum(m)])) / np.maximum(m, 1)[:, None]
     out[:, -2] = m / np.maximum(n, 1)
     out[:, -1] = n == 0
     return out
 
 
+def _vector_sums(vector: np.ndarray, word: np.ndarray, offsets: np.ndarray, tokens: int = 1 << 15) -> np.ndarray:
+    """Sums of the words' vectors of each text, for so many tokens (or one text) at once."""
+    out = np.zeros((len(offsets) - 1, vector.shape[1]), vector.dtype)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tokens, side="right")) - 1)
+        out[a:b] = segment_sums(vector[word[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a])
+        a = b
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     table: np.ndarray                       # buckets x (context and index vectors)
@@ -270,6 +281,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns unchanged and the score in a column ``_quality``."""
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in batches:
