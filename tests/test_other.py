@@ -132,7 +132,7 @@ def test_entry_contract(spark):
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
     from wordmine.plans import registry
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"beam_segment"}
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_bucketed_index_with_a_hot_group(spark):

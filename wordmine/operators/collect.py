@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COLLECTION_TARGETS
+from ..session import fresh_path, materialise
 from .ids import dense_index
 
 
@@ -62,6 +63,45 @@ def write_parts(unique: DataFrame, path: str, part_size: int, fmt: str = "json")
      .partitionBy("query_slug").format(fmt).save(path))
 
 
+def write_manifest_files(unique: DataFrame, path: str, part_size: int) -> DataFrame:
+    """Exactly one JSON-lines file for each manifest row, ``<query>/<query>_<start>_<end>.json``; returns the manifest.
+
+    The rows of a part meet in one task, in order, and are written to a staging
+    folder of their own; when all are there, each file is moved to its final
+    name. The content and the names follow from the rows alone, so a run that
+    starts again leaves the same files.
+    """
+    spark = unique.sparkSession
+    numbered = materialise(dense_index(unique, ["query"], ["shard", "rank"], "n"), "numbered-parts")
+    part = F.floor(F.col("n") / part_size).cast("bigint")
+    manifest = materialise(numbered.groupBy("query", part.alias("part"))
+                           .agg(F.min("n").alias("start"), F.max("n").alias("end"), F.count(F.lit(1)).cast("bigint").alias("n")), "manifest")
+    slug = F.regexp_replace("query", r"\s+", "_")
+    named = manifest.select("query", "part", slug.alias("query_slug"), F.concat_ws("_", slug, "start", "end").alias("file"))
+    rows = (numbered.withColumn("part", part).join(named, ["query", "part"])
+            .repartition("query_slug", "file").sortWithinPartitions("query_slug", "file", "n").drop("n", "part"))
+    staging = fresh_path(spark, "staging")
+    rows.write.partitionBy("query_slug", "file").json(staging)
+    _move_files(spark, staging, path)
+    return manifest
+
+
+def _move_files(spark, staging: str, path: str) -> None:
+    """Every ``query_slug=<q>/file=<f>/part-*`` below ``staging`` to ``<path>/<q>/<f>.json``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to_path = jvm.org.apache.hadoop.fs.Path
+    fs = to_path(staging).getFileSystem(conf)
+    for status in fs.globStatus(to_path(f"{staging}/query_slug=*/file=*/part-*")) or []:
+        of = status.getPath().getParent()
+        folder = to_path(path, of.getParent().getName().split("=", 1)[1])
+        target = to_path(folder, of.getName().split("=", 1)[1] + ".json")
+        fs.mkdirs(folder)
+        if fs.exists(target):
+            fs.delete(target, False)
+        if not fs.rename(status.getPath(), target):
+            raise OSError(f"could not move {status.getPath()} to {target}")
+
+
 def pending_worklist(worklist: DataFrame) -> DataFrame:
     """Expressions not marked done (``'o'``); a null status is pending too."""
     return worklist.where(~F.col("status").eqNullSafe("o"))

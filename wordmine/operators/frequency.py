@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import surface_forms
+from ..functions.text import edge_strip, surface_forms
 from ..session import materialise
 
 
@@ -41,9 +41,38 @@ def corpus_tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(toks).alias("form"))
 
 
+def form_tokens(form: str = "form"):
+    """The edge-stripped whitespace tokens of a form."""
+    return F.filter(F.transform(F.split(F.col(form), r"\s+"), edge_strip), lambda t: t != "")
+
+
+def long_form_counts(corpus: DataFrame, forms: DataFrame, longest: int) -> DataFrame:
+    """D5 for forms of up to ``longest`` tokens: as many whitespace tokens in a row that equal the form's, edge-stripped.
+
+    A place of the corpus becomes a row only if some form begins with its token
+    (an equi join on the first token, which brings the lengths that are asked
+    for); it then makes one n-gram for each of those lengths, and n-grams are
+    counted map-side before they meet the forms. A token without letters ends a run.
+    """
+    asked = forms.select("form").distinct().withColumn("_t", form_tokens()).filter("size(_t) > 0")
+    asked = asked.select("form", F.array_join("_t", " ").alias("_gram"), F.element_at("_t", 1).alias("_first"), F.size("_t").alias("_n"))
+    firsts = asked.groupBy("_first").agg(F.collect_set("_n").alias("_lengths"))  # at most ``longest`` numbers
+    toks = corpus.select(F.transform(F.split(F.col("text"), r"\s+"), edge_strip).alias("_t"))
+    places = F.expr(f"filter(transform(sequence(1, size(_t)), i -> slice(_t, i, {longest})), w -> w[0] != '')")
+    rows = toks.select(F.explode(places).alias("_w")).select(F.col("_w")[0].alias("_first"), "_w")
+    grams = rows.join(firsts, "_first").select(
+        F.explode(F.expr("transform(filter(_lengths, k -> k <= size(_w) AND NOT exists(slice(_w, 1, k), t -> t = '')), "
+                         "k -> array_join(slice(_w, 1, k), ' '))")).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    return asked.join(counts, "_gram").select("form", "cnt")
+
+
 def form_counts(corpus: DataFrame, forms: DataFrame) -> DataFrame:
-    """Occurrences in the corpus of each distinct form in ``forms(form)``."""
+    """Occurrences in the corpus of each distinct form in ``forms(form)``; a form may have several tokens."""
     asked = forms.select("form").distinct()
+    longest = forms.agg(F.max(F.size(form_tokens()))).first()[0] or 0
+    if longest > 1:
+        return long_form_counts(corpus, forms, longest)
     hits = corpus_tokens(corpus).join(asked, "form", "left_semi")
     return hits.groupBy("form").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 

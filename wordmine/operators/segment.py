@@ -6,19 +6,19 @@ adjacent substrings (and ``<s>`` before a word-initial piece) a bigram, each
 weighted by the word's count. Pure explodes and grouped sums.
 
 E2 segments each distinct word with a beam search. Spark builds and scores
-the word's lattice with joins against the statistics (the expensive, data-
-sized part); the beam itself is a small per-word helper run by
-``applyInPandas``. One group is one word: at most ``MAX_PIECE_LEN**2`` lattice
-rows for each of its letters.
+the word's lattice with joins against the statistics; the beam is an aggregate
+over the lattice's places inside the word's row: no Python, one shuffle by word.
+A word has at most ``MAX_PIECE_LEN**2`` lattice entries for each of its letters.
 
 Scoring (ours; the segmenter binary is not part of the mined project):
 ``log((c(prev, piece) + K * c(piece) / N) / (c(prev) + K))``, a bigram
-estimate interpolated with the unigram distribution.
+estimate interpolated with the unigram distribution. Scores are kept in whole
+billionths, so sums are exact and equal segmentations tie on every engine; ties
+go to the segmentation whose pieces come first.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ from ..constants import BEAM_SIZE, MAX_PIECE_LEN
 
 START = "<s>"
 SMOOTHING_K = 1.0
+SCORE_UNIT = 1_000_000_000
 
 
 def _pieces(words: DataFrame, max_len: int) -> DataFrame:
@@ -62,48 +63,47 @@ def bigram_stats(words: DataFrame, max_len: int = MAX_PIECE_LEN) -> DataFrame:
             .agg(F.sum("n").cast("bigint").alias("n")))
 
 
-def _beam(pdf: pd.DataFrame, beam: int) -> pd.DataFrame:
-    """Beam search over one word's scored lattice (rows: ps, pl, s, l, piece, score)."""
-    word = pdf["word"].iat[0]
-    size = len(word)
-    trans: dict[tuple[int, int], list[tuple[int, str, float]]] = {}
-    for ps, pl, s, ln, piece, score in zip(pdf["ps"], pdf["pl"], pdf["s"], pdf["l"], pdf["piece"], pdf["score"]):
-        trans.setdefault((int(ps), int(pl)), []).append((int(ln), piece, float(score)))
-    # states by boundary (characters consumed): (score, pieces, last_start, last_len)
-    states: dict[int, list[tuple[float, tuple[str, ...], int, int]]] = {0: [(0.0, (), 0, 0)]}
-    for b in range(size):
-        for score, pieces, ls, ll in states.get(b, []):
-            for ln, piece, sc in trans.get((ls, ll), []):
-                states.setdefault(b + ln, []).append((score + sc, pieces + (piece,), b + 1, ln))
-        for nb in list(states):
-            if nb > b and len(states[nb]) > beam:
-                states[nb] = sorted(states[nb], key=lambda x: (-x[0], x[1]))[:beam]
-    done = sorted(states.get(size, []), key=lambda x: (-x[0], x[1]))
-    if not done:
-        return pd.DataFrame({"word": [word], "pieces": [[word]], "score": [float("nan")]})
-    best = done[0]
-    return pd.DataFrame({"word": [word], "pieces": [list(best[1])], "score": [best[0]]})
-
-
-def beam_segment(words: DataFrame, unigram: DataFrame, bigram: DataFrame,
-                 beam: int = BEAM_SIZE, max_len: int = MAX_PIECE_LEN) -> DataFrame:
-    """Best segmentation of every distinct word: (word, pieces, score)."""
-    total = unigram.agg(F.sum("n").alias("t")).first()["t"] or 1
+def scored_lattice(words: DataFrame, unigram: DataFrame, bigram: DataFrame, max_len: int = MAX_PIECE_LEN) -> DataFrame:
+    """(word, s, pl, l, piece, score): every piece of every word after every piece that can stand before it."""
+    total = unigram.agg(F.sum("n")).scalar()
+    starts = bigram.where(F.col("prev") == START).agg(F.sum("n")).scalar()
     w = words.select("word").distinct().withColumn("n", F.lit(1))
     lattice = _pairs(w, max_len).drop("n")
     uni = unigram.select(F.col("piece").alias("_u"), F.col("n").alias("_cu"))
     uprev = unigram.select(F.col("piece").alias("_up"), F.col("n").alias("_cp"))
-    starts = bigram.where(F.col("prev") == START).agg(F.sum("n").alias("_cs")).first()["_cs"] or 0
     bi = bigram.select(F.col("prev").alias("_bp"), F.col("piece").alias("_bq"), F.col("n").alias("_cb"))
     scored = (lattice
               .join(bi, (F.col("prev") == F.col("_bp")) & (F.col("piece") == F.col("_bq")), "left")
               .join(uni, F.col("piece") == F.col("_u"), "left"))
     # the start symbol is in no statistics of pieces: its rows need no join
     inner = scored.where(F.col("prev") != START).join(uprev, F.col("prev") == F.col("_up"), "left").drop("_up")
-    scored = inner.unionByName(scored.where(F.col("prev") == START).withColumn("_cp", F.lit(starts)))
-    c_prev = F.coalesce("_cp", F.lit(0))
-    num = F.coalesce("_cb", F.lit(0)) + F.lit(SMOOTHING_K) * F.coalesce("_cu", F.lit(0)) / F.lit(total)
-    score = F.log(F.greatest(num, F.lit(1e-12)) / (c_prev + F.lit(SMOOTHING_K)))
-    rows = scored.select("word", "ps", "pl", "s", "l", "piece", score.alias("score"))
-    return rows.groupBy("word").applyInPandas(lambda pdf: _beam(pdf, beam),
-                                              schema="word string, pieces array<string>, score double")
+    scored = inner.unionByName(scored.where(F.col("prev") == START).withColumn("_cp", starts))
+    num = F.coalesce("_cb", F.lit(0)) + F.lit(SMOOTHING_K) * F.coalesce("_cu", F.lit(0)) / F.greatest(F.coalesce(total, F.lit(1)), F.lit(1))
+    score = F.log(F.greatest(num, F.lit(1e-12)) / (F.coalesce("_cp", F.lit(0)) + F.lit(SMOOTHING_K)))
+    return scored.select("word", "s", "pl", "l", "piece", F.round(score * SCORE_UNIT).cast("bigint").alias("score"))
+
+
+def beam_segment(words: DataFrame, unigram: DataFrame, bigram: DataFrame,
+                 beam: int = BEAM_SIZE, max_len: int = MAX_PIECE_LEN) -> DataFrame:
+    """Best segmentation of every distinct word: (word, pieces, score).
+
+    The aggregate walks over a word's letters and holds, for the place it is at
+    and the ``max_len - 1`` places after it, the segmentations that end there.
+    At each place the ``beam`` best of them are carried on by every piece that
+    begins there.
+    """
+    rows = scored_lattice(words, unigram, bigram, max_len)
+    entry = F.struct("s", "pl", "l", "piece", "score")
+    grouped = rows.groupBy("word").agg(F.collect_list(entry).alias("lattice"))
+    state = "array<struct<cost: bigint, pieces: array<string>, l: int>>"
+    nothing = f"CAST(array() AS {state})"
+    begin = f"CAST(array(named_struct('cost', 0, 'pieces', array(), 'l', 0)) AS {state})"
+    waiting = f"transform(sequence(1, {max_len}), k -> IF(k = 1, {begin}, {nothing}))"
+    carried = (f"flatten(transform(slice(array_sort(element_at(held, 1)), 1, {beam}), st -> transform(filter(here, t -> t.pl = st.l), "
+               "t -> named_struct('cost', st.cost - t.score, 'pieces', concat(st.pieces, array(t.piece)), 'l', t.l))))")
+    step = (f"(held, here) -> element_at(transform(array({carried}), more -> transform(sequence(1, {max_len}), "
+            f"k -> concat(coalesce(try_element_at(held, k + 1), {nothing}), filter(more, e -> e.l = k)))), 1)")
+    places = "transform(sequence(1, length(word)), p -> filter(lattice, t -> t.s = p))"
+    best = f"aggregate({places}, {waiting}, {step}, held -> element_at(array_sort(element_at(held, 1)), 1))"
+    out = grouped.filter("length(word) > 0").select("word", F.expr(best).alias("_b"))
+    return out.select("word", "_b.pieces", (-F.col("_b.cost") / F.lit(float(SCORE_UNIT))).alias("score"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import STANDIN_PHRASES
+from ..constants import BEAM_SIZE, RX_EDGE, STANDIN_PHRASES
 from ..operators import extract, search
 from ..session import materialise
 from ..sources import tables
@@ -627,12 +627,36 @@ def bigram_stats(spark, sf_dir):
     return SG.bigram_stats(seg_words(spark, sf_dir))
 
 
-@register("beam_segment")
+_BEAM = _SEGW + f""",
+wm_u AS (SELECT piece, sum(n) AS c FROM wm_p GROUP BY piece),
+wm_pair AS (
+  SELECT b.word, b.n, b.s, a.l AS pl, b.l, a.piece AS prev, b.piece FROM wm_p a JOIN wm_p b ON a.word = b.word AND b.s = a.s + a.l
+  UNION ALL SELECT word, n, s, 0 AS pl, l, '<s>' AS prev, piece FROM wm_p WHERE s = 1),
+wm_b AS (SELECT prev, piece, sum(n) AS c FROM wm_pair GROUP BY prev, piece),
+wm_lat AS (
+  SELECT x.word, x.s, x.pl, x.l, x.piece, CAST(round(1e9 * ln(greatest(
+      coalesce(b.c, 0) + coalesce(u.c, 0)::DOUBLE / (SELECT sum(c) FROM wm_u)::DOUBLE, 1e-12)
+    / (CASE WHEN x.prev = '<s>' THEN (SELECT sum(c) FROM wm_b WHERE prev = '<s>') ELSE coalesce(v.c, 0) END + 1.0::DOUBLE))) AS BIGINT) AS score
+  FROM wm_pair x LEFT JOIN wm_b b ON b.prev = x.prev AND b.piece = x.piece
+    LEFT JOIN wm_u u ON u.piece = x.piece LEFT JOIN wm_u v ON v.piece = x.prev),
+wm_beam(step, word, ends, pieces, score, l) AS (
+  SELECT 0::BIGINT, word, 0::BIGINT, []::VARCHAR[], 0::BIGINT, 0::BIGINT FROM wm_segw
+  UNION ALL (
+  SELECT c.step + 1, c.word, c.ends + t.l, list_append(c.pieces, t.piece), c.score + t.score, t.l
+  FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, pieces) AS k FROM wm_beam WHERE ends = step) c
+    JOIN wm_lat t ON t.word = c.word AND t.s = c.ends + 1 AND t.pl = c.l WHERE c.k <= {BEAM_SIZE}
+  UNION ALL SELECT step + 1, word, ends, pieces, score, l FROM wm_beam WHERE ends > step))
+SELECT word, array_to_string(pieces, ' ') AS pieces, score / 1e9::DOUBLE AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, pieces) AS k FROM wm_beam
+  WHERE ends = step AND ends = length(word)) WHERE k = 1"""
+
+
+@register("beam_segment", _EX.replace("WITH", "WITH RECURSIVE", 1) + _BEAM)
 def beam_segment(spark, sf_dir):
-    """E2 (rows-only check): best segmentation of every distinct extracted word."""
+    """Best segmentation of every distinct extracted word."""
     w = materialise(seg_words(spark, sf_dir))
     seg = SG.beam_segment(w, SG.unigram_stats(w), SG.bigram_stats(w))
-    return seg.select("word", F.array_join("pieces", " ").alias("pieces"), F.round("score", 6).alias("score"))
+    return seg.select("word", F.array_join("pieces", " ").alias("pieces"), "score")
 
 
 # --- older pipeline variant: letters-only words (C4), title-contains stage (C15) ---
@@ -659,3 +683,104 @@ def conversation_search(spark, sf_dir):
                     F.size("spans").cast("bigint").alias("n_spans"),
                     F.size(F.filter("spans", lambda s: s.label == "0")).cast("bigint").alias("n_hits"),
                     F.expr(extract.span_text()).alias("texts"))
+
+
+# --- D5 with forms of several tokens -----------------------------------------------
+
+@register("phrase_frequency", f"""
+WITH tk AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS tk FROM benchmark),
+f AS (SELECT DISTINCT array_to_string(tk[1:k], ' ') AS form FROM (SELECT tk, unnest(generate_series(1, 4)) AS k FROM tk) WHERE len(tk) >= k),
+g AS (SELECT form, array_to_string(list_filter(list_transform(regexp_split_to_array(form, '\\s+'),
+        lambda t: regexp_replace(t, {O.q(RX_EDGE)}, '', 'g')), lambda t: t <> ''), ' ') AS gram FROM f),
+d AS (SELECT list_transform(regexp_split_to_array(text, '\\s+'), lambda t: regexp_replace(t, {O.q(RX_EDGE)}, '', 'g')) AS t FROM documents),
+i AS (SELECT t[p:p + k - 1] AS w, k FROM (SELECT t, p, unnest(generate_series(1, 4)) AS k FROM (
+        SELECT t, unnest(generate_series(1, len(t))) AS p FROM d)) WHERE p + k - 1 <= len(t)),
+c AS (SELECT array_to_string(w, ' ') AS gram, count(*) AS n FROM i WHERE len(list_filter(w, lambda x: x = '')) = 0 GROUP BY 1)
+SELECT g.form, coalesce(c.n, 0)::BIGINT AS count FROM g LEFT JOIN c ON c.gram = g.gram""")
+def phrase_frequency(spark, sf_dir):
+    """How often the first one to four tokens of the benchmark texts occur in the corpus."""
+    tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    first = F.expr("transform(sequence(1, least(4, size(tk))), k -> array_join(slice(tk, 1, k), ' '))")
+    forms = materialise(tables.read_table(spark, sf_dir, "benchmark").select(tokens.alias("tk")).filter("size(tk) > 0")
+                        .select(F.explode(first).alias("form")).distinct(), "forms")
+    counts = FQ.form_counts(tables.documents_corpus(spark, sf_dir), forms)
+    return forms.join(counts, "form", "left").select("form", F.coalesce("cnt", F.lit(0)).alias("count"))
+
+
+# --- A2, A3, A10: ranges of ranks, fetch by rank, the ledger -------------------------
+
+from ..operators import ranks as RK  # noqa: E402
+
+_MISSING = """, wm_missing AS (SELECT query, shard, rank, doc_ix, pos, spans FROM wm_landed w
+  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_ix))"""
+
+
+def missing(spark, sf_dir):
+    """The landed table and the ranks whose document is not in ``labels``."""
+    every = materialise(landed(spark, sf_dir), "landed")
+    return every, search.missing_ranks(every, every.join(labelled(spark, sf_dir), "doc_ix", "left_semi"))
+
+
+@register("rank_ranges", _CO.rstrip() + _MISSING + """
+SELECT query, shard, min(rank)::BIGINT AS start, (max(rank) + 1)::BIGINT AS "end" FROM (
+  SELECT *, rank - row_number() OVER (PARTITION BY query, shard ORDER BY rank) AS island FROM wm_missing)
+GROUP BY query, shard, island""")
+def rank_ranges(spark, sf_dir):
+    """A2: the missing ranks as ranges."""
+    return RK.ranks_to_ranges(missing(spark, sf_dir)[1])
+
+
+@register("rank_expansion", _CO.rstrip() + _MISSING + "SELECT query, shard, rank FROM wm_missing")
+def rank_expansion(spark, sf_dir):
+    """A2: ranks to ranges and back to the same ranks."""
+    return RK.ranges_to_ranks(RK.ranks_to_ranges(missing(spark, sf_dir)[1]))
+
+
+@register("fetch_by_rank", _CO.rstrip() + _MISSING + """
+SELECT query, shard, rank, doc_ix, pos, len(spans)::BIGINT AS n_spans FROM wm_missing""")
+def fetch_by_rank(spark, sf_dir):
+    """A3: the landed documents of the missing ranks, from the bucketed table."""
+    every, ranks = missing(spark, sf_dir)
+    found = RK.fetch_by_rank(RK.rank_table(every), ranks)
+    return found.select("query", "shard", "rank", "doc_ix", "pos", F.size("spans").cast("bigint").alias("n_spans"))
+
+
+def ledger(spark, sf_dir):
+    """Two passes over all landed ranks: the first source has the documents of good quality, the second all that are labelled."""
+    every = materialise(landed(spark, sf_dir), "landed")
+    good = (tables.read_table(spark, sf_dir, "labels").filter("quality = 1")
+            .select(F.col("doc_id").cast("bigint").alias("doc_ix")).distinct())
+    sources = [RK.rank_table(every.join(docs, "doc_ix", "left_semi")) for docs in (good, labelled(spark, sf_dir))]
+    fetches = [lambda pending, t=t: RK.fetch_by_rank(t, pending) for t in sources]
+    return RK.retrieval_ledger(every, fetches, FS.scratch(spark, "ledger"))
+
+
+@register("retrieval_ledger", _CO + """
+SELECT query, shard, rank, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_ix AND l.quality = 1) THEN 1 ELSE 2 END::BIGINT AS attempts,
+       EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_ix) AS retrieved FROM wm_landed w""")
+def retrieval_ledger(spark, sf_dir):
+    """A10: attempts and outcome of every rank over two passes."""
+    return ledger(spark, sf_dir)
+
+
+@register("ledger_leftovers", _CO.rstrip() + _MISSING + """
+SELECT replace(query, ' ', '_') AS query_slug, shard, rank FROM wm_missing""")
+def ledger_leftovers(spark, sf_dir):
+    """A10: what no pass retrieved, as CSV per expression, read back."""
+    path = FS.scratch(spark, "leftovers")
+    RK.write_leftovers(ledger(spark, sf_dir), path)
+    back = spark.read.schema("query string, shard string, rank bigint, query_slug string").options(**FS.CSV_OPTS).csv(path)
+    return back.select("query_slug", "shard", "rank")
+
+
+@register("manifest_files", _CO + _UNIQUE + f"""
+SELECT query, replace(query, ' ', '_') || '_' || (n // {PART_SIZE} * {PART_SIZE})::VARCHAR || '_' ||
+       (least(n // {PART_SIZE} * {PART_SIZE} + {PART_SIZE}, total) - 1)::VARCHAR || '.json' AS file, doc_ix, shard, rank, pos
+FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY shard, rank) - 1)::BIGINT AS n,
+        count(*) OVER (PARTITION BY query) AS total FROM wm_unique)""")
+def manifest_files(spark, sf_dir):
+    """One file for each manifest row, read back with its name."""
+    path = FS.scratch(spark, "manifest-files")
+    CO.write_manifest_files(unique_docs(spark, sf_dir).select("query", "doc_ix", "shard", "rank", "pos"), path, PART_SIZE)
+    back = spark.read.schema("query string, doc_ix bigint, shard string, rank bigint, pos bigint").json(f"{path}/*/*.json")
+    return back.withColumn("file", F.substring_index(F.input_file_name(), "/", -1)).select("query", "file", "doc_ix", "shard", "rank", "pos")

@@ -67,9 +67,10 @@ def write_landed_json_arrays(landed: DataFrame, path: str) -> None:
 CSV_OPTS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """CSV with header; sentences may hold quotes and newlines (RFC-4180 quoting)."""
-    df.write.mode("overwrite").options(**CSV_OPTS).csv(path)
+    writer = df.write.mode("overwrite").options(**CSV_OPTS)
+    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def read_total_csv(spark: SparkSession, path: str, schema: str = TOTAL_CSV_SCHEMA) -> DataFrame:
