@@ -53,6 +53,8 @@ from wordmine.session import materialise
 LIGHT_MOST = 48    # sets above this size are never light
 HASH_BITS = 44     # of a shingle's hash, for its document frequency
 WORDS_PER_BLOCK = 1 << 21
+#: Shingle hashes that a task remembers of texts it has met in pairs.
+KNOWN_HASHES = 1 << 20
 SETS = ("doc_id bigint, n bigint, sig binary, kept binary, block bigint, part int, m bigint, hashes binary, counts binary")
 ANSWERS = "block bigint, part int, logs binary"
 LISTED = "shingle bigint, rep bigint, n bigint, pos int"
@@ -294,10 +296,13 @@ def _linked(words_each: int, p: int, q: int):
 
     def run(batches):
         known: dict = {}
+        held = 0
 
         def sets(ids, texts):
-            if len(known) > 2000:
+            nonlocal held
+            if held > KNOWN_HASHES:
                 known.clear()
+                held = 0
             new = {}
             for i, t in zip(ids, texts, strict=True):
                 if (i, t) not in known:
@@ -305,11 +310,12 @@ def _linked(words_each: int, p: int, q: int):
             if new:
                 for key, h in zip(new, shingle_sets(pa.array([t for _, t in new], pa.string()), words_each), strict=True):
                     known[key] = h
+                    held += len(h) + 16
             return [known[i, t] for i, t in zip(ids, texts, strict=True)]
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                a, b, ta, tb = (c.to_pylist() for c in batch.slice(at, 500).columns)
+            for at in range(0, batch.num_rows, 100):
+                a, b, ta, tb = (c.to_pylist() for c in batch.slice(at, 100).columns)
                 keep = []
                 for x, y in zip(sets(a, ta), sets(b, tb), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
