@@ -250,4 +250,5 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                                 "ambiguous": np.concatenate([f[2] for f in found]) > 0.5 if found else []})
         T.give_back()
 
-    return docs.withColumn("_language", predict(F.col(text_col).cast("string")))
+    # not to be repeated for every use of the column, in filters above all
+    return docs.withColumn("_language", predict.asNondeterministic()(F.col(text_col).cast("string")))
