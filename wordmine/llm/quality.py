@@ -1,7 +1,7 @@
 """Quality scores from random-indexing word vectors and a small calibrated network.
 
-Random indexing: every word feature (character trigrams, the whole
-word, the shape of the word) owns a fixed sparse ternary index vector, a word's
+Random indexing: every word feature (runs of one, two and three characters, the
+whole word, the shape of the word) owns a fixed sparse ternary index vector, a word's
 index vector is the sum over its features, and a feature's context vector is
 the sum of the index vectors of the words that stand within ``WINDOW`` places
 of its words. Through the features words that were never seen have vectors too.
@@ -37,7 +37,7 @@ from wordmine.llm.common import bound_batches, id_and_text
 from wordmine.llm.wordfeatures import bounded_sample, ngram_buckets, segment_sums, shape_buckets
 from wordmine.session import materialise
 
-DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (3,)
+DIMS, BUCKETS, WINDOW, ORDERS = 32, 1 << 14, 2, (1, 2, 3)
 POOLED = 4 * DIMS + 3
 SCALE = 1 << 12
 _SUMS = [f"s{k}" for k in range(DIMS)]
@@ -76,6 +76,22 @@ def word_vectors(words: pa.Array, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(runs: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, word) of each place of the words: the buckets of the runs that begin there, BUCKETS for those beyond the end.
+
+    ``runs`` are the features of one order each, the shortest first. What many
+    words share is thus summed once for all orders.
+    """
+    codes, begin = runs[0]
+    owner = np.repeat(np.arange(n_words), np.diff(np.append(begin, len(codes))))
+    place = np.arange(len(codes)) - begin[owner]
+    for buckets, first in runs[1:]:
+        here = np.full(len(codes), BUCKETS)
+        here[place < np.diff(np.append(first, len(buckets)))[owner]] = buckets
+        codes = codes * (BUCKETS + 1) + here
+    return codes, owner
+
+
 def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     """Sums (dimensions x buckets) of the vectors of the words that stand around each feature's words.
 
@@ -93,13 +109,22 @@ def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     padded = np.full(len(word) + WINDOW * (len(texts) + 1), len(words))
     padded[np.arange(len(word)) + WINDOW * (doc + 1)] = word
     inner = padded[WINDOW:-WINDOW]
-    features = [(b, np.repeat(np.arange(len(words)), np.diff(np.append(begin, len(b))))) for b, begin in _features(words)]
+    *runs, whole, shape = _features(words)
+    codes, owner = _places(runs, len(words))
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    codes = codes[first]
+    split = [codes // (BUCKETS + 1)**k % (BUCKETS + 1) for k in range(len(runs))]
     for k in range(DIMS):
         at = vectors[k][padded]
         around = sum(at[WINDOW + step:len(at) - WINDOW + step] for step in range(-WINDOW, WINDOW + 1) if step)
         of_word = np.bincount(inner, around, len(words) + 1)
-        for buckets, owner in features:
-            sums[k] += np.bincount(buckets, of_word[owner], BUCKETS)
+        of_code = np.add.reduceat(of_word[owner], first)
+        for buckets in split:
+            sums[k] += np.bincount(buckets, of_code, BUCKETS + 1)[:BUCKETS]
+        for buckets, _ in (whole, shape):
+            sums[k] += np.bincount(buckets, of_word[:-1], BUCKETS)
     return sums
 
 
