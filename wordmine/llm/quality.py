@@ -53,34 +53,17 @@ def index_vectors(seed: int = 8, nonzero: int = 4) -> np.ndarray:
 
 
 def _features(words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, first feature of each word) of the runs of each order, of whole words and of shapes."""
     one_each = np.arange(len(words))
     return [*ngram_buckets(words, ORDERS, BUCKETS), (shape_buckets(words, BUCKETS), one_each)] if len(words) else []
 
 
-def word_vectors(words: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Mean over kinds of features of the mean of the table's rows."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
-    for at in range(0, len(words), 4000):
-        part = words.slice(at, 4000)
-        found = _features(part)
-        for buckets, begin in found:
-            n = np.diff(np.append(begin, len(buckets)))
-            # the words with most features first: the k-th feature is added for a stretch of words at once
-            order = np.argsort(-n, kind="stable")
-            n, begin = n[order], begin[order]
-            sums = table[buckets[begin]]
-            for k in range(1, int(n[0])):
-                more = np.searchsorted(-n, -k)
-                sums[:more] += table[buckets[begin[:more] + k]]
-            out[at + order] += sums / n.astype(np.float32)[:, None] / len(found)
-    return out
-
-
-def _places(runs: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, word) of each place of the words: the buckets of the runs that begin there, BUCKETS for those beyond the end.
+def _places(runs: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The runs that begin at each place of the words, the shortest at every place.
 
-    ``runs`` are the features of one order each, the shortest first. What many
-    words share is thus summed once for all orders.
+    Returns (for each order the buckets of the distinct combinations, BUCKETS
+    for a run beyond its word's end; the combination of each place; its word).
+    Few combinations occur, so what belongs to them is made once for all orders.
     """
     codes, begin = runs[0]
     owner = np.repeat(np.arange(n_words), np.diff(np.append(begin, len(codes))))
@@ -89,7 +72,34 @@ def _places(runs: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> tuple[np
         here = np.full(len(codes), BUCKETS)
         here[place < np.diff(np.append(first, len(buckets)))[owner]] = buckets
         codes = codes * (BUCKETS + 1) + here
-    return codes, owner
+    coded = pa.array(codes).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    split = [distinct // (BUCKETS + 1)**k % (BUCKETS + 1) for k in reversed(range(len(runs)))]
+    return split, coded.indices.to_numpy(), owner
+
+
+def word_vectors(words: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Mean over kinds of features of the table's rows: those of an order's runs are summed and divided by the word's places."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    with_none = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+    for at in range(0, len(words), 4000):
+        part = words.slice(at, 4000)
+        *runs, (whole, _), (shape, _) = _features(part)
+        split, index, _ = _places(runs, len(part))
+        rows = sum(with_none[buckets] for buckets in split)
+        begin = runs[0][1]
+        n = np.diff(np.append(begin, len(index)))
+        # the words with most places first: the k-th place is added for a stretch of words at once
+        order = np.argsort(-n, kind="stable")
+        n, begin = n[order], begin[order]
+        sums = rows[index[begin]]
+        for k in range(1, int(n[0])):
+            more = np.searchsorted(-n, -k)
+            sums[:more] += rows[index[begin[:more] + k]]
+        sums /= n.astype(np.float32)[:, None]
+        out[at + order] = sums
+        out[at:at + len(part)] += table[whole] + table[shape]
+    return out / (len(ORDERS) + 2)
 
 
 def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
@@ -110,12 +120,11 @@ def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     padded[np.arange(len(word)) + WINDOW * (doc + 1)] = word
     inner = padded[WINDOW:-WINDOW]
     *runs, whole, shape = _features(words)
-    codes, owner = _places(runs, len(words))
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
-    first = np.flatnonzero(np.diff(codes, prepend=-1))
-    codes = codes[first]
-    split = [codes // (BUCKETS + 1)**k % (BUCKETS + 1) for k in range(len(runs))]
+    split, index_of, owner = _places(runs, len(words))
+    most = len(split[0])
+    order = np.argsort(index_of.astype(np.uint16) if most <= 1 << 16 else index_of, kind="stable")
+    index_of, owner = index_of[order], owner[order]
+    first = np.flatnonzero(np.diff(index_of, prepend=-1))
     for k in range(DIMS):
         at = vectors[k][padded]
         around = sum(at[WINDOW + step:len(at) - WINDOW + step] for step in range(-WINDOW, WINDOW + 1) if step)
