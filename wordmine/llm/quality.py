@@ -78,28 +78,38 @@ def _places(runs: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> tuple[li
     return split, coded.indices.to_numpy(), owner
 
 
-def word_vectors(words: pa.Array, table: np.ndarray) -> np.ndarray:
+def _described(words: pa.Array):
+    """(as _places; first place and number of places of each word; buckets of whole words and of shapes)."""
+    *runs, (whole, _), (shape, _) = _features(words)
+    split, index, owner = _places(runs, len(words))
+    return split, index, owner, runs[0][1], np.diff(np.append(runs[0][1], len(index))), whole, shape
+
+
+def _means(described, table: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The vectors of the words from a to b."""
+    split, index, _, begin, n, whole, shape = described
+    with_none = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+    rows = sum(with_none[buckets] for buckets in split)
+    # the words with most places first: the k-th place is added for a stretch of words at once
+    order = a + np.argsort(-n[a:b], kind="stable")
+    n, begin = n[order], begin[order]
+    sums = rows[index[begin]]
+    for k in range(1, int(n[0])):
+        more = np.searchsorted(-n, -k)
+        sums[:more] += rows[index[begin[:more] + k]]
+    sums /= n.astype(np.float32)[:, None]
+    out = table[whole[a:b]] + table[shape[a:b]]
+    out[order - a] += sums
+    return out / np.float32(len(ORDERS) + 2)
+
+
+def word_vectors(words: pa.Array, table: np.ndarray, step: int = 4000) -> np.ndarray:
     """Mean over kinds of features of the table's rows: those of an order's runs are summed and divided by the word's places."""
     out = np.zeros((len(words), table.shape[1]), np.float32)
-    with_none = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
-    for at in range(0, len(words), 4000):
-        part = words.slice(at, 4000)
-        *runs, (whole, _), (shape, _) = _features(part)
-        split, index, _ = _places(runs, len(part))
-        rows = sum(with_none[buckets] for buckets in split)
-        begin = runs[0][1]
-        n = np.diff(np.append(begin, len(index)))
-        # the words with most places first: the k-th place is added for a stretch of words at once
-        order = np.argsort(-n, kind="stable")
-        n, begin = n[order], begin[order]
-        sums = rows[index[begin]]
-        for k in range(1, int(n[0])):
-            more = np.searchsorted(-n, -k)
-            sums[:more] += rows[index[begin[:more] + k]]
-        sums /= n.astype(np.float32)[:, None]
-        out[at + order] = sums
-        out[at:at + len(part)] += table[whole] + table[shape]
-    return out / (len(ORDERS) + 2)
+    for at in range(0, len(words), step):
+        part = words.slice(at, step)
+        out[at:at + step] = _means(_described(part), table, 0, len(part))
+    return out
 
 
 def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
@@ -112,27 +122,31 @@ def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     offsets, word, words = T.ascii_words(texts, lower=False)
     if not len(word):
         return sums
-    vectors = np.rint(word_vectors(words, index).T.astype(float) * SCALE)
+    described = _described(words)
+    vectors = np.concatenate([_means(described, index, at, min(at + 8000, len(words))) for at in range(0, len(words), 8000)])
+    vectors = np.rint(vectors.T.astype(float) * SCALE)
     vectors = np.concatenate([vectors, np.zeros((DIMS, 1))], 1)
     # WINDOW places of a word without a vector behind every text, and before the first
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     padded = np.full(len(word) + WINDOW * (len(texts) + 1), len(words))
     padded[np.arange(len(word)) + WINDOW * (doc + 1)] = word
     inner = padded[WINDOW:-WINDOW]
-    *runs, whole, shape = _features(words)
-    split, index_of, owner = _places(runs, len(words))
+    split, index_of, owner, _, _, whole, shape = described
     most = len(split[0])
     order = np.argsort(index_of.astype(np.uint16) if most <= 1 << 16 else index_of, kind="stable")
     index_of, owner = index_of[order], owner[order]
     first = np.flatnonzero(np.diff(index_of, prepend=-1))
     for k in range(DIMS):
         at = vectors[k][padded]
-        around = sum(at[WINDOW + step:len(at) - WINDOW + step] for step in range(-WINDOW, WINDOW + 1) if step)
+        around = at[:len(inner)].copy()
+        for step in range(1, 2 * WINDOW + 1):
+            if step != WINDOW:
+                around += at[step:step + len(inner)]
         of_word = np.bincount(inner, around, len(words) + 1)
         of_code = np.add.reduceat(of_word[owner], first)
         for buckets in split:
             sums[k] += np.bincount(buckets, of_code, BUCKETS + 1)[:BUCKETS]
-        for buckets, _ in (whole, shape):
+        for buckets in (whole, shape):
             sums[k] += np.bincount(buckets, of_word[:-1], BUCKETS)
     return sums
 
@@ -175,25 +189,29 @@ def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
         return out
     vector = word_vectors(words, table)
     doc = np.repeat(np.arange(len(texts)), n)
-    distinct = np.unique(doc * np.int64(len(words)) + word)
+    distinct, times = np.unique(doc * np.int64(len(words)) + word, return_counts=True)
     in_doc, at = distinct // len(words), distinct % len(words)
     m = np.bincount(in_doc, minlength=len(texts))
-    out[:, :2 * DIMS] = _vector_sums(vector, word, offsets) / np.maximum(n, 1)[:, None]
-    out[:, 2 * DIMS:4 * DIMS] = _vector_sums(vector, at, np.concatenate([[0], np.cumsum(m)])) / np.maximum(m, 1)[:, None]
+    every, once = _vector_sums(vector, at, times, np.concatenate([[0], np.cumsum(m)]))
+    out[:, :2 * DIMS] = every / np.maximum(n, 1)[:, None]
+    out[:, 2 * DIMS:4 * DIMS] = once / np.maximum(m, 1)[:, None]
     out[:, -2] = m / np.maximum(n, 1)
     out[:, -1] = n == 0
     return out
 
 
-def _vector_sums(vector: np.ndarray, word: np.ndarray, offsets: np.ndarray, tokens: int = 1 << 15) -> np.ndarray:
-    """Sums of the words' vectors of each text, for so many tokens (or one text) at once."""
-    out = np.zeros((len(offsets) - 1, vector.shape[1]), vector.dtype)
+def _vector_sums(vector: np.ndarray, word: np.ndarray, times: np.ndarray, offsets: np.ndarray, most: int = 1 << 14):
+    """Sums of the vectors of each text's words, as often as they occur and once each, for so many words (or one text) at once."""
+    every, once = (np.zeros((len(offsets) - 1, vector.shape[1]), vector.dtype) for _ in range(2))
     a = 0
-    while a < len(out):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tokens, side="right")) - 1)
-        out[a:b] = segment_sums(vector[word[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a])
+    while a < len(once):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        rows, ends = vector[word[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a]
+        once[a:b] = segment_sums(rows, ends)
+        rows *= times[offsets[a]:offsets[b], None].astype(np.float32)
+        every[a:b] = segment_sums(rows, ends)
         a = b
-    return out
+    return every, once
 
 
 @dataclass(frozen=True)
