@@ -106,3 +106,25 @@ def test_blocks_are_dealt_to_all_tasks(spark, tmp_path):
     blocks.write_blocks(docs.repartition(12), jaccard.lower_words, f"file://{tmp_path}/b", 4)
     ids = blocks.block_ids(spark, f"file://{tmp_path}/b", 4)
     assert [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()] == [3] * 4
+
+
+def test_long_lists_in_chunks(spark, monkeypatch):
+    """Lists that are left after the last round: chunks of a few members, one of them far larger than a chunk may be."""
+    rng = np.random.default_rng(31)
+    shared = [f"s{i}" for i in range(90)]
+    texts = [" ".join(shared + [f"o{rng.integers(1 << 30)}" for _ in range(k % 14)]) for k in range(60)]
+    texts += [" ".join(edited(rng, shared, k % 4)) for k in range(30)] + [" ".join(shared * 2 + [f"l{i}" for i in range(900)])] + ["", None]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(9, " ".join(shared[:80])), (None, " ".join(shared))]
+    used = []
+    of_chunks = jaccard.chunk_links
+
+    def spied(*args):
+        used.append(1)
+        return of_chunks(*args)
+
+    monkeypatch.setattr(jaccard, "chunk_links", spied)
+    monkeypatch.setattr(jaccard, "CHUNK_MEMBERS", 7)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(frame, rounds=0) == brute(rows)
+    assert used
+    assert got(frame, rounds=0, p=4, q=5, words_each=5) == brute(rows, 4, 5, 5)

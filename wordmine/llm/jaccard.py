@@ -21,7 +21,9 @@ result, a good estimate of the frequency a fast one. Lists are scanned in
 rounds: the member with the fewest rarer shingles leads its list and is compared
 with the others, and members that are in one group by then need no comparison
 among themselves. When few comparisons are left between groups, all of them are
-made. Sizes and places in the order bound the overlap and leave out pairs before
+made; lists that still have many after the last round are cut into chunks of
+bounded size, and each two chunks are compared inside a task, which returns only
+links that join groups. Sizes and places in the order bound the overlap and leave out pairs before
 their texts are compared exactly.
 
 x is the boundary with the least cost over the sizes that occur (``boundary``).
@@ -55,6 +57,8 @@ HASH_BITS = 44     # of a shingle's hash, for its document frequency
 WORDS_PER_BLOCK = 1 << 21
 #: Shingle hashes that a task remembers of texts it has met in pairs.
 KNOWN_HASHES = 1 << 20
+#: Members of a chunk of a long list, and shingles of all their sets.
+CHUNK_MEMBERS, CHUNK_SHINGLES = 1 << 10, 1 << 18
 SETS = ("doc_id bigint, n bigint, sig binary, kept binary, block bigint, part int, m bigint, hashes binary, counts binary")
 ANSWERS = "block bigint, part int, logs binary"
 LISTED = "shingle bigint, rep bigint, n bigint, pos int"
@@ -334,6 +338,67 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, p: int, q: int
     return both.select("a", "b", "ta", "tb").mapInArrow(T.tidy(_linked(words_each, p, q)), "a bigint, b bigint")
 
 
+def _hashed_rows(words_each: int):
+    """Rows (rep, text) to (rep, hashes), for texts that have shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in T.text_slices(batch, most_bytes=1 << 20):
+                sets = shingle_sets(texts, words_each)
+                out = pa.record_batch([part.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["rep", "hashes"])
+                yield out.filter(pa.array([len(h) > 0 for h in sets], pa.bool_()))
+
+    return run
+
+
+def _compare_chunks(p: int, q: int):
+    """Two chunks of a list to links that join groups: at most one less than there are members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, n, pos, part, c, x = (table.column(k).to_numpy() for k in ("rep", "n", "pos", "part", "c", "x"))
+        sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        size = np.array([len(h) for h in sets])
+        begin = np.cumsum(size) - size
+        every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        group = np.unique(part, return_inverse=True)[1]
+        inside = table.column("x")[0] == table.column("y")[0]
+        number, a, b = np.arange(len(rep)), [], []
+        for i in np.flatnonzero(c == x):
+            may = (number > i) if inside else (c != x)
+            may &= (group != group[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
+            may &= np.minimum(n - pos, n[i] - pos[i]) * (p + q) >= (n + n[i]) * p
+            if not may.any():
+                continue
+            of_i = np.zeros(len(every), bool)
+            of_i[codes[begin[i]:begin[i] + size[i]]] = True
+            both = np.add.reduceat(of_i[codes].astype(np.int64), begin)
+            for j in np.flatnonzero(may & (q * both >= p * (size + size[i] - both))):
+                if group[j] != group[i]:
+                    a.append(rep[i])
+                    b.append(rep[j])
+                    group[group == group[j]] = group[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def chunk_links(members: DataFrame, texts: DataFrame, words_each: int, p: int, q: int) -> DataFrame:
+    """Links (a, b) between groups of each list's members, found between chunks of it.
+
+    A member travels once for each chunk of its list, with its set; no row is
+    made for a pair that does not link.
+    """
+    chunks = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS))
+    dealt = (members.join(members.groupBy("shingle").agg(chunks.alias("chunks")), "shingle")
+             .withColumn("c", F.pmod(F.xxhash64("rep", F.lit(29)), "chunks"))
+             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))))
+    placed = dealt.select("shingle", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "c", "rep", "n", "pos", "part")
+    asked = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = materialise(asked.mapInArrow(T.tidy(_hashed_rows(words_each)), "rep bigint, hashes binary").distinct(), "list-sets")
+    return (placed.join(sets, "rep").groupBy("shingle", "x", "y")
+            .applyInArrow(_compare_chunks(p, q), "a bigint, b bigint").distinct())
+
+
 def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3, id_col: str = "doc_id",
                   text_col: str = "text", rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of ``docs``.
@@ -341,7 +406,7 @@ def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3,
     Two documents link when q * intersection >= p * union of their sets of
     shingles of ``words_each`` words; component_id is the smallest id that links
     reach. Lists are led by single members for at most ``rounds`` rounds before
-    all comparisons that are left are made.
+    all comparisons that are left are made, between chunks if they are many.
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
@@ -373,8 +438,13 @@ def linked_groups(docs: DataFrame, p: int = 9, q: int = 10, words_each: int = 3,
         rows, left = open_lists.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         if not rows:
             break
-        last = number == rounds or left <= 2 * rows
+        few = left <= 2 * rows
+        last = number == rounds or few
         members = materialise(placed.join(open_lists.select("shingle", "lead"), "shingle"), "list-members")
+        if last and not few:
+            edges = materialise(edges.unionByName(chunk_links(members.drop("lead"), texts, words_each, p, q)), "links")
+            parts = connected_components(edges)
+            break
         if last:
             a, b = members.alias("a"), members.alias("b")
             pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep"))
