@@ -56,10 +56,17 @@ def write_landed_json(landed: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("query_slug").json(path))
 
 
+#: Windows of an array file.
+ARRAY_WINDOWS = 10_000
+
+
 def write_landed_json_arrays(landed: DataFrame, path: str) -> None:
-    """A JSON array per file, one folder per expression; a file holds a bucket's documents."""
+    """A JSON array per file, one folder per expression; a file holds at most ARRAY_WINDOWS of a bucket's windows.
+
+    Ranks are dense inside (expression, shard), so a stretch of them bounds an array.
+    """
     doc = F.struct("doc_ix", "metadata", spans_to_arrays().alias("spans"), "shard", "rank", "pos")
-    arrays = landed.groupBy(query_slug().alias("query_slug"), "bucket").agg(F.to_json(F.collect_list(doc)).alias("value"))
+    arrays = landed.groupBy(query_slug().alias("query_slug"), "bucket", "shard", F.floor(F.col("rank") / ARRAY_WINDOWS)).agg(F.to_json(F.collect_list(doc)).alias("value"))
     (arrays.select("query_slug", "value").write.mode("overwrite").option("maxRecordsPerFile", 1)
      .partitionBy("query_slug").text(path))
 
