@@ -84,7 +84,7 @@ def test_totals_of_right_contexts_cover_their_instances(spark):
     text = "so x on +1 (555) 000-1000 any, on Tue any, on 4111 1111 1111 1111 any on 7 any"
     pattern = "on _ any"
     bloom = pii.bloom_filter(spark.createDataFrame([(pattern,)], "pattern string"))
-    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    batch = pa.record_batch([pa.array([1]), pa.array([text]), pa.array([9])], names=["doc_id", "text", "key"])
     got = [r for b in pii._occurrences(bloom)([batch]) for r in b.to_pylist() if r["pattern"] == pattern]
     assert sum(r["n"] or 0 for r in got) == 4
     assert [r["instance"] for r in got if r["instance"]] == ["+1 (555) 000-1000", "4111 1111 1111 1111", "7"]

@@ -124,15 +124,21 @@ def patterns_of(two: str, one: str, right: str) -> list[str]:
     return [f"{two} {one} _", f"{one} _ {right}"] if one else []
 
 
+def _text_key(text):
+    """A 64-bit hash of a text, the empty one for a null: with the id it names a row."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _texts(batches, rows=T.BATCH_ROWS):
+    """(ids, keys, texts) of slices of batches (doc_id, text, key)."""
     for batch in batches:
         for part, texts in T.text_slices(batch, rows=rows):
-            yield part.column(0), texts
+            yield part.column(0), part.column(2), texts
 
 
 def _seeds(batches):
     """doc_id, key, spans, seeds (kind, instance, pattern)."""
-    for ids, texts in _texts(batches):
+    for ids, keys, texts in _texts(batches):
         digits = pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False)
         spans, seeds = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
         for i in np.flatnonzero(digits).tolist():
@@ -143,19 +149,12 @@ def _seeds(batches):
                 seeds[i] += [{"kind": kind, "instance": text[a:b], "pattern": p} for p in patterns_of(two, one, right)]
         spans = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
         yield pa.record_batch([
-            ids, pa.array(_keys(texts), pa.int64()),
+            ids, keys,
             pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
             pa.array(seeds, pa.list_(pa.struct([("kind", pa.string()), ("instance", pa.string()), ("pattern", pa.string())]))),
         ], names=["doc_id", "key", "spans", "seeds"])
 
 
-def _keys(texts: pa.Array) -> list[int]:
-    """A signed 64-bit hash of each text: with the id it names a row."""
-    import xxhash
-
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in T.strings(texts)]
-
-
 # -- looking patterns up -----------------------------------------------------
 
 def _word_hash(words: list[str]) -> np.ndarray:
@@ -209,7 +208,7 @@ def _occurrences(bloom: np.ndarray):
     def run(batches):
         if not bloom.any():
             return
-        for ids, texts in _texts(batches):
+        for ids, keys, texts in _texts(batches):
             offsets, index, words = T.ascii_words(texts, lower=False)
             if not len(index):
                 continue
@@ -249,7 +248,7 @@ def _occurrences(bloom: np.ndarray):
                 count = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 m = len(coded.dictionary)
                 yield pa.record_batch([coded.dictionary, pa.array(count), *(pa.nulls(m, pa.string()) for _ in range(2)), *(pa.nulls(m, pa.int64()) for _ in range(4))], names=names)
-            yield from _instances(ids, texts, slots, known, names)
+            yield from _instances(ids, keys, texts, slots, known, names)
 
     return run
 
@@ -280,19 +279,17 @@ def _slots(texts, which) -> list[tuple]:
     return out
 
 
-def _instances(ids, texts, slots, known, names):
+def _instances(ids, keys, texts, slots, known, names):
     """Identifier-like strings of some texts, with the patterns around them that the filter knows."""
     found = [(p, texts[i].as_py()[start:end], kind, i, start, end) for i, _, _, kind, start, end, *around in slots for p in patterns_of(*around)]
     if found:
         keep = known(_pattern_hash([f[0] for f in found]))
         found = [f for f, k in zip(found, keep.tolist(), strict=True) if k]
     if found:
-        rows = [f[3] for f in found]
-        at = pa.array(rows)
-        key = dict(zip(set(rows), _keys(texts.take(pa.array(list(set(rows))))), strict=True))
+        at = pa.array([f[3] for f in found])
         yield pa.record_batch([
             pa.array([f[0] for f in found]), pa.nulls(len(found), pa.int64()), pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.string()),
-            T.as_array(ids).take(at).cast(pa.int64()), pa.array([key[r] for r in rows], pa.int64()), pa.array([f[4] for f in found]), pa.array([f[5] for f in found]),
+            T.as_array(ids).take(at).cast(pa.int64()), T.as_array(keys).take(at), pa.array([f[4] for f in found]), pa.array([f[5] for f in found]),
         ], names=names)
 
 
@@ -326,7 +323,7 @@ def find_spans(docs: DataFrame, rounds: int = 3, precision: float = 0.75, suppor
     at ``precision`` of all their occurrences or more. ``key`` is a hash of the
     text; with doc_id it names a row.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumn("key", _text_key(F.col("text")))
     base = materialise(texts.mapInArrow(T.tidy(_seeds), f"doc_id bigint, key bigint, spans {SPAN}, seeds array<struct<kind: string, instance: string, pattern: string>>"), "pii-base")
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
     enough = materialise(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("pattern").distinct(), "pii-induced")
@@ -364,15 +361,12 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def key(text: pd.Series) -> pd.Series:
-        return pd.Series(_keys(pc.fill_null(pa.Array.from_pandas(text, type=pa.string()), "")), dtype="int64")
-
     @F.pandas_udf("string")
     def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _replaced(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("_text_key", key(F.col(text_col).cast("string")))
+    # the only Python code of its stage: with a second one each core would hold a second worker
+    keyed = docs.withColumn("_text_key", _text_key(F.col(text_col)))
     joined = keyed.join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     return joined.withColumn(text_col, replaced(F.col(text_col).cast("string"), "_spans")).drop("_id", "_key", "_spans", "_text_key")
 
