@@ -365,7 +365,6 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _replaced(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    # the only Python code of its stage: with a second one each core would hold a second worker
     keyed = docs.withColumn("_text_key", _text_key(F.col(text_col)))
     joined = keyed.join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     return joined.withColumn(text_col, replaced(F.col(text_col).cast("string"), "_spans")).drop("_id", "_key", "_spans", "_text_key")
