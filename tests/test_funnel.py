@@ -4,7 +4,7 @@ import itertools
 
 from wordmine.functions.text import clean_text, normalise_word
 from wordmine.operators import fuzzy, lexicon
-from wordmine.operators.arcs import arc_keep, arc_pattern
+from wordmine.operators.arcs import arc_keep, arc_pattern, rule_arcs
 from wordmine.operators.audit import STAGES, keep_first, stage_audit
 from wordmine.operators.normalize import shape_ok
 
@@ -134,6 +134,19 @@ def test_arc_table(spark):
     assert got == [1, 5]
 
 
+def test_arc_joins_broadcast_no_arcs(spark):
+    """A token table is many times its sentences: its joins may not send it through the driver."""
+    rows = spark.createDataFrame([(k, "is not a word", f"Token {k} is, as they say, a word.") for k in range(20)],
+                                 "sent_id bigint, query string, sentence string")
+    kept = arc_keep(rows, rule_arcs(rows.select("sent_id", "sentence")))
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.sent_id for r in kept.collect()) == list(range(20))
+    heads = {(r.i, r.text): (r.dep, r.head_i) for r in rule_arcs(spark.createDataFrame(
+        [(1, "Is it so? It IS what is. --")], "sent_id bigint, sentence string")).collect()}
+    assert heads == {(0, "Is"): ("dep", -1), (1, "it"): ("attr", 0), (2, "so"): ("attr", 0), (3, "It"): ("attr", 0),
+                     (4, "IS"): ("attr", 0), (5, "what"): ("attr", 4), (6, "is"): ("attr", 4), (7, ""): ("attr", 6)}
+
+
 def test_arc_pattern(spark):
     df = spark.createDataFrame([("wug is not a word.", "is not a word"), ("wug is a word for dax", "is not a word"),
                                 ("is a word", "is not a word"), ("wug was a word", "is not a word")],
