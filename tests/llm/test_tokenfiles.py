@@ -25,6 +25,47 @@ def test_size_of_small_ids():
     assert len(words) <= 4096 / 12 + 8
 
 
+def greedy(values, block):
+    """The words' (start, selector) by the plainest loop."""
+    out, n = [], len(values)
+    for begin in range(0, n, block):
+        at, end = begin, min(begin + block, n)
+        while at < end:
+            fit = [s for s in range(1, 15) if all(v < 1 << int(simple8b.BITS[s]) for v in values[at:min(at + int(simple8b.COUNTS[s]), end)])]
+            out.append((at, fit[0] if fit else 0))
+            at += max(1, int(simple8b.COUNTS[out[-1][1]]))
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50000), st.integers(0, 2**64 - 1), st.just(0)), min_size=1, max_size=300))
+def test_selectors_are_those_of_the_greedy_coder(values):
+    for block in (7, 64, 512):
+        found = simple8b._selectors(np.array(values, np.uint64), block)
+        assert all(found[at] == s for at, s in greedy(values, block))
+
+
+def test_pieces_of_plain_words(monkeypatch):
+    """Letters, or letters and a mark, need no regular expression; every id is the library's."""
+    import pyarrow as pa
+    from wordmine.llm import textcells as T
+
+    encoder = T.WordBpe(vocabulary("word_bpe_49k.json"))
+    odd = ["don't", "'s", "'S.", "a.b", "..", ".", "x1", "12.", "²,", "(où)", "İx", "İ.", "it's!", "ªb", "ŉ", "straße,", "Éa?", "it'll", "a-b:"]
+    plain = ["Wort", "Éçole", "end.", "où,", "ſo;", "Why?", "no!", "A:"]
+    ids, offsets = encoder.encode_texts(pa.array([*odd, " ".join([*odd, *plain, *odd])]))
+    for i, text in enumerate([*odd, " ".join([*odd, *plain, *odd])]):
+        assert ids[offsets[i]:offsets[i + 1]].tolist() == library().encode(text, add_special_tokens=False).ids
+    encoder.forget()
+
+    def refuse(*_):
+        raise AssertionError("a regular expression ran over plain words")
+
+    monkeypatch.setattr(T.pc, "replace_substring_regex", refuse)
+    ids, _ = encoder.encode_texts(pa.array([" ".join(plain)]))
+    assert ids.tolist() == library().encode(" ".join(plain), add_special_tokens=False).ids
+
+
 def library():
     from tokenizers import Tokenizer
 

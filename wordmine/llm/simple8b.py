@@ -17,6 +17,34 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BLOCK = 512
 
 
+def _selectors(values: np.ndarray, block: int) -> np.ndarray:
+    """For each integer, the selector of a word that begins with it (0: an escape, if nothing fits)."""
+    n = len(values)
+    whole = -(-n // block) * block
+    # the narrowest selector of each integer; what fills the last block up fits in any word
+    narrowest = np.zeros(whole, np.int8)
+    for s in range(1, len(BITS)):
+        wide = values >> np.uint64(BITS[s]) != 0
+        narrowest[:n] += wide
+        if not wide.any():
+            break
+    widest, chosen = s, np.zeros(whole, np.int8)
+    before = np.zeros(whole + 1, np.int32 if whole < 1 << 31 else np.int64)
+    for s in range(widest, 0, -1):
+        # before[i]: how many of the first i integers need more than BITS[s] bits
+        np.cumsum(narrowest >= s, out=before[1:])
+        if before[-1] == n:
+            break
+        count = min(int(COUNTS[s]), block)
+        fits = np.empty(whole, bool)
+        np.equal(before[count:], before[:whole - count + 1], out=fits[:whole - count + 1])
+        # words that would cross a block's end hold what is left of it
+        last = before[:whole].reshape(-1, block)[:, block - count:]
+        fits.reshape(-1, block)[:, block - count:] = last == before[block::block, None]
+        chosen[fits] = s
+    return chosen[:n]
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned integers."""
     values = np.asarray(values, np.uint64)
@@ -25,32 +53,11 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     begins = np.arange(0, n, block)
     ends = np.minimum(begins + block, n)
-    most = int(values.max())
-    # too[b][i]: how many of the first i integers need more than BITS[b] bits
-    too: dict[int, np.ndarray | None] = {}
-    for s in range(1, len(BITS)):
-        if most < 1 << int(BITS[s]):
-            too[s] = None
-            break
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(values >> np.uint64(BITS[s]) != 0, out=wide[1:])
-        too[s] = wide
+    selector_at = _selectors(values, block)
     at, block_no = begins.copy(), np.arange(len(begins))
     starts, selectors, taken, owners = [], [], [], []
     while len(at):
-        chosen = np.zeros(len(at), np.int64)  # 0: an escape, if nothing fits
-        free = np.arange(len(at))
-        for s, wide in too.items():
-            if wide is None:
-                chosen[free] = s
-                free = free[:0]
-                break
-            here = at[free]
-            fits = wide[np.minimum(here + COUNTS[s], ends[free])] == wide[here]
-            chosen[free[fits]] = s
-            free = free[~fits]
-            if not len(free):
-                break
+        chosen = selector_at[at].astype(np.int64)
         took = np.minimum(np.maximum(COUNTS[chosen], 1), ends - at)
         starts.append(at)
         selectors.append(chosen)

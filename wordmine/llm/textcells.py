@@ -178,7 +178,7 @@ class _Remembering:
         missing = [c for c in chunks if c not in known]
         if missing:
             self._missing(missing)
-        parts = [known[c] for c in chunks]
+        parts = list(map(known.__getitem__, chunks))
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         return np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths, lengths
 
@@ -237,6 +237,7 @@ class WordBpe(_Remembering):
 
     _PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
     _NOT_PLAIN = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u017f]")
+    _MARKS = ".,;:!?"
     _END = "</w>"
 
     def __init__(self, path: str, remember: int = 500_000):
@@ -268,9 +269,16 @@ class WordBpe(_Remembering):
             chunks = [c for c in chunks if c not in self._known]
             joined = "\n".join(chunks) + "\n"
         if chunks:
-            joined = unicodedata.normalize("NFC", joined).lower()
-            marked = pc.replace_substring_regex(pa.array([joined]), self._PIECES, "\\1\0")[0].as_py()
-            self._store(chunks, np.array(self._encode(marked), np.uint32), self._line)
+            lower = unicodedata.normalize("NFC", joined).lower().split("\n")[:-1]
+            # the pieces of most chunks are plain to see: letters, or letters and a mark
+            marked = [c + "\0" if c.isalpha() else f"{c[:-1]}\0{c[-1]}\0" if c[-1:] in self._MARKS and c[:-1].isalpha() else ""
+                      for c in lower]
+            others = [c for c, m in zip(lower, marked, strict=True) if not m]
+            if others:
+                pieces = pc.replace_substring_regex(pa.array(["\n".join(others)]), self._PIECES, "\\1\0")[0].as_py()
+                cut = iter(pieces.split("\n"))
+                marked = [m or next(cut) for m in marked]
+            self._store(chunks, np.array(self._encode("\n".join(marked) + "\n"), np.uint32), self._line)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         def plain(part):
