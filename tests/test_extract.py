@@ -96,3 +96,10 @@ def test_first_span_variant(spark):
             (2, [["", None], ["is not a word", "0"]])]
     got = sorted((r.doc_ix, r.word, r.sentence) for r in extract.first_span_rows(landed_rows(spark, docs)).collect())
     assert got == [(1, "wug", "so the Wug is not a word .")]
+
+
+def test_word_of_a_span_with_odd_ends(spark):
+    # tokens are cut at ASCII white space alone, and a line separator at the end is a token's own
+    got = _words(spark, [(1, [["-- a\tb.  ", None], ["is not a word", "0"]]), (2, [["é\x85 \n", None], ["is not a word", "0"]]),
+                         (3, [["x1\xa0y .. " + "- " * 5000, None], ["is not a word", "0"]])])
+    assert [(d, raw[:9], offset) for d, _, raw, _, offset in got] == [(1, "b.  ", 5), (2, "é\x85", 0), (3, "x1\xa0y .. -", 0)]
